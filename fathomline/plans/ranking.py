@@ -58,7 +58,7 @@ def _baseline_sql() -> str:
     norms = ", ".join(f"CASE WHEN {r}_m IS NULL THEN 0 WHEN max({r}_m) OVER w = min({r}_m) OVER w THEN 1 ELSE ({r}_m - min({r}_m) OVER w) / (max({r}_m) OVER w - min({r}_m) OVER w) END AS {r}_n, CASE WHEN max({r}_m) OVER w IS NULL THEN 0 ELSE {op.BASE_WEIGHTS[r]} END AS {r}_w" for r in op.ROUTES)
     return (
         f"WITH {POOL_SQL}, m AS (SELECT query_id, chunk_id, " + ", ".join(f"{moved(r)} AS {r}_m" for r in op.ROUTES) + f" FROM pool), n AS (SELECT query_id, chunk_id, {norms} FROM m WINDOW w AS (PARTITION BY query_id)), "
-        "s AS (SELECT query_id, chunk_id, round(coalesce((" + " + ".join(f"{r}_n * {op.BASE_WEIGHTS[r]}" for r in op.ROUTES) + ") / nullif(" + " + ".join(f"{r}_w" for r in op.ROUTES) + ", 0), 0)::DOUBLE, 6) AS baseline_score FROM n) SELECT * FROM s"
+        "s AS (SELECT query_id, chunk_id, round(round(coalesce((" + " + ".join(f"{r}_n * {op.BASE_WEIGHTS[r]}" for r in op.ROUTES) + ") / nullif(" + " + ".join(f"{r}_w" for r in op.ROUTES) + ", 0), 0)::DOUBLE, 9), 6) AS baseline_score FROM n) SELECT * FROM s"
     )
 
 
