@@ -1 +1,195 @@
-"""Placeholder module: its queries follow."""
+"""Queries of parse quality and acceptance. Pages are the lines of a document; a line's measures stand in for a page's."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from fathomline.catalog import query
+from fathomline.functions import text as fn
+from fathomline.sources.tables import CHUNKS_SQL, chunks, table
+
+FLAGS = f"""
+{CHUNKS_SQL}, flags AS (
+  SELECT chunk_id, doc_id, chunk_index, length(content) AS n, length(content) < 20 AS sparse, length(regexp_replace(content, '[^#*$%&]', '', 'g')) * 20 > length(content) AS noisy,
+         contains(content, '|') AS tabular FROM chunks
+)
+"""
+
+
+def flags(spark, sf):
+    n = F.length("content")
+    marks = F.length(F.regexp_replace("content", "[^#*$%&]", ""))
+    return chunks(spark, sf).select("chunk_id", "doc_id", "chunk_index", n.alias("n"), (n < 20).alias("sparse"), (marks * 20 > n).alias("noisy"), F.col("content").contains("|").alias("tabular"))
+
+
+@query("page_flags", f"WITH {FLAGS} SELECT chunk_id, sparse, noisy, tabular, CASE WHEN noisy THEN 'FAILED' WHEN sparse THEN 'WARNING' ELSE 'PASSED' END AS status FROM flags")
+def page_flags(spark, sf):
+    return flags(spark, sf).select("chunk_id", "sparse", "noisy", "tabular", F.when(F.col("noisy"), "FAILED").when(F.col("sparse"), "WARNING").otherwise("PASSED").alias("status"))
+
+
+@query("quality_rollup", f"WITH {FLAGS} SELECT doc_id, count(*) AS pages, round(avg(CAST(NOT sparse AS INT)), 6) AS coverage, CASE WHEN bool_or(noisy) THEN 'FAILED' WHEN bool_or(sparse) THEN 'WARNING' ELSE 'PASSED' END AS status FROM flags GROUP BY doc_id")
+def quality_rollup(spark, sf):
+    worst = F.when(F.bool_or("noisy"), "FAILED").when(F.bool_or("sparse"), "WARNING").otherwise("PASSED")
+    return flags(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg((~F.col("sparse")).cast("int")), 6).alias("coverage"), worst.alias("status"))
+
+
+@query("scan_ratio", f"WITH {FLAGS} SELECT doc_id, round(avg(CAST(noisy AS INT)), 6) AS ratio, avg(CAST(noisy AS INT)) >= 0.8 AS scanned FROM flags WHERE NOT sparse GROUP BY doc_id")
+def scan_ratio(spark, sf):
+    share = F.avg(F.col("noisy").cast("int"))
+    return flags(spark, sf).where("not sparse").groupBy("doc_id").agg(F.round(share, 6).alias("ratio"), (share >= 0.8).alias("scanned"))
+
+
+@query("fallback_targets", f"WITH {FLAGS} SELECT chunk_id, CASE WHEN noisy THEN 'GARBLED' WHEN tabular THEN 'TABLE' ELSE 'LOW_TEXT' END AS reason FROM flags WHERE noisy OR tabular OR sparse")
+def fallback_targets(spark, sf):
+    return flags(spark, sf).where("noisy or tabular or sparse").select("chunk_id", F.when(F.col("noisy"), "GARBLED").when(F.col("tabular"), "TABLE").otherwise("LOW_TEXT").alias("reason"))
+
+
+@query("fallback_merge")
+def fallback_merge(spark, sf):
+    """Pages of a document with the fallback's text behind their own, joined again in page order."""
+    own = chunks(spark, sf).select("chunk_id", "doc_id", "chunk_index", "content")
+    more = fallback_targets(spark, sf).select("chunk_id", F.lit("[recovered]").alias("more"))
+    pages = own.join(more, "chunk_id", "left").select("doc_id", F.struct("chunk_index", F.concat_ws("\n\n", "content", "more").alias("t")).alias("p"))
+    return pages.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "\n"), 256).alias("merged_hash"))  # the pages of one document
+
+
+@query("content_issues")
+def content_issues(spark, sf):
+    """Source and output pages by number: missing, extra and changed ones."""
+    source = chunks(spark, sf).where("doc_id % 3 > 0 or chunk_index > 0").select("doc_id", "chunk_index", F.sha2("content", 256).alias("a"))
+    output = chunks(spark, sf).where("chunk_index % 9 < 8").select("doc_id", "chunk_index", F.sha2(F.trim("content"), 256).alias("b"))
+    issue = F.when(F.col("b").isNull(), "MISSING").when(F.col("a").isNull(), "EXTRA").when(F.col("a") != F.col("b"), "CHANGED")
+    return source.join(output, ["doc_id", "chunk_index"], "full_outer").withColumn("issue", issue).where("issue is not null").groupBy("doc_id", "issue").count()
+
+
+@query("page_order", f"WITH {CHUNKS_SQL}, g AS (SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS place FROM chunks), p AS (SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY length(content), chunk_index) AS place FROM chunks) SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE g.chunk_index = p.chunk_index) AS in_order FROM g JOIN p USING (doc_id, place) GROUP BY doc_id")
+def page_order(spark, sf):
+    by_doc = Window.partitionBy("doc_id")
+    both = chunks(spark, sf).select("doc_id", F.row_number().over(by_doc.orderBy("chunk_index")).alias("a"), F.row_number().over(by_doc.orderBy(F.length("content"), "chunk_index")).alias("b"))
+    return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("a") == F.col("b")).alias("in_order"))
+
+
+@query("ocr_cov", f"WITH {FLAGS} SELECT doc_id, round(CASE WHEN count(*) FILTER (WHERE noisy) = 0 THEN 1e0 ELSE count(*) FILTER (WHERE noisy AND n > 100) / count(*) FILTER (WHERE noisy) END, 6) AS coverage FROM flags GROUP BY doc_id")
+def ocr_cov(spark, sf):
+    scanned, done = F.count_if(F.col("noisy")), F.count_if(F.col("noisy") & (F.col("n") > 100))
+    return flags(spark, sf).groupBy("doc_id").agg(F.round(F.when(scanned == 0, 1.0).otherwise(done / F.nullif(scanned, F.lit(0))), 6).alias("coverage"))
+
+
+@query("undescribed", f"WITH {FLAGS} SELECT doc_id, count(*) AS images, count(*) FILTER (WHERE n < 60) AS undescribed FROM flags WHERE tabular GROUP BY doc_id")
+def undescribed(spark, sf):
+    return flags(spark, sf).where("tabular").groupBy("doc_id").agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("n") < 60).alias("undescribed"))
+
+
+@query("critical_tokens")
+def critical_tokens(spark, sf):
+    """Numbers of a page and how often each occurs, against the output's: a page is exact if all counts agree."""
+    numbers = F.regexp_extract_all("content", F.lit("\\d+(?:[.,]\\d+)*%?"), 0)
+    want = chunks(spark, sf).select("chunk_id", F.explode(numbers).alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("want"))
+    got = chunks(spark, sf).select("chunk_id", F.explode(F.regexp_extract_all(F.regexp_replace("content", "9", ""), F.lit("\\d+(?:[.,]\\d+)*%?"), 0)).alias("token")).groupBy("chunk_id", "token").agg(F.count(F.lit(1)).alias("got"))
+    return want.join(got, ["chunk_id", "token"], "full_outer").groupBy("chunk_id").agg(F.bool_and(F.col("want").eqNullSafe(F.col("got"))).alias("exact"))
+
+
+_FORMULA = re.compile(r"\\[A-Za-z]+|\d+(?:\.\d+)?|[A-Za-z]|[+\-*/=<>^_(){}]")
+
+
+def signature(formula: str | None) -> list[str]:
+    """Tokens of a formula without spacing, braces and sizing commands."""
+    return [t for t in _FORMULA.findall(formula or "") if t not in ("{", "}", "\\left", "\\right", "\\quad", "\\displaystyle")]
+
+
+@query("formula_exact")
+def formula_exact(spark, sf):
+    @F.pandas_udf("array<string>")
+    def tokens(s: pd.Series) -> pd.Series:
+        return s.map(signature)
+
+    v = F.col("value").cast("string")
+    a, b = F.concat(F.lit("\\frac{"), v, F.lit("}{x_1}")), F.concat(F.lit("\\displaystyle \\frac { "), v, F.lit(" }{ x_1 }"))
+    return table(spark, sf, "events").where("event_id % 10 = 0").select("event_id", (tokens(a) == tokens(b)).alias("exact"))
+
+
+@query("rect_union")
+def rect_union(spark, sf):
+    """Area that rectangles of a group cover, by a sweep over their edges."""
+
+    def area(frame: pd.DataFrame) -> pd.DataFrame:
+        total, xs = 0.0, sorted({*frame.x, *(frame.x + frame.w)})
+        for a, z in zip(xs, xs[1:], strict=False):
+            spans = sorted((r.y, r.y + r.h) for r in frame.itertuples() if r.x <= a and r.x + r.w >= z)
+            top, covered = float("-inf"), 0.0
+            for lo, hi in spans:
+                covered += max(0.0, hi - max(lo, top))
+                top = max(top, hi)
+            total += covered * (z - a)
+        return pd.DataFrame({"page": [frame.page.iloc[0]], "area": [total]})
+
+    k = F.col("l_partkey")
+    boxes = table(spark, sf, "lineitem").where("l_orderkey < 400").select(F.col("l_orderkey").alias("page"), (k % 50).cast("double").alias("x"), (k % 31).cast("double").alias("y"), F.col("l_quantity").alias("w"), F.col("l_linenumber").cast("double").alias("h"))
+    return boxes.groupBy("page").applyInPandas(area, "page long, area double")
+
+
+@query("preview_map")
+def preview_map(spark, sf):
+    """Chunks with the precision their boundaries allow: strict ones, those that only follow in order, and the rest."""
+    w = Window.partitionBy("doc_id").orderBy("chunk_index")
+    rows = chunks(spark, sf).withColumn("end", F.col("chunk_index") + F.length("content") % 3)
+    before = F.lag("end").over(w)
+    tier = F.when(before.isNull() | (F.col("chunk_index") > before), "exact").when(F.col("end") > before, "ordered").otherwise("approximate")
+    return rows.select("chunk_id", tier.alias("tier"))
+
+
+@query("legacy_bounds")
+def legacy_bounds(spark, sf):
+    """Greedy monotone subsequence: a span is kept if it starts after the last kept one ends. Folded over a document's short list."""
+    spans = chunks(spark, sf).select("doc_id", F.struct(F.col("chunk_index").alias("a"), (F.col("chunk_index") + F.length("content") % 4).alias("z"), "chunk_id").alias("s"))
+    listed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("s")).alias("ss"))  # the chunks of one document
+    start = F.struct(F.lit(-1).alias("last"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc, s):
+        ok = s["a"] > acc["last"]
+        return F.struct(F.when(ok, s["z"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["kept"], F.array(s["chunk_id"]))).otherwise(acc["kept"]).alias("kept"))
+
+    return listed.select(F.explode(F.aggregate("ss", start, step, lambda a: a["kept"])).alias("chunk_id"))
+
+
+@query("html_main")
+def html_main(spark, sf):
+    """Shortest container of a page that holds 60 % of the extracted text's 12-character grams."""
+
+    def grams(t: str) -> set[str]:
+        t = re.sub(r"\W+", "", t.lower())
+        return {t[i : i + 12] for i in range(max(0, len(t) - 11))}
+
+    def pick(source: str | None) -> int:
+        if not source:
+            return 0
+        wanted = grams(" ".join(re.findall(r"<p>(.*?)(?=<)", source)))
+        best = len(source)
+        for m in re.finditer(r"<(article|main|body|div|section)\b[^>]*>(.*?)</\1>", source, re.DOTALL):
+            text = re.sub(r"<[^>]+>", " ", m[2])
+            if wanted and len(m[2]) < best and len(wanted & grams(text)) >= 0.6 * len(wanted):
+                best = len(m[2])
+        return best
+
+    return table(spark, sf, "pages").select("page_id", fn.series(pick)("int")("html").alias("container_chars"))
+
+
+@query("html_clean", "SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g')) AS n FROM pages")
+def html_clean(spark, sf):
+    no_comments = F.regexp_replace("html", "(?s)<!--.*?-->", "")
+    no_scripts = F.regexp_replace(no_comments, "(?s)<(script|style)[^>]*>.*?</(script|style)>", "")
+    return table(spark, sf, "pages").select("page_id", F.length(F.regexp_replace(no_scripts, "<[^>]*>", "")).alias("n"))
+
+
+@query("table_merge")
+def table_merge(spark, sf):
+    """Tables that continue over pages: a table with the header of the one before on the next page joins its chain."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("header"))
+    fresh = ~((F.col("header") == F.lag("header").over(w)) & (F.col("l_linenumber") - F.lag("l_linenumber").over(w) <= 1))
+    chain = rows.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("chain", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return chain.groupBy("l_orderkey", "chain").agg(F.count(F.lit(1)).alias("parts"), F.min("header").alias("header"))
