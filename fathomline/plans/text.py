@@ -170,3 +170,27 @@ def chunk_pages(spark, sf):
     m = F.from_json(meta, "start_page int, end_page int, page_range struct<start:int,end:int>, page_numbers array<int>, page int")
     got = table(spark, sf, "events").select("event_id", m.alias("m"))
     return got.select("event_id", F.coalesce("m.start_page", "m.page_range.start", F.array_min("m.page_numbers"), "m.page").alias("first_page"), F.coalesce("m.end_page", "m.page_range.end", F.array_max("m.page_numbers"), "m.page").alias("last_page"))
+
+
+@query("html_extract")
+def html_extract(spark, sf):
+    from fathomline.functions.htmltext import to_markdown
+
+    return table(spark, sf, "pages").select("page_id", fn.series(to_markdown)("string")("html").alias("markdown"))
+
+
+@query("md_tables")
+def md_tables(spark, sf):
+    """Cells of the tables in rendered pages; the pages get a table of their url's parts first."""
+    from fathomline.functions.htmltext import cells, to_markdown
+    from fathomline.functions.markdown import elements
+    from fathomline.operators.chunking import per_document
+
+    made = F.concat(F.lit("<table><tr><th>id</th><th>url</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), F.col("url"), F.lit("</td></tr></table>"), F.col("html"))
+    pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), made.alias("text"))
+
+    def grid(t):
+        found = [cells(e.text) for e in elements(to_markdown(t)) if e.kind == "table"]
+        return [(k, r, c, v) for k, g in enumerate(found) for r, row in enumerate(g) for c, v in enumerate(row)]
+
+    return per_document(pages, "number long, line long, place long, cell string", grid)
