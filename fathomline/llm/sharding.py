@@ -1,8 +1,9 @@
 """Sharding: minimax contiguous partition of ordered atomic groups.
 
 Rows of equal text form an atomic group; groups are ordered by a 64-bit hash of the text. The smallest shard capacity for
-which a greedy pass needs no more than the wanted number of shards is found by binary search, and the greedy cuts at
-that capacity are the shards' bounds. The bounds are hash values, so a row's shard follows from its own text.
+which a greedy pass needs no more than the wanted number of shards is found by binary search, and the cuts keep every
+shard within that capacity, as evenly as they can; a group larger than an even share has a shard of its own. The bounds
+are hash values, so a row's shard follows from its own text.
 
 The groups are never gathered: the search works on cells, ranges of the hash with their total size. Cells that a cut may
 fall into are opened into finer cells until the cuts' cells hold one group each, so that what reaches the driver is a
@@ -70,6 +71,63 @@ def smallest_capacity(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
     return low, greedy(ends, low, shards)
 
 
+def even_cuts(ends: np.ndarray, capacity: int, shards: int) -> list[int]:
+    """Cell indices that begin shards 2, 3, ...: of all cuts that keep every shard within ``capacity``, those nearest to equal parts.
+
+    A cut may lie no further than what the shards behind it still hold and no further than one capacity from the last cut.
+    """
+    total = int(ends[-1])
+    edges = np.r_[0, ends]
+    least, right = [0] * shards, total
+    for k in range(shards - 1, 0, -1):
+        right = int(edges[np.searchsorted(edges, max(0, right - capacity), side="left")])
+        least[k] = right
+    cuts, last = [], 0
+    for k in range(1, shards):
+        most = int(edges[np.searchsorted(edges, last + capacity, side="right") - 1])
+        at = int(np.searchsorted(edges, total * k / shards))
+        near = min((int(edges[j]) for j in (at - 1, at) if 0 <= j < len(edges)), key=lambda e: abs(e - total * k / shards))
+        last = min(max(near, least[k], last), most)
+        cuts.append(int(np.searchsorted(edges, last)))
+    return cuts
+
+
+def balanced_cuts(cells: Cells, capacity: int, shards: int) -> list[int]:
+    """Cuts within the smallest capacity whose other shards are as even as can be.
+
+    A group larger than an even share of what is left gets a shard of its own, the largest first; the stretches between
+    such groups share the other shards by the same minimax search, and each is cut as evenly as its capacity allows.
+    """
+    rest, left = int(cells.size.sum()), shards
+    alone = np.zeros(len(cells), bool)
+    for c in np.argsort(-cells.size, kind="stable").tolist():
+        if left <= 1 or cells.groups[c] > 1 or cells.size[c] * left <= rest:
+            break
+        alone[c], rest, left = True, rest - int(cells.size[c]), left - 1
+    at = np.flatnonzero(alone).tolist()
+    stretches = [(a, z) for a, z in zip([0, *(x + 1 for x in at)], [*at, len(cells)], strict=True) if a < z]
+
+    def needs(limit: int) -> list[int] | None:
+        found = [greedy(np.cumsum(cells.size[a:z]), limit, left) for a, z in stretches]
+        counts = [len(f) + 1 for f in found if f is not None]
+        return counts if len(counts) == len(found) and sum(counts) <= left else None
+
+    if not at or not stretches or needs(capacity) is None:
+        return even_cuts(np.cumsum(cells.size), capacity, shards)
+    low, high = max(int(cells.size[a:z].max()) for a, z in stretches), capacity
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (mid + 1, high) if needs(mid) is None else (low, mid)
+    counts = needs(low)
+    for _ in range(left - sum(counts)):
+        wide = [int(cells.size[a:z].sum()) / n if n < z - a else 0.0 for (a, z), n in zip(stretches, counts, strict=True)]
+        counts[int(np.argmax(wide))] += 1
+    cuts = {x for c in at for x in (c, c + 1)}
+    for (a, z), n in zip(stretches, counts, strict=True):
+        cuts.update(a + c for c in even_cuts(np.cumsum(cells.size[a:z]), low, n))
+    return sorted(c for c in cuts if 0 < c < len(cells))
+
+
 def loosest(cells: Cells, capacity: int, shards: int) -> np.ndarray:
     """How far each cut can lie at most, in size from the start, if cells of several groups could be cut anywhere."""
     ends = np.cumsum(cells.size)
@@ -114,11 +172,11 @@ def bounds(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
     if not len(cells):
         return 0, []
     while True:
-        high, cuts = smallest_capacity(cells.size, shards)
+        high, _ = smallest_capacity(cells.size, shards)
         largest = int(cells.size[cells.groups == 1].max(initial=0))
         low = max(largest, -(-int(cells.size.sum()) // shards))
         if high <= low:
-            return high, [int(cells.low[c]) for c in cuts]
+            return high, [int(cells.low[c]) for c in balanced_cuts(cells, high, shards) if c < len(cells)]
         wide = (cells.groups > 1) & (cells.bits < HASH_BITS)
         ends = np.cumsum(cells.size)
         begin = ends - cells.size
@@ -132,7 +190,7 @@ def bounds(groups: DataFrame, shards: int) -> tuple[int, list[int]]:
         large = wide & (cells.size > low)
         open_ = large if large.any() else open_ & wide
         if not open_.any():
-            return high, [int(cells.low[c]) for c in cuts]
+            return high, [int(cells.low[c]) for c in balanced_cuts(cells, high, shards) if c < len(cells)]
         bits = int(cells.bits[open_].min())
         chosen = open_ & (cells.bits == bits)
         finer = min(HASH_BITS, bits + MORE_BITS)

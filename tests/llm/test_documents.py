@@ -176,6 +176,22 @@ def test_smallest_capacity_over_groups(spark, n, shards, hot):
     assert max(loads) == capacity and len(loads) <= shards
 
 
+def test_even_cuts_within_the_smallest_capacity():
+    rng = random.Random(6)
+    for _ in range(400):
+        n, shards = rng.randint(1, 60), rng.randint(1, 10)
+        sizes = np.array([rng.randint(1, 50) + (rng.randint(0, 900) if rng.random() < 0.04 else 0) for _ in range(n)])
+        capacity, _ = sharding.smallest_capacity(sizes, shards)
+        cells = sharding.Cells(np.arange(n), np.full(n, 63), sizes, np.ones(n, int))
+        cuts = [c for c in sharding.balanced_cuts(cells, capacity, shards) if c < n]
+        loads = [int(sizes[a:z].sum()) for a, z in zip([0, *cuts], [*cuts, n], strict=True)]
+        assert cuts == sorted(cuts) and len(loads) <= shards and max(loads) == capacity
+    sizes = np.r_[np.full(100, 5), 400, np.full(100, 5)]
+    cells = sharding.Cells(np.arange(201), np.full(201, 63), sizes, np.ones(201, int))
+    cuts = sharding.balanced_cuts(cells, 400, 11)
+    assert sorted(int(sizes[a:z].sum()) for a, z in zip([0, *cuts], [*cuts, 201], strict=True)) == [100] * 10 + [400]
+
+
 def test_shards(docs, texts, empty):
     got = rows(sharding.shard_documents(docs, 6))
     assert len(got) == len(texts)
