@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +68,20 @@ def utf8(column: pa.Array) -> list[bytes]:
 def text_bytes(column: Column) -> Column:
     """UTF-8 bytes of a text, 0 for null."""
     return F.coalesce(F.octet_length(column), F.lit(0)).cast("long")
+
+
+def squeezed(df: DataFrame) -> DataFrame:
+    """``df`` with its column ``text`` (null: empty) replaced by ``squeezed``, its UTF-8 compressed: for texts that a shuffle moves."""
+    others = [c for c in df.columns if c != "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(map(squeeze, utf8(b.column(len(others)))), pa.binary())], [*others, "squeezed"])
+
+    return arrow_map(df.select(*others, "text"), "".join(f"`{c}` {kinds[c]}, " for c in others) + "squeezed binary", rows)
+
+
+def expanded(column: pa.Array) -> list[bytes]:
+    """The texts of a ``squeezed`` column."""
+    return list(map(zstandard.ZstdDecompressor().decompress, column.to_pylist()))

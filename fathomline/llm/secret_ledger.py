@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import arrow_map, materialise, utf8
+from fathomline.llm.common import arrow_map, expanded, materialise, squeezed, utf8
 
 #: Base rules, then those that this method adds. A match of the pattern whose counted part is too short is dropped.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -96,10 +96,10 @@ def unseen(held: DataFrame, ledger: DataFrame | None) -> DataFrame:
 
 def scan_blobs(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     """Ledger entries (blob, rule_version and findings) of the chosen paths' blobs, each scanned once."""
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = squeezed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = arrow_map(
-        texts.join(chosen, "doc_id").select("blob", "text"), f"blob string, rule_version string, {FINDINGS}",
-        lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([RULE_VERSION] * b.num_rows), *_findings(utf8(b.column(1)))], ["blob", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]),
+        texts.join(chosen, "doc_id").select("blob", "squeezed"), f"blob string, rule_version string, {FINDINGS}",
+        lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([RULE_VERSION] * b.num_rows), *_findings(expanded(b.column(1)))], ["blob", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]),
     )
     return found.dropDuplicates(["blob"])  # repeated rows of a path hold one blob
 
