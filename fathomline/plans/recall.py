@@ -32,7 +32,7 @@ BM25_SQL = f"""
 """
 SPARSE_SQL = """
 sparse AS (
-  SELECT query_id, chunk_id, doc_id, dataset_id, round(sum(weight), 6) AS score
+  SELECT query_id, chunk_id, doc_id, dataset_id, round(CAST(sum(CAST(weight AS DECIMAL(18,9))) AS DOUBLE), 6) AS score
   FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY weight DESC, term) AS place FROM (SELECT *, round(1 + ln(tf), 9) AS weight FROM postings)) JOIN asked USING (term)
   WHERE place <= 256 GROUP BY ALL
 )
