@@ -8,6 +8,7 @@ import re
 import unicodedata
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,6 +62,51 @@ def effective_text(text: str | None) -> str:
     return "".join(c for c in t.casefold() if unicodedata.category(c)[0] in "LN" or c in "%+-=<>/.°")
 
 
+def _window_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix hashes and powers modulo 2**64, from which any window's hash is a difference."""
+    base = 0x9E3779B97F4A7C15
+    powers, sums, h, p = [1], [0], 0, 1
+    for c in text:
+        h, p = (h * base + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF, p * base & 0xFFFFFFFFFFFFFFFF
+        sums.append(h)
+        powers.append(p)
+    return np.array(sums, np.uint64), np.array(powers, np.uint64)
+
+
+def matched_chars(a: str, b: str) -> int:
+    """Characters in matching blocks: the longest common run (leftmost in a, then in b), then the same on both sides of it.
+
+    The run's length is found by binary search over hashed windows; a run is compared before it counts.
+    """
+    (ha, power), (hb, _) = _window_hashes(a), _window_hashes(b)
+    power = power if len(a) >= len(b) else _window_hashes(b)[1]
+
+    def common(n: int, x: int, y: int, u: int, v: int) -> tuple[int, int] | None:
+        if n > min(y - x, v - u):
+            return None
+        left = ha[x + n : y + 1] - ha[x : y - n + 1] * power[n]
+        right = hb[u + n : v + 1] - hb[u : v - n + 1] * power[n]
+        for i in np.flatnonzero(np.isin(left, right)).tolist():
+            if (j := b.find(a[x + i : x + i + n], u, v)) >= 0:
+                return x + i, j
+        return None
+
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        x, y, u, v = todo.pop()
+        low, high, found = 0, min(y - x, v - u), None
+        while low < high:
+            middle = (low + high + 1) // 2
+            if (at := common(middle, x, y, u, v)) is not None:
+                low, found = middle, at
+            else:
+                high = middle - 1
+        if found:
+            total += low
+            todo += [(x, found[0], u, found[1]), (found[0] + low, y, found[1] + low, v)]
+    return total
+
+
 def fidelity(source: str, output: str) -> tuple[float, float]:
     """(recall, precision) of the characters that matching blocks share; a contained source counts whole."""
     if not source:
@@ -69,9 +115,10 @@ def fidelity(source: str, output: str) -> tuple[float, float]:
         return 0.0, 0.0
     if source in output:
         matched = len(source)
+    elif max(len(source), len(output)) > 4000:
+        matched = sum(b.size for b in difflib.SequenceMatcher(None, source, output, autojunk=True).get_matching_blocks())
     else:
-        long = max(len(source), len(output)) > 4000
-        matched = sum(b.size for b in difflib.SequenceMatcher(None, source, output, autojunk=long).get_matching_blocks())
+        matched = matched_chars(source, output)
     return matched / len(source), matched / len(output)
 
 
@@ -191,3 +238,13 @@ def series(function):
         return apply
 
     return over
+
+
+def edits():
+    """A pandas UDF over two text columns: their edit distance, null as the empty text."""
+
+    @F.pandas_udf("int")
+    def apply(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([edit_distance(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    return apply

@@ -50,7 +50,7 @@ def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
     vocabulary = asked.select("term").distinct()
     useful = index.join(vocabulary, "term", "left_semi")
     frequency = useful.groupBy("dataset_id", "term").agg(F.count(F.lit(1)).alias("n_t"))
-    weighed = useful.join(frequency, ["dataset_id", "term"]).join(F.broadcast(corpus_stats(index)), "dataset_id")  # a row for each dataset
+    weighed = useful.join(frequency.join(corpus_stats(index), "dataset_id"), ["dataset_id", "term"])
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
     part = F.log(F.col("n_chunks") / F.col("n_t")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
     scored = weighed.select("term", "chunk_id", "doc_id", "dataset_id", part.alias("part")).join(asked, "term")

@@ -55,7 +55,7 @@ def repeated_edges(lines: DataFrame, scope: str, page: str, text: str, share: fl
     """Texts on at least ``max(2, ceil(share * pages))`` distinct pages of their scope."""
     pages = lines.select(scope, page).distinct().groupBy(scope).agg(F.count(F.lit(1)).alias("_every"))
     found = lines.select(scope, page, text).distinct().groupBy(scope, text).agg(F.count(F.lit(1)).alias("pages"))
-    return found.join(F.broadcast(pages), scope).where(F.col("pages") >= F.greatest(F.lit(2), F.ceil(share * F.col("_every")))).drop("_every")  # a row for each scope
+    return found.join(pages, scope).where(F.col("pages") >= F.greatest(F.lit(2), F.ceil(share * F.col("_every")))).drop("_every")
 
 
 def classify(rows: DataFrame, key: str, text: str, words: list[tuple[str, str, int]]) -> DataFrame:
@@ -84,3 +84,27 @@ def intersect_or_all(asked: DataFrame, available: DataFrame) -> DataFrame:
     nothing = both.agg((F.count(F.lit(1)) == 0).alias("_nothing"))
     rest = available.distinct().crossJoin(F.broadcast(nothing)).where("_nothing").drop("_nothing")  # one row
     return both.unionByName(rest)
+
+
+#: Characters of an excerpt that name its candidates.
+SEED_CHARS = 12
+
+
+def containing(documents: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """item_id and doc_id wherever ``s`` of a document (doc_id, s) holds the whole ``excerpt`` of an item (item_id, excerpt).
+
+    Seeds join by equality, so that no excerpt meets every document; then the whole texts decide. Shorter excerpts are
+    their own seeds. Null or empty excerpts are held by nothing.
+    """
+    seeds = excerpts.where("excerpt <> ''").select("item_id", F.substring("excerpt", 1, SEED_CHARS).alias("seed"))
+    sizes = [n for (n,) in seeds.select(F.length("seed")).distinct().collect()]  # SEED_CHARS numbers at most
+    if not sizes:
+        return documents.join(excerpts, F.lit(False)).select("item_id", "doc_id")
+
+    def grams(n: int) -> Column:
+        return F.regexp_extract_all("s", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # overlapping, in one pass
+
+    seeded = documents.select("doc_id", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("seed"))
+    pairs = seeded.join(seeds, "seed").select("item_id", "doc_id").distinct()
+    whole = pairs.join(excerpts, "item_id").join(documents, "doc_id")
+    return whole.where(F.contains("s", "excerpt")).select("item_id", "doc_id").distinct()

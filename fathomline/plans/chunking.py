@@ -42,17 +42,17 @@ def struct_bounds(spark, sf):
 
 @query("semantic_segments")
 def semantic_segments(spark, sf):
-    return op.semantic(table(spark, sf, "documents").where("n_chars < 12000"))
+    return op.semantic(table(spark, sf, "documents"))
 
 
 @query("cohesion")
 def cohesion(spark, sf):
-    return op.cohesions(table(spark, sf, "documents").where("n_chars < 12000")).select("doc_id", "gap", "cohesion")
+    return op.cohesions(table(spark, sf, "documents")).select("doc_id", "gap", "cohesion")
 
 
 @query("depth_valley")
 def depth_valley(spark, sf):
-    return op.cohesions(table(spark, sf, "documents").where("n_chars < 12000")).select("doc_id", "gap", "depth")
+    return op.cohesions(table(spark, sf, "documents")).select("doc_id", "gap", "depth")
 
 
 @query("overlap", f"WITH {CHUNKS_SQL} SELECT chunk_id, coalesce(right(lag(content) OVER w, 64), '') AS before, coalesce(left(lead(content) OVER w, 64), '') AS after FROM chunks WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)")

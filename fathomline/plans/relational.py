@@ -61,12 +61,12 @@ def heading_preview(spark, sf):
 
 @query(
     "neighbor_expand",
-    f"WITH {CHUNKS_SQL}, e AS (SELECT chunk_id AS evidence_id, doc_id, chunk_index AS at FROM chunks WHERE doc_id % 10 = 0 AND chunk_index % 4 = 1) "
+    f"WITH {CHUNKS_SQL}, e AS (SELECT chunk_id AS evidence_id, doc_id, chunk_index AS at FROM chunks WHERE regexp_matches(content, '[0-9]')) "
     "SELECT e.evidence_id, c.chunk_id, CASE WHEN c.chunk_index < e.at THEN 'before' WHEN c.chunk_index = e.at THEN 'current' ELSE 'after' END AS relation FROM e JOIN chunks c ON c.doc_id = e.doc_id AND c.chunk_index BETWEEN e.at - 2 AND e.at + 1",
 )
 def neighbor_expand(spark, sf):
     every = chunks(spark, sf)
-    evidence = every.where("doc_id % 10 = 0 and chunk_index % 4 = 1").select(F.col("chunk_id").alias("evidence_id"), "doc_id", F.col("chunk_index").alias("at"))
+    evidence = every.where("content rlike '[0-9]'").select(F.col("chunk_id").alias("evidence_id"), "doc_id", F.col("chunk_index").alias("at"))
     return op.neighbours(every, evidence, 2, 1)
 
 
@@ -84,24 +84,24 @@ def interval_overlap(spark, sf):
 
 @query(
     "evidence_check",
-    f"WITH {CHUNKS_SQL}, e AS (SELECT event_id, user_id || ':' || event_id % 12 AS chunk_id, sha256(CAST(event_id % 3 AS VARCHAR)) AS said FROM events WHERE event_id % 20 = 0) "
+    f"WITH {CHUNKS_SQL}, e AS (SELECT event_id, user_id || ':' || event_id % 12 AS chunk_id, sha256(CAST(event_id % 3 AS VARCHAR)) AS said FROM events) "
     "SELECT event_id, c.chunk_id IS NOT NULL AS found, coalesce(length(c.content) > 100, false) AS long_enough FROM e LEFT JOIN chunks c USING (chunk_id)",
 )
 def evidence_check(spark, sf):
-    said = table(spark, sf, "events").where("event_id % 20 = 0").select("event_id", F.concat_ws(":", "user_id", F.col("event_id") % 12).alias("chunk_id"))
+    said = table(spark, sf, "events").select("event_id", F.concat_ws(":", "user_id", F.col("event_id") % 12).alias("chunk_id"))
     frozen = chunks(spark, sf).select("chunk_id", F.length("content").alias("n"))
     return said.join(frozen, "chunk_id", "left").select("event_id", F.col("n").isNotNull().alias("found"), F.coalesce(F.col("n") > 100, F.lit(False)).alias("long_enough"))
 
 
 @query(
     "cell_accuracy",
-    "WITH g AS (SELECT l_orderkey % 50 AS t, l_linenumber AS r, l_partkey % 7 AS c, max(l_quantity) AS v FROM lineitem WHERE l_partkey % 11 > 0 GROUP BY ALL), p AS (SELECT l_orderkey % 50 AS t, l_linenumber AS r, l_partkey % 7 AS c, max(l_quantity) AS v FROM lineitem WHERE l_partkey % 13 > 0 GROUP BY ALL) "
+    "WITH g AS (SELECT l_orderkey % 50 AS t, l_linenumber AS r, l_partkey % 7 AS c, max(l_quantity) AS v FROM lineitem WHERE l_tax > 0.01 GROUP BY ALL), p AS (SELECT l_orderkey % 50 AS t, l_linenumber AS r, l_partkey % 7 AS c, max(l_quantity) AS v FROM lineitem WHERE l_discount > 0.01 GROUP BY ALL) "
     "SELECT t, count(*) AS cells, count(*) FILTER (WHERE g.v IS NOT DISTINCT FROM p.v) AS right_cells, round(count(*) FILTER (WHERE g.v IS NOT DISTINCT FROM p.v) / count(*), 6) AS accuracy FROM g FULL JOIN p USING (t, r, c) GROUP BY t",
 )
 def cell_accuracy(spark, sf):
-    item = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).alias("t"), F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 7).alias("c"), "l_partkey", "l_quantity")
-    gold = item.where("l_partkey % 11 > 0").groupBy("t", "r", "c").agg(F.max("l_quantity").alias("gold"))
-    said = item.where("l_partkey % 13 > 0").groupBy("t", "r", "c").agg(F.max("l_quantity").alias("said"))
+    item = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).alias("t"), F.col("l_linenumber").alias("r"), (F.col("l_partkey") % 7).alias("c"), "l_tax", "l_discount", "l_quantity")
+    gold = item.where("l_tax > 0.01").groupBy("t", "r", "c").agg(F.max("l_quantity").alias("gold"))
+    said = item.where("l_discount > 0.01").groupBy("t", "r", "c").agg(F.max("l_quantity").alias("said"))
     return op.cell_accuracy(gold, said, ["t", "r", "c"], "t")
 
 
@@ -262,10 +262,10 @@ def seq_prefix(spark, sf):
 # sets
 
 
-@query("stale_ids", f"WITH {CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE doc_id % 2 = 0 EXCEPT SELECT chunk_id FROM chunks WHERE length(content) > 200")
+@query("stale_ids", f"WITH {CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE length(content) > 20 EXCEPT SELECT chunk_id FROM chunks WHERE length(content) > 200")
 def stale_ids(spark, sf):
     every = chunks(spark, sf)
-    return every.where("doc_id % 2 = 0").select("chunk_id").join(every.where(F.length("content") > 200).select("chunk_id"), "chunk_id", "left_anti")
+    return every.where(F.length("content") > 20).select("chunk_id").join(every.where(F.length("content") > 200).select("chunk_id"), "chunk_id", "left_anti")
 
 
 @query("sources_intersect", "SELECT DISTINCT source FROM documents WHERE lang = 'de' INTERSECT SELECT source FROM documents WHERE lang = 'es'")

@@ -20,12 +20,12 @@ def field_validate(spark, sf):
 
 @query(
     "keyed_patch",
-    "SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(b.v, a.v) AS value, a.event_id IS NULL AS appended, coalesce(a.event_id, b.event_id) AS place FROM (SELECT event_id, value AS v FROM events WHERE event_id % 2 = 0) a FULL JOIN (SELECT event_id, value + 1 AS v, event_id % 5 = 0 AS removed FROM events WHERE event_id % 3 = 0) b ON a.event_id = b.event_id WHERE NOT coalesce(b.removed, false)",
+    "SELECT coalesce(a.event_id, b.event_id) AS event_id, coalesce(b.v, a.v) AS value, a.event_id IS NULL AS appended, coalesce(a.event_id, b.event_id) AS place FROM (SELECT event_id, value AS v FROM events WHERE event_type <> 'view') a FULL JOIN (SELECT event_id, value + 1 AS v, event_type = 'error' AS removed FROM events WHERE value > 50) b ON a.event_id = b.event_id WHERE NOT coalesce(b.removed, false)",
 )
 def keyed_patch(spark, sf):
     e = table(spark, sf, "events").withColumn("place", F.col("event_id"))
-    changes = e.where("event_id % 3 = 0").select("event_id", "place", (F.col("value") + 1).alias("value"), (F.col("event_id") % 5 == 0).alias("removed"))
-    return op.patch(e.where("event_id % 2 = 0"), changes, "event_id", "place", "value")
+    changes = e.where("value > 50").select("event_id", "place", (F.col("value") + 1).alias("value"), (F.col("event_type") == "error").alias("removed"))
+    return op.patch(e.where("event_type <> 'view'"), changes, "event_id", "place", "value")
 
 
 @query("block_series", "SELECT o_custkey, unnest(list(o_orderkey ORDER BY o_orderkey)) AS label, unnest(list(o_totalprice ORDER BY o_orderkey)) AS point FROM orders GROUP BY o_custkey")

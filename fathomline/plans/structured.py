@@ -105,10 +105,10 @@ def asset_promote(spark, sf):
     return op.newest_edition(versions, "asset", "edition_year", "publish_seq")
 
 
-@query("alias_seed", "SELECT n_name AS alias, 'seen' AS origin FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT n_name, 'default' FROM nation WHERE n_nationkey % 2 <> 0")
+@query("alias_seed", "SELECT n_name AS alias, 'seen' AS origin FROM nation WHERE n_regionkey < 2 UNION ALL SELECT n_name, 'default' FROM nation WHERE n_regionkey >= 2")
 def alias_seed(spark, sf):
     nation = table(spark, sf, "nation").withColumnRenamed("n_name", "alias")
-    have = nation.where("n_nationkey % 2 = 0").select("alias", F.lit("seen").alias("origin"))
+    have = nation.where("n_regionkey < 2").select("alias", F.lit("seen").alias("origin"))
     return op.insert_absent(have, nation.select("alias", F.lit("default").alias("origin")), ["alias"])
 
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathomline.catalog import query
 from fathomline.functions import text as fn
 from fathomline.functions import vectors
+from fathomline.operators import relational as op
 from fathomline.sources.tables import CHUNKS_SQL, chunks, table
 
 
@@ -28,13 +30,12 @@ def content_hash(spark, sf):
     return chunks(spark, sf).select("chunk_id", F.sha2("content", 256).alias("hash"))
 
 
-@query("excerpt_in", "SELECT b.item_id, d.doc_id FROM (SELECT item_id, lower(regexp_replace(text, '[^\\p{L}\\p{Nd}]+', '', 'g')) AS s FROM benchmark) b JOIN (SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{Nd}]+', '', 'g')) AS s FROM documents WHERE doc_id % 50 = 0) d ON contains(d.s, substring(b.s, 1, 12))")
+@query("excerpt_in", "SELECT b.item_id, d.doc_id FROM (SELECT item_id, lower(regexp_replace(text, '[^\\p{L}\\p{Nd}]+', '', 'g')) AS s FROM benchmark) b JOIN (SELECT doc_id, lower(regexp_replace(text, '[^\\p{L}\\p{Nd}]+', '', 'g')) AS s FROM documents) d ON contains(d.s, b.s)")
 def excerpt_in(spark, sf):
-    """Documents that hold an excerpt: both sides are cut into 12-character grams, which join by equality."""
-    asked = table(spark, sf, "benchmark").select("item_id", F.substring(fn.skeleton(F.col("text")), 1, 12).alias("gram"))
-    s = table(spark, sf, "documents").where("doc_id % 50 = 0 and text is not null").select("doc_id", fn.skeleton(F.col("text")).alias("s")).where("length(s) >= 12")
-    grams = s.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 11), lambda i: F.substring("s", i, F.lit(12)))).alias("gram"))
-    return grams.join(asked, "gram").select("item_id", "doc_id").distinct()
+    """Documents that hold a whole excerpt: its first words name candidates by equality, and the whole text decides."""
+    asked = table(spark, sf, "benchmark").select("item_id", fn.skeleton(F.col("text")).alias("excerpt"))
+    docs = table(spark, sf, "documents").select("doc_id", fn.skeleton(F.col("text")).alias("s"))
+    return op.containing(docs, asked)
 
 
 @query("url_valid", "SELECT page_id, regexp_matches(url, '^https?://[^/?#\\s]+') AS valid FROM pages")
@@ -90,16 +91,18 @@ def page_split(spark, sf):
 
 @query("edit_distance")
 def edit_distance(spark, sf):
-    lines = chunks(spark, sf).where("chunk_index < 2")
-    first, second = lines.where("chunk_index = 0").select("doc_id", F.substring("content", 1, 80).alias("a")), lines.where("chunk_index = 1").select("doc_id", F.substring("content", 1, 80).alias("b"))
-    return first.join(second, "doc_id").select("doc_id", F.levenshtein("a", "b").alias("distance"))
+    """Every line against the next of its document."""
+    after = F.lead("content").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    pairs = chunks(spark, sf).select("chunk_id", F.col("content").alias("a"), after.alias("b")).where("b is not null")
+    return pairs.select("chunk_id", fn.edits()("a", "b").alias("distance"))
 
 
 @query("char_accuracy")
 def char_accuracy(spark, sf):
-    lines = chunks(spark, sf).select("dataset_id", F.substring("content", 1, 120).alias("a"))
-    edits = F.levenshtein("a", F.regexp_replace("a", "e", ""))
-    return lines.groupBy("dataset_id").agg(F.round(1 - F.sum(edits) / F.sum(F.length("a")), 6).alias("accuracy"))
+    lines = chunks(spark, sf).select("dataset_id", F.col("content").alias("a"))
+    edits = fn.edits()("a", F.regexp_replace("a", "e", ""))
+    lines = lines.withColumn("edits", edits)
+    return lines.groupBy("dataset_id").agg(F.round(1 - F.sum("edits") / F.sum(F.length("a")), 6).alias("accuracy"))
 
 
 def _texts(spark, sf):
@@ -108,7 +111,7 @@ def _texts(spark, sf):
 
 @query("mojibake")
 def mojibake(spark, sf):
-    broken = F.decode(F.encode(F.substring("text", 1, 200), "UTF-8"), "ISO-8859-1")
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
     return _texts(spark, sf).select("doc_id", fn.series(fn.repair_mojibake)("string")(broken).alias("repaired"))
 
 
@@ -132,8 +135,7 @@ def _fidelity():
 
 @query("text_fidelity")
 def text_fidelity(spark, sf):
-    cut = F.substring("text", 1, 1500)
-    f = _fidelity()(cut, F.regexp_replace(cut, "the ", ""))
+    f = _fidelity()("text", F.regexp_replace("text", "the ", ""))
     return _texts(spark, sf).where("text is not null").select("doc_id", f.alias("f")).select("doc_id", "f.recall", "f.precision", ((F.col("f.recall") >= 0.97) & (F.col("f.precision") >= 0.97)).alias("passed"))
 
 
