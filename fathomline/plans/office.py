@@ -4,13 +4,15 @@ one workbook a region, with a block of electricity factors for its nations and f
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathomline.catalog import query
 from fathomline.functions import cursors
+from fathomline.operators import assets
 from fathomline.operators import workbook as op
 from fathomline.sources import office
-from fathomline.sources.tables import table
+from fathomline.sources.tables import CHUNKS_SQL, chunks, table
 
 
 def hub_sheet(regions: list[tuple[str, str, float]]) -> list[list]:
@@ -102,3 +104,37 @@ def signed_cursor(spark, sf):
 def import_tree(spark, sf):
     """The folder of the tables themselves as a tree of files."""
     return office.file_tree(spark, sf, "*.parquet")
+
+
+@query(
+    "word_verdict",
+    "SELECT l_orderkey, l_linenumber, retention, issues, CASE WHEN len(issues) = 0 THEN 'PASSED' ELSE 'CONTENT_VALIDATION_FAILED' END AS status FROM ("
+    "SELECT l_orderkey, l_linenumber, round(kept, 6) AS retention, list_filter(["
+    "CASE WHEN kept < 0.97 THEN 'WORD_TEXT_RETENTION_LOW' END, CASE WHEN l_linenumber > 5 THEN 'WORD_TABLE_COUNT_MISMATCH' END, "
+    "CASE WHEN l_linenumber = 7 THEN 'WORD_TABLE_IR_FAILED' END, CASE WHEN l_quantity > 40 AND l_returnflag = 'R' THEN 'WORD_IMAGE_ASSETS_NOT_PERSISTED' END], lambda x: x IS NOT NULL) AS issues FROM (SELECT *, CASE WHEN l_partkey > 0 THEN least(1e0, greatest(l_partkey - 5 * (l_linenumber // 4), 0) / l_partkey) ELSE 1e0 END AS kept FROM lineitem))",
+)
+def word_verdict(spark, sf):
+    """Line items as parsed files: characters, tables and images by their part, number and quantity."""
+    n, zero = F.col("l_linenumber"), F.lit(0)
+    rows = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_partkey").alias("source_chars"), (F.col("l_partkey") - 5 * F.floor(n / 4)).alias("output_chars"), zero.alias("source_formulas"), zero.alias("output_formulas"),
+        n.alias("source_tables"), F.least(n, F.lit(5)).alias("output_tables"), zero.alias("source_nested_tables"), zero.alias("output_nested_tables"), F.when(n == 7, 1).alias("table_failures"),
+        (F.col("l_quantity") > 40).cast("int").alias("source_images"), (F.col("l_quantity") > 40).cast("int").alias("output_images"), (F.col("l_returnflag") != "R").alias("images_stored"),
+    )
+    return assets.word_verdict(rows).select("l_orderkey", "l_linenumber", "retention", "issues", "status")
+
+
+@query(
+    "image_policy",
+    f"WITH {CHUNKS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS occurrence, chunk_index + 1 AS page, 'img/' || chunk_index || '.png' AS source_ref, "
+    "CASE length(content) % 3 WHEN 0 THEN 'chart' WHEN 1 THEN 'seal' ELSE 'unknown' END AS class, CASE WHEN length(content) % 3 = 1 THEN 'NOT_REQUIRED' WHEN length(content) < 12 THEN 'INVALID' WHEN length(content) < 60 THEN 'REQUIRED' ELSE 'COMPLETE' END AS status FROM chunks",
+)
+def image_policy(spark, sf):
+    """Documents with an image below each line, classed by the line's length; short and long lines describe theirs."""
+    lines = chunks(spark, sf).withColumn("n", F.length("content"))
+    alt = F.when(F.col("n") % 3 == 0, "Chart of it").when(F.col("n") % 3 == 1, "SEAL").otherwise("it")
+    piece = F.format_string("<!-- ODL_PAGE:%d -->\n![%s](img/%d.png)", F.col("chunk_index") + 1, alt, "chunk_index")
+    texts = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", piece.alias("t")))).alias("p")).select("doc_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"))  # the lines of one document
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    described = lines.withColumn("occurrence", place).where("n < 12 or n >= 60").select("doc_id", "occurrence", (F.col("chunk_index") + 1).alias("source_page"), F.regexp_replace("content", "\\s", "_").alias("summary"))
+    return assets.image_policy(assets.images(texts), described).select("doc_id", "occurrence", "page", "source_ref", "class", "status")

@@ -8,6 +8,7 @@ from xml.etree import ElementTree
 import pytest
 
 from fathomline.functions import cursors, mathml
+from fathomline.operators import assets
 from fathomline.operators import workbook as op
 from fathomline.plans.office import hub_sheet
 from fathomline.sources import office
@@ -117,3 +118,20 @@ def test_cursors():
         cursors.decode(cursors.signing_key("other"), c, "wiki", {"q": "é"}, 1000)
     with pytest.raises(ValueError):
         cursors.signing_key("")
+
+
+def test_images_and_their_policy(spark):
+    text = """![Logo](a.png) <!-- ODL_PAGE:2 -->\n<IMG alt='Flowchart of x' src="b c.png"> ![](<c chart.png>)\n<!-- ODL_PAGE:3 -->![x](d.png "t")<img alt="no source">"""
+    found = assets.images(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"))
+    got = [(r.doc_id, r.occurrence, r.page, r.source_ref, r["class"]) for r in found.orderBy("doc_id", "occurrence").collect()]
+    assert got == [(1, 1, None, "a.png", "decorative"), (1, 2, 2, "b c.png", "flowchart"), (1, 3, 2, "c chart.png", "chart"), (1, 4, 3, "d.png", "unknown")]
+    said = spark.createDataFrame([(1, 2, 2, "steps of the process"), (1, 3, 3, "values of the year"), (1, 4, 3, "short")], "doc_id long, occurrence int, source_page int, summary string")
+    judged = {r.occurrence: (r.status, r.searched, r.warnings) for r in assets.image_policy(found, said).collect()}
+    assert judged == {
+        1: ("NOT_REQUIRED", False, ["MISSING_IMAGE_PAGE_PROVENANCE", "PREVIEW_ONLY_CATEGORY"]),
+        2: ("COMPLETE", True, []),
+        3: ("INVALID", False, ["VISUAL_DESCRIPTION_PAGE_MISMATCH"]),
+        4: ("INVALID", False, ["VISUAL_DESCRIPTION_TOO_SHORT"]),
+    }
+    none = assets.image_policy(found, said.limit(0)).where("doc_id = 1 and occurrence = 4").first()
+    assert none.status == "REQUIRED" and none.warnings == ["VISUAL_DESCRIPTION_REQUIRED"]
