@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,25 +90,49 @@ def intersect_or_all(asked: DataFrame, available: DataFrame) -> DataFrame:
     return both.unionByName(rest)
 
 
-#: Characters of an excerpt that name its candidates.
-SEED_CHARS = 12
+#: Characters of a gram, and grams of a run whose least hash stands for it.
+GRAM_CHARS, RUN_GRAMS = 12, 16
+
+
+def run_hashes(text: str | None, gram: int, run: int, first: bool = False) -> np.ndarray:
+    """The least gram hash of every run of ``run`` grams of ``text``, each once, or of the first run only; none if it has fewer grams."""
+    codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
+    if first:
+        codes = codes[: gram + run - 1]
+    n = len(codes) - gram + 1
+    if n < run:
+        return np.empty(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for k in range(gram):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    h ^= h >> np.uint64(29)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, run).min(axis=1)).view(np.int64)
+
+
+def _run_seeds(rows: DataFrame, key: str, text: str, gram: int, run: int, first: bool) -> DataFrame:
+    """key and seed: the run hashes of every text, in Arrow batches."""
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [run_hashes(t, gram, run, first) for t in b.column(1).to_pylist()]
+            keys = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keys)), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], [key, "seed"])
+
+    return rows.select(key, text).mapInArrow(seeds, f"{key} {rows.schema[key].dataType.simpleString()}, seed long")
 
 
 def containing(documents: DataFrame, excerpts: DataFrame) -> DataFrame:
     """item_id and doc_id wherever ``s`` of a document (doc_id, s) holds the whole ``excerpt`` of an item (item_id, excerpt).
 
-    Seeds join by equality, so that no excerpt meets every document; then the whole texts decide. Shorter excerpts are
-    their own seeds. Null or empty excerpts are held by nothing.
+    An excerpt's first run of grams lies whole in every text that holds it, so that its least hash is among the text's.
+    These join by equality, so that no excerpt meets every document; then the whole texts decide. The shortest excerpt sets
+    the lengths. Null or empty excerpts are held by nothing.
     """
-    seeds = excerpts.where("excerpt <> ''").select("item_id", F.substring("excerpt", 1, SEED_CHARS).alias("seed"))
-    sizes = [n for (n,) in seeds.select(F.length("seed")).distinct().collect()]  # SEED_CHARS numbers at most
-    if not sizes:
-        return documents.join(excerpts, F.lit(False)).select("item_id", "doc_id")
-
-    def grams(n: int) -> Column:
-        return F.regexp_extract_all("s", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))  # overlapping, in one pass
-
-    seeded = documents.select("doc_id", F.explode(F.array_distinct(F.concat(*map(grams, sizes)))).alias("seed"))
-    pairs = seeded.join(seeds, "seed").select("item_id", "doc_id").distinct()
-    whole = pairs.join(excerpts, "item_id").join(documents, "doc_id")
+    asked = excerpts.where("excerpt <> ''")
+    least = asked.agg(F.min(F.length("excerpt"))).first()[0] or 1
+    gram = min(GRAM_CHARS, least)
+    run = min(RUN_GRAMS, least - gram + 1)
+    named = _run_seeds(asked, "item_id", "excerpt", gram, run, first=True)
+    pairs = _run_seeds(documents, "doc_id", "s", gram, run, first=False).join(named, "seed").select("item_id", "doc_id").distinct()
+    whole = pairs.join(asked, "item_id").join(documents, "doc_id")
     return whole.where(F.contains("s", "excerpt")).select("item_id", "doc_id").distinct()

@@ -144,3 +144,31 @@ def test_html_to_markdown():
     got = to_markdown(page)
     assert got == "## A & b\n\none **two** [x](u) y\n\n1. i\n\n2. j\n\n> q\n\n```\nc\n d\n```\n\n| h | h |\n| --- | --- |\n| 1\\|2 | 3 |"
     assert cells(got.split("\n\n")[-1]) == [["h", "h"], ["1|2", "3"]] and to_markdown(None) == ""
+
+
+def test_matched_chars_are_those_of_matching_blocks():
+    import difflib
+    import random
+
+    from fathomline.functions.text import matched_chars
+
+    rng = random.Random(1)
+    for k in range(400):
+        a, b = ("".join(rng.choice("ab" if k % 2 else "abcdef") for _ in range(rng.randint(0, 40))) for _ in range(2))
+        assert matched_chars(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_containing_finds_every_whole_excerpt(spark):
+    import random
+
+    from fathomline.operators.relational import containing
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 200))) for _ in range(60)] + [None, ""]
+    for least in (1, 5, 14, 40):
+        asked = [t[k : k + rng.randint(least, 60)] for t in texts if t and len(t) > 80 for k in (0, 7, 33)] + ["x" * least, None, ""]
+        got = containing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, s string"), spark.createDataFrame(list(enumerate(asked)), "item_id long, excerpt string"))
+        wanted = {(i, d) for i, e in enumerate(asked) if e for d, t in enumerate(texts) if t and e in t}
+        assert {(r.item_id, r.doc_id) for r in got.collect()} == wanted and got.count() == len(wanted)
+    empty = spark.createDataFrame([], "item_id long, excerpt string")
+    assert containing(spark.createDataFrame([(1, "a")], "doc_id long, s string"), empty).count() == 0
