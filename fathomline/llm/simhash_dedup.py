@@ -51,19 +51,19 @@ def _plain_counts(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def shingle_hashes(text: bytes) -> np.ndarray:
-    """XXH64 of every shingle of ``text``, A-Z lower-cased, repeats included."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle (of ``shingle`` words) of ``text``, A-Z lower-cased, repeats included."""
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
+    if len(words) <= shingle:
         return np.asarray([digest(b" ".join(words), SEED)], np.uint64)
     line = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: len(words) - SHINGLE + 1].tolist()
-    return np.fromiter([digest(line[a:z], SEED) for a, z in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64, len(starts))
+    starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
+    return np.fromiter([digest(line[a:z], SEED) for a, z in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64, len(starts))
 
 
 def fingerprint(text: bytes) -> int:
