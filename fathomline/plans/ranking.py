@@ -125,10 +125,21 @@ def cond_cov(spark, sf):
     return op.text_features(pool_with_text(spark, sf)).select("query_id", "chunk_id", F.round("condition_coverage", 6).alias("condition_coverage"))
 
 
+def bigram_frequencies(pool):
+    """In how many chunks of a query's pool each bigram occurs."""
+    grams = pool.select("query_id", "chunk_id", F.explode(op.char_ngrams(op.normal_text(F.col("content")), 2)).alias("gram"))
+    return grams.groupBy("query_id", "gram").agg(F.countDistinct("chunk_id").alias("df"))
+
+
 @query("bigram_df", f"WITH {TEXT_POOL}, g AS (SELECT DISTINCT query_id, chunk_id, unnest({_grams('c', 2)}) AS gram FROM texts WHERE query_id < 8) SELECT query_id, gram, count(*) AS df FROM g GROUP BY ALL")
 def bigram_df(spark, sf):
-    grams = pool_with_text(spark, sf).where("query_id < 8").select("query_id", "chunk_id", F.explode(op.char_ngrams(op.normal_text(F.col("content")), 2)).alias("gram"))
-    return grams.groupBy("query_id", "gram").agg(F.countDistinct("chunk_id").alias("df"))
+    return bigram_frequencies(pool_with_text(spark, sf).where("query_id < 8"))
+
+
+@query("bigram_df_whole", f"WITH {TEXT_POOL}, g AS (SELECT DISTINCT query_id, chunk_id, unnest({_grams('c', 2)}) AS gram FROM texts) SELECT query_id, gram, count(*) AS df FROM g GROUP BY ALL")
+def bigram_df_whole(spark, sf):
+    """As ``bigram_df``, for every query: the SQL of that one names the first eight."""
+    return bigram_frequencies(pool_with_text(spark, sf))
 
 
 @query(

@@ -97,3 +97,13 @@ def test_dense_search_against_all_pairs(spark):
     c = np.divide(f @ f.T, np.outer(n, n), out=np.zeros((60, 60)), where=np.outer(n, n) > 0).round(6)
     want = [(q, int(i)) for q in range(5) for i in sorted(range(60), key=lambda i: (-c[q, i], i))[:4]]
     assert [(r.query_id, r.vec_id) for r in got] == want
+
+
+def test_bigram_frequencies_of_every_query(spark, monkeypatch):
+    from fathomline.plans import ranking as plans
+
+    rows = [(q, f"c{q}-{k}", t) for q in (0, 7, 8, 50, 10**9) for k, t in enumerate(["ab cd", "abab", "", "Q"])]
+    pool = spark.createDataFrame(rows, "query_id long, chunk_id string, content string")
+    monkeypatch.setattr(plans, "pool_with_text", lambda s, sf: pool)
+    got = {(r.query_id, r.gram): r.df for r in plans.bigram_df_whole(spark, "").collect()}
+    assert got == {(q, g): n for q in (0, 7, 8, 50, 10**9) for g, n in {"ab": 2, "bc": 1, "cd": 1, "ba": 1}.items()}
