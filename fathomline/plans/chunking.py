@@ -1,5 +1,6 @@
 """Queries of chunking. Documents have no headings of their own, so lines are given them by a stated rule: every twelfth
-line opens a first-level section and every other fourth a second-level one."""
+line opens a first-level section and every other fourth a second-level one, titled with its first 30 characters. The line
+itself stays whole under its title."""
 
 from __future__ import annotations
 
@@ -12,7 +13,10 @@ from fathomline.sources.tables import CHUNKS_SQL, chunks, table
 
 
 def markdown_documents(spark, sf):
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 12 == 0, F.concat(F.lit("# "), F.left(x, F.lit(30)))).when(i % 4 == 0, F.concat(F.lit("## "), F.left(x, F.lit(30)))).otherwise(x))
+    def title(x):
+        return F.concat(F.left(x, F.lit(30)), F.lit("\n\n"), x)
+
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 12 == 0, F.concat(F.lit("# "), title(x))).when(i % 4 == 0, F.concat(F.lit("## "), title(x))).otherwise(x))
     return table(spark, sf, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
 
 

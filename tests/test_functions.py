@@ -172,3 +172,17 @@ def test_containing_finds_every_whole_excerpt(spark):
         assert {(r.item_id, r.doc_id) for r in got.collect()} == wanted and got.count() == len(wanted)
     empty = spark.createDataFrame([], "item_id long, excerpt string")
     assert containing(spark.createDataFrame([(1, "a")], "doc_id long, s string"), empty).count() == 0
+
+
+def test_headed_documents_keep_every_character(spark, monkeypatch):
+    from fathomline.plans import chunking
+
+    texts = ["word " * 3000 + "end", "\n".join(f"line {i} " + "x" * 50 * (i % 3) for i in range(30)), "short", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(chunking, "table", lambda *_: docs)
+    got = {r.doc_id: r.text.split("\n\n") for r in chunking.markdown_documents(spark, "").collect()}
+    for i, t in enumerate(texts):
+        lines = iter(got[i])
+        assert all(x in lines for x in t.split("\n"))
+    chunks = [r.body for r in chunking.coarse_chunks(spark, "").where("doc_id = 0").collect()]
+    assert sum(c.count("word") for c in chunks) >= 3000 and any("end" in c for c in chunks)
