@@ -6,8 +6,9 @@ ledger and new findings back to every path (document) that holds the blob; ``new
 gains. Blobs are chosen by the smallest id that holds them, so that texts move by document id and never by blob: a text
 with a million copies is no hot key, and its other copies are not scanned.
 
-Defined results: null is the empty text, which is a blob like any other; repeated rows repeat in the result; rows whose
-doc_id is null are scanned where they are; a missing or empty ledger means that everything is unseen.
+Defined results: null is the empty text, which is a blob like any other; repeated rows repeat in the result; an id may
+hold several texts, each with its own blob; rows whose doc_id is null are scanned where they are; a missing or empty
+ledger means that everything is unseen.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import arrow_map, expanded, materialise, squeezed, utf8
@@ -81,9 +82,13 @@ def _findings(texts: list[bytes]) -> list[pa.Array]:
     return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.string()] * 2, strict=True)]
 
 
+def _blob() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
 def paths(documents: DataFrame) -> DataFrame:
     """doc_id and blob (SHA-256 of the text as UTF-8) of every row."""
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _blob().alias("blob"))
 
 
 def unseen(held: DataFrame, ledger: DataFrame | None) -> DataFrame:
@@ -96,9 +101,9 @@ def unseen(held: DataFrame, ledger: DataFrame | None) -> DataFrame:
 
 def scan_blobs(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     """Ledger entries (blob, rule_version and findings) of the chosen paths' blobs, each scanned once."""
-    texts = squeezed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    texts = squeezed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), _blob().alias("blob"), "text"))
     found = arrow_map(
-        texts.join(chosen, "doc_id").select("blob", "squeezed"), f"blob string, rule_version string, {FINDINGS}",
+        texts.join(chosen, ["doc_id", "blob"]).select("blob", "squeezed"), f"blob string, rule_version string, {FINDINGS}",
         lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([RULE_VERSION] * b.num_rows), *_findings(expanded(b.column(1)))], ["blob", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]),
     )
     return found.dropDuplicates(["blob"])  # repeated rows of a path hold one blob
@@ -129,8 +134,8 @@ def redact_documents(documents: DataFrame, ledger: DataFrame | None = None) -> D
     names, kinds = documents.columns, {f.name: f.dataType.simpleString() for f in documents.schema}
     at = names.index("text")
     known, _ = scan(documents.where("doc_id is not null"), ledger)
-    spans = known.where("spans != ''").select(F.col("doc_id").alias("found_id"), F.col("spans").alias("found_spans")).dropDuplicates(["found_id"])
-    marked = documents.join(spans, F.col("doc_id").cast("long") == F.col("found_id"), "left").drop("found_id")
+    spans = known.where("spans != ''").select(F.col("doc_id").alias("found_id"), F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans")).dropDuplicates(["found_id", "found_blob"])
+    marked = documents.join(spans, (F.col("doc_id").cast("long") == F.col("found_id")) & (_blob() == F.col("found_blob")), "left").drop("found_id", "found_blob")
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:
         masked, changed = [], []

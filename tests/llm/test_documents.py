@@ -422,3 +422,15 @@ def test_many_sources_and_large_means(spark, monkeypatch):
     assert abs(mixing.mix(df).count() - 3000) < 300 and few.count() < 3000
     mean = spark.range(200).select(F.col("id").alias("doc_id"), mixing.copies(F.lit(1300.0)).alias("k"))
     assert abs(mean.agg(F.avg("k")).first()[0] - 1300) < 15
+
+
+def test_texts_of_one_id_keep_their_own_secrets(spark):
+    texts = ["x " * 20 + "secret=abcdefgh", "password=hunter2hunter and nothing else", "no findings here", None]
+    df = spark.createDataFrame([(5, t) for t in texts] + [(6, texts[0])], "doc_id long, text string")
+    for _ in range(2):
+        got, new = secret_ledger.scan(df)
+        want = {hashlib.sha256((t or "").encode()).hexdigest(): secret_ledger.joined(secret_ledger.find_spans(t or "")) for t in texts}
+        assert {r.blob: r.spans for r in got.collect()} == want == {r.blob: r.spans for r in new.collect()} and got.count() == 5
+        masked = sorted(str(r.text) for r in secret_ledger.redact_documents(df).collect())
+        assert masked == sorted(["x " * 20 + "[SECRET]"] * 2 + ["[SECRET] and nothing else", "no findings here", "None"])
+        df = df.repartition(3)
