@@ -26,6 +26,8 @@ from fathomline.llm.common import arrow_map
 DROPPED = frozenset("nav footer aside form script style noscript template iframe svg canvas object select textarea button dialog menu head title audio video map math datalist option".split())
 #: Read to their end tag without looking for tags inside.
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
+#: Their end tags, searched in the page itself: lower-casing it first can change its length.
+_ENDS = {name: re.compile(f"</(?i:{name})", re.ASCII) for name in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article main section div body td html".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr th caption blockquote pre figure figcaption header hr address hgroup details summary fieldset center".split()) | DROPPED
@@ -84,13 +86,11 @@ class Page:
         self.amounts: list[int] = []
         self.breaks: list[int] = []  # tokens before which a block ends
         close_raw = ""
-        lower = ""
         at, n = 0, len(source)
         while at < n:
             if close_raw:
-                lower = lower or source.lower()
-                stop = lower.find(f"</{close_raw}", at)
-                at, close_raw = (n if stop < 0 else stop), ""
+                stop = _ENDS[close_raw].search(source, at)
+                at, close_raw = (stop.start() if stop else n), ""
                 continue
             m = _TOKENS.search(source, at)
             begin = m.start() if m else n

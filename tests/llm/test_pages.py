@@ -70,3 +70,11 @@ def test_held_out_hosts():
     good = ["gardenrecipes.example", "cityhistory.example", "thririn.example", "ththandon.example", "schoolcalendar.example"]
     assert all(judge.judge(f"http://{h}/en/1")[3] == "block" for h in bad)
     assert all(judge.judge(f"http://{h}/en/1")[3] == "allow" for h in good)
+
+
+def test_raw_elements_end_where_they_do_after_letters_that_lower_to_two():
+    body = "<script>var a = 1;</SCRIPT><article><p>" + "The harbour was quiet that evening. " * 8 + "</p></article>"
+    plain = "<html><head><title>I{}</title></head><body>" + body + "</body></html>"
+    page = mt.Page(plain.format("İ" * 9))
+    assert [r and r[0] for r in page.runs][2:] == [r and r[0] for r in mt.Page(plain.format("")).runs][2:]
+    assert any(r and "harbour" in r[0] and not r[1][2] for r in page.runs)
