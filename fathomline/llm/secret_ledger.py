@@ -27,11 +27,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ADDED = {
-    "pem": re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # to the END line, or else over headers and base64 lines
+    "pem": re.compile(
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+        r"|(?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2})*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+={1,2})?)"
+    ),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     "ghtoken": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    "urlpass": re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    "urlpass": re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@"),
 }
 KINDS = ["assign", "access", "hex", *ADDED]
 MARKS = {"pem": "PRIVATE", "jwt": "eyJ", "ghtoken": "gh", "slack": "xox", "urlpass": "://"}
