@@ -233,9 +233,24 @@ def recall_e2e(spark, sf):
 )
 def recall_diag(spark, sf):
     kept = route_hits(spark, sf).where("(source <> 'dense' or query_id % 3 > 0) and (source = 'dense' or query_id % 4 > 0)")
-    counts = kept.groupBy("query_id").pivot("source", ["bm25", "dense", "sparse"]).count()
-    every = questions(spark, sf).select("query_id").join(counts, "query_id", "left").na.fill(0)
-    return op.diagnosis(every)
+    return diagnosed(kept, questions(spark, sf))
+
+
+def diagnosed(hits, asked):
+    """Hits of each route and the mode of every query of ``asked``."""
+    counts = hits.groupBy("query_id").pivot("source", ["bm25", "dense", "sparse"]).count()
+    return op.diagnosis(asked.select("query_id").join(counts, "query_id", "left").na.fill(0))
+
+
+@query(
+    "recall_diag_whole",
+    f"WITH {ROUTES_SQL}, n AS (SELECT item_id AS query_id, count(*) FILTER (WHERE source = 'bm25') AS bm25, count(*) FILTER (WHERE source = 'dense') AS dense, count(*) FILTER (WHERE source = 'sparse') AS sparse "
+    "FROM benchmark LEFT JOIN routes ON item_id = query_id GROUP BY item_id) "
+    "SELECT *, CASE WHEN dense > 0 AND (bm25 > 0 OR sparse > 0) THEN 'hybrid' WHEN bm25 > 0 THEN 'lexical_only' WHEN dense > 0 THEN 'dense_only' WHEN sparse > 0 THEN 'sparse_only' END AS mode FROM n",
+)
+def recall_diag_whole(spark, sf):
+    """As ``recall_diag``, over all hits: the SQL of that one lets routes fail by a rule on ids."""
+    return diagnosed(route_hits(spark, sf), questions(spark, sf))
 
 
 STATES = "CASE WHEN event_type = 'error' THEN CASE WHEN value > 90 THEN 'FATAL' ELSE 'FAILED' END ELSE 'OK' END"

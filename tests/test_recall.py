@@ -107,3 +107,14 @@ def test_bigram_frequencies_of_every_query(spark, monkeypatch):
     monkeypatch.setattr(plans, "pool_with_text", lambda s, sf: pool)
     got = {(r.query_id, r.gram): r.df for r in plans.bigram_df_whole(spark, "").collect()}
     assert got == {(q, g): n for q in (0, 7, 8, 50, 10**9) for g, n in {"ab": 2, "bc": 1, "cd": 1, "ba": 1}.items()}
+
+
+def test_diagnosis_counts_every_hit(spark, monkeypatch):
+    from fathomline.plans import recall as plans
+
+    routes = {0: ["bm25", "dense", "dense"], 3: ["dense", "sparse"], 4: ["bm25"], 12: ["dense"], 5: ["sparse"], 6: []}
+    hits = spark.createDataFrame([(q, s, f"c{k}", 1, 1, 1.0) for q, v in routes.items() for k, s in enumerate(v)], HITS)
+    monkeypatch.setattr(plans, "route_hits", lambda s, sf: hits)
+    monkeypatch.setattr(plans, "questions", lambda s, sf: spark.createDataFrame([(q,) for q in routes], "query_id long"))
+    got = {r.query_id: (r.bm25, r.dense, r.sparse, r.mode) for r in plans.recall_diag_whole(spark, "").collect()}
+    assert got == {0: (1, 2, 0, "hybrid"), 3: (0, 1, 1, "hybrid"), 4: (1, 0, 0, "lexical_only"), 12: (0, 1, 0, "dense_only"), 5: (0, 0, 1, "sparse_only"), 6: (0, 0, 0, None)}
