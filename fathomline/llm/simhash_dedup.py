@@ -189,7 +189,7 @@ def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
         def links_of(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             fps = np.concatenate(parts) if len(parts) > 1 else parts[0]
             if len(fps) > 1:
-                u, v = tiled_links(fps.view(np.uint64))
+                u, v = tiled_links(fps.view(np.uint64), radius)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(fps[u]), pa.array(fps[v])], ["u", "v"])
 

@@ -448,3 +448,19 @@ def test_whole_keys_and_long_credentials_are_masked():
     assert mask(f"{begin} opens a key.\n") == "[SECRET] opens a key.\n"
     assert mask(f"{begin}\n{lines}\n{begin}\n{lines}\n{end} x") == "[SECRET]\n[SECRET] x"
     assert mask(f"to https://{'u' * 200}:{'p-' * 150}@host/ now") == "to [SECRET]host/ now"
+
+
+@pytest.mark.parametrize("radius", [2, 6])
+def test_links_of_another_radius(spark, radius):
+    rng = random.Random(radius)
+    f = set()
+    for _ in range(20):
+        x = rng.getrandbits(64)
+        for _ in range(8):
+            f.add(x)
+            for b in rng.sample(range(64), rng.randint(1, 8)):
+                x ^= 1 << b
+    f = sorted(v - (1 << 64) if v >> 63 else v for v in f)
+    got = simhash_dedup.links(spark.createDataFrame([(v,) for v in f], "fp long"), len(f), radius).collect()
+    near = [(a, b) for k, a in enumerate(f) for b in f[:k] if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius]
+    assert classes(f, [(r.u, r.v) for r in got]) == classes(f, near)
