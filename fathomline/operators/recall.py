@@ -9,17 +9,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.sources.shared import stored
+
 K1, B, SCALE = 1.2, 0.75, 1000.0
 WEIGHTS = {"bm25": 0.15, "sparse": 0.15, "dense": 0.70}
 TOP_K = 64
 SPARSE_TERMS = 256
 #: Multipliers of BM25 scores by chunk type; other types keep their score.
 TYPE_WEIGHTS = {"table": 1.2, "code_block": 1.15, "math_block": 1.15, "image": 1.1, "front_matter": 0.7}
-#: Query vectors of one dense search; they travel to every task.
-MOST_QUERIES = 20_000
+#: Queries that one pass over an index answers; more are asked in further passes.
+QUERY_BLOCK = 1000
+#: Rows of an index that meet a block of queries at once.
+INDEX_ROWS = 4096
 
 
 def words(text: Column) -> Column:
@@ -40,21 +45,104 @@ def corpus_stats(index: DataFrame) -> DataFrame:
     return each.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits of the BM25 route, scored against their own dataset's statistics.
+def stored_index(chunks: DataFrame) -> DataFrame:
+    """One row for each chunk with a word: chunk_id, doc_id, dataset_id, and terms, impacts and weights as arrays.
 
-    The query terms, distinct within a query, meet the postings on the term; document frequencies are needed for those
-    terms only, so that the frequencies are counted after that cut.
+    An impact is what the term adds to a query's BM25 score, by its dataset's statistics. Terms come by falling sparse weight, ties
+    by term, so that the sparse route takes the first SPARSE_TERMS of them. The postings are stored on the way, since
+    statistics and join both read them. A term stands once in a chunk, so that a common one is a small share of them; adaptive
+    execution splits its join.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    useful = index.join(vocabulary, "term", "left_semi")
-    frequency = useful.groupBy("dataset_id", "term").agg(F.count(F.lit(1)).alias("n_t"))
-    weighed = useful.join(frequency.join(corpus_stats(index), "dataset_id"), ["dataset_id", "term"])
+    index = stored(postings(chunks), "postings")
+    frequency = index.groupBy("dataset_id", "term").agg(F.count(F.lit(1)).alias("n_t")).join(corpus_stats(index), "dataset_id")
+    weighed = index.join(frequency, ["dataset_id", "term"])
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
-    part = F.log(F.col("n_chunks") / F.col("n_t")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = weighed.select("term", "chunk_id", "doc_id", "dataset_id", part.alias("part")).join(asked, "term")
-    return scored.groupBy("query_id", "chunk_id", "doc_id", "dataset_id").agg(F.round(F.lit(SCALE) * F.sum("part"), 6).alias("score"))
+    impact = F.log(F.col("n_chunks") / F.col("n_t")) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    term = F.struct((-F.round(1 + F.log(F.col("tf")), 9)).alias("order"), "term", impact.alias("impact"))
+    listed = weighed.groupBy("chunk_id", "doc_id", "dataset_id").agg(F.sort_array(F.collect_list(term)).alias("t"))  # the terms of one chunk
+    return listed.select("chunk_id", "doc_id", "dataset_id", F.col("t.term").alias("terms"), F.col("t.impact").alias("impacts"), F.transform("t.order", lambda w: -w).alias("weights"))
+
+
+def query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
+    """``queries`` in blocks of about QUERY_BLOCK rows, which are all that the driver and a task hold at once."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        yield (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries).toArrow()
+
+
+def lexical(index: DataFrame, queries: DataFrame, k: int, route: str = "bm25", by_dataset: bool = False, per_document: bool = False) -> DataFrame:
+    """The ``k`` best hits of each query in ``index`` (of ``stored_index``): query_id, chunk_id, doc_id, dataset_id, score.
+
+    The distinct words of a block of queries travel to every task, which scores its own rows and sends on its k best of
+    a query, or of each dataset or with the best chunk of a document only; a window merges what the tasks send. ``route``: bm25,
+    the sum of impacts, or sparse, the dot product with the SPARSE_TERMS heaviest terms.
+    """
+    asked = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("words"))
+    column = "impacts" if route == "bm25" else "weights"
+    spark = index.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(INDEX_ROWS))
+    rows = index.selectExpr("chunk_id", "cast(doc_id as long) doc_id", "cast(dataset_id as long) dataset_id", "terms", column) if route == "bm25" else (
+        index.select("chunk_id", F.col("doc_id").cast("long"), F.col("dataset_id").cast("long"), F.slice("terms", 1, SPARSE_TERMS).alias("terms"), F.slice("weights", 1, SPARSE_TERMS).alias("weights"))
+    )
+    out = None
+    for block in query_blocks(asked):
+        hits = rows.mapInArrow(_scorer(block, k, route, by_dataset, per_document), "query_id long, chunk_id string, doc_id long, dataset_id long, score double")
+        out = hits if out is None else out.unionByName(hits)
+    if per_document:
+        out = ranked(out, ["query_id", "dataset_id", "doc_id"], 1).drop("rank")
+    return ranked(out, ["query_id", "dataset_id"] if by_dataset else ["query_id"], k).drop("rank").withColumn("dataset_id", F.col("dataset_id").cast(index.schema["dataset_id"].dataType))
+
+
+def _scorer(block: pa.Table, k: int, route: str, by_dataset: bool, per_document: bool):
+    ids = block.column("query_id").to_numpy()
+    lists = block.column("words").combine_chunks() if block.num_rows else pa.array([], pa.list_(pa.string()))
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    flat = lists.flatten()
+    vocabulary = flat.unique()
+    of_query = np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    of_term = pc.index_in(flat, value_set=vocabulary).to_numpy(zero_copy_only=False).astype(np.int64) if len(flat) else np.empty(0, np.int64)
+    order = np.argsort(of_term, kind="stable")
+    asking = np.split(of_query[order], np.flatnonzero(np.diff(of_term[order])) + 1) if len(order) else []
+
+    def best(score: np.ndarray, place: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if not per_document and len(at) > k:
+            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
+        at = at[np.lexsort((place[at], -score[at]))]
+        if per_document:
+            at = at[np.sort(np.unique(docs[at], return_index=True)[1])]
+        return at[:k]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows or not len(vocabulary):
+                continue
+            terms, weights = b.column(3), b.column(4)
+            row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+            known = pc.fill_null(pc.index_in(terms.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+            use = np.flatnonzero(known >= 0)
+            use = use[np.argsort(known[use], kind="stable")]
+            term, row, weight = known[use], row[use], weights.flatten().to_numpy(zero_copy_only=False)[use]
+            if route == "sparse":
+                weight = np.rint(weight * 1e9).astype(np.int64)  # sums of nine decimals are exact
+            score = np.zeros((len(ids), b.num_rows), weight.dtype)
+            found = np.zeros(score.shape, bool)
+            edges = np.r_[0, np.flatnonzero(np.diff(term)) + 1, len(term)] if len(term) else np.zeros(1, int)
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                cells = np.ix_(asking[term[a]], row[a:z])
+                score[cells] += weight[a:z]
+                found[cells] = True
+            score = np.round(SCALE * score, 6) if route == "bm25" else (score + 500) // 1000 / 1e6
+            names = np.asarray(b.column(0).to_pylist(), object)
+            place = np.empty(b.num_rows, np.int64)
+            place[np.argsort(names)] = np.arange(b.num_rows)
+            docs, sets = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            groups = [np.flatnonzero(sets == d) for d in np.unique(sets)] if by_dataset else [np.arange(b.num_rows)]
+            picked = [(q, best(score[q], place, docs, g[found[q, g]])) for q in range(len(ids)) for g in groups]
+            at = np.concatenate([p for _, p in picked])
+            q = np.repeat([x for x, _ in picked], [len(p) for _, p in picked])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array(score[q, at])], ["query_id", "chunk_id", "doc_id", "dataset_id", "score"])
+
+    return search
 
 
 def ranked(hits: DataFrame, by: list[str], k: int | None = None, order: list[Column] | None = None) -> DataFrame:
@@ -65,7 +153,7 @@ def ranked(hits: DataFrame, by: list[str], k: int | None = None, order: list[Col
 
 
 def merge_datasets(hits: DataFrame, per_dataset: int, k: int) -> DataFrame:
-    """BM25 over several datasets: scores become (n - rank + 1) / n in each, then datasets take turns by score."""
+    """``hits``: at least the ``per_dataset`` best of each dataset. BM25 over several datasets: scores become (n - rank + 1) / n in each, then datasets take turns by score."""
     first = ranked(hits, ["query_id", "dataset_id"], per_dataset)
     n = F.count(F.lit(1)).over(Window.partitionBy("query_id", "dataset_id"))
     relative = first.withColumn("score", (n - F.col("rank") + 1) / n).withColumnRenamed("rank", "dataset_rank")
@@ -82,13 +170,6 @@ def typed(hits: DataFrame, types: Column, k: int, prefetch: int = 200) -> DataFr
     return ranked(first.withColumn("score", F.round(F.col("score") * weight, 6)), ["query_id"], k, [F.desc("score"), F.asc("first_rank")])
 
 
-def sparse_vectors(index: DataFrame, most: int = SPARSE_TERMS) -> DataFrame:
-    """Sparse weights 1 + ln(tf) of each chunk's terms, the ``most`` largest of a chunk (ties by term)."""
-    weighed = index.withColumn("weight", F.round(1 + F.log(F.col("tf")), 9))
-    place = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("weight"), "term"))
-    return weighed.withColumn("place", place).where(F.col("place") <= most).select("chunk_id", "doc_id", "dataset_id", "term", "weight")
-
-
 def clean_weights(weights: DataFrame, least: float = 0.0, most: int = SPARSE_TERMS) -> DataFrame:
     """Lexical weights (chunk_id, idx, weight): finite, positive and at least ``least``; the largest of repeated indices; the
     ``most`` largest of a chunk; as arrays in index order."""
@@ -100,50 +181,60 @@ def clean_weights(weights: DataFrame, least: float = 0.0, most: int = SPARSE_TER
     return top.groupBy("chunk_id").agg(pairs.alias("pairs")).select("chunk_id", F.col("pairs.idx").alias("indices"), F.col("pairs.weight").alias("weights"))
 
 
-def sparse(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits of the sparse route: dot products over shared terms, every distinct query term weighing 1. Sums are exact in nine decimals, so that their order doesn't show."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    return vectors.join(asked, "term").groupBy("query_id", "chunk_id", "doc_id", "dataset_id").agg(F.round(F.sum(F.col("weight").cast("decimal(18,9)")).cast("double"), 6).alias("score"))
-
-
 def dense(index: DataFrame, queries: DataFrame, k: int, same_dataset: bool = False, threshold: float | None = None) -> DataFrame:
     """Exact cosine top-k of ``index`` (vec_id, dataset_id, embedding) for ``queries`` (query_id, dataset_id, embedding).
 
-    Blocks of the index meet the query matrix in numpy, each task keeps its own k best of a query, and a window merges
-    them. The query set is bounded by MOST_QUERIES; more are an error, to be asked in several batches. ``same_dataset``
-    and ``threshold`` are applied before the cut.
+    Batches of the index meet a block of queries in numpy, each task keeps its own k best of a query, and a window merges
+    them. ``same_dataset`` and ``threshold`` are applied before the cut. Vectors whose dataset is null match no dataset.
     """
-    asked = queries.select("query_id", "dataset_id", "embedding").limit(MOST_QUERIES + 1).toArrow()
-    if asked.num_rows > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query vectors; ask them in batches")
-    ids = asked.column("query_id").to_numpy()
-    sets = asked.column("dataset_id").to_numpy()
-    matrix = np.asarray(asked.column("embedding").to_pylist(), float)
-
-    def unit(m: np.ndarray) -> np.ndarray:
+    index.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(INDEX_ROWS))
+    rows = index.selectExpr("cast(vec_id as long) vec_id", "cast(dataset_id as long) dataset_id", "embedding")
+    out = None
+    for block in query_blocks(queries.selectExpr("cast(query_id as long) query_id", "cast(dataset_id as long) dataset_id", "embedding")):
+        hits = rows.mapInArrow(_nearest(block, k, same_dataset, threshold), "query_id long, vec_id long, dataset_id long, score double")
+        out = hits if out is None else out.unionByName(hits)
+    return ranked(out, ["query_id"], k, [F.desc("score"), F.asc("vec_id")])
+
+
+def _nearest(block: pa.Table, k: int, same_dataset: bool, threshold: float | None):
+    ids = block.column("query_id").to_numpy()
+    sets = block.column("dataset_id").to_numpy()
+
+    def unit(vectors: pa.Array) -> np.ndarray:
+        m = np.asarray(vectors.to_pylist(), float).reshape(len(vectors), -1)
         norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
+    asked = unit(block.column("embedding"))
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = unit(matrix) if len(ids) else matrix
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # k best so far: score, vec and dataset of each query
         for b in batches:
             if not b.num_rows or not len(ids):
                 continue
-            vectors = unit(np.asarray(b.column(2).to_pylist(), float))
-            score = np.round(q @ vectors.T, 6) + 0.0
-            vec, own = b.column(0).to_numpy(), b.column(1).to_numpy()
-            ok = np.ones(score.shape, bool)
+            score = np.round(asked @ unit(b.column(2)).T, 6) + 0.0
+            vec = np.broadcast_to(b.column(0).to_numpy(), score.shape)
+            own = np.broadcast_to(b.column(1).to_numpy(zero_copy_only=False), score.shape)
             if same_dataset:
-                ok &= sets[:, None] == own[None, :]
+                score[sets[:, None] != own] = -np.inf
             if threshold is not None:
-                ok &= score >= threshold
-            for i in range(len(ids)):
-                at = np.flatnonzero(ok[i])
-                at = at[np.lexsort((vec[at], -score[i, at]))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(vec[at]), pa.array(own[at].astype(np.int64)), pa.array(score[i, at])], ["query_id", "vec_id", "dataset_id", "score"])
-
-    hits = index.selectExpr("cast(vec_id as long) vec_id", "cast(dataset_id as long) dataset_id", "embedding").mapInArrow(search, "query_id long, vec_id long, dataset_id long, score double")
-    return ranked(hits, ["query_id"], k, [F.desc("score"), F.asc("vec_id")])
+                score[score < threshold] = -np.inf
+            if held is not None:
+                score, vec, own = (np.concatenate([x, y], axis=1) for x, y in zip(held, (score, vec, own), strict=True))
+            if score.shape[1] > k:
+                least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                picked = []
+                for i in range(len(ids)):
+                    at = np.flatnonzero(score[i] >= least[i])
+                    picked.append(at[np.lexsort((vec[i, at], -score[i, at]))[:k]])
+                at = np.asarray(picked)
+                score, vec, own = (np.take_along_axis(x, at, axis=1) for x in (score, vec, own))
+            held = score, vec, own
+        if held is not None:
+            q, at = np.nonzero(held[0] > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(held[1][q, at]), pa.array(held[2][q, at], pa.int64(), from_pandas=True), pa.array(held[0][q, at])], ["query_id", "vec_id", "dataset_id", "score"])
+
+    return search
 
 
 def transform_score(source: Column, score: Column) -> Column:

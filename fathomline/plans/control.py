@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from fathomline.catalog import query
-from fathomline.sources.sinks import shared_folder
+from fathomline.sources.shared import shared_folder
 from fathomline.sources.tables import table
 from fathomline.streaming import control as op
 

@@ -69,9 +69,8 @@ def ltr_baseline(spark, sf):
 
 @query("ltr_rank")
 def ltr_rank(spark, sf):
-    """Model order with a pluggable scorer; no model is shipped, so the baseline is the score, as it is the fallback."""
-    out = op.baseline(pool(spark, sf))
-    return out.select("query_id", "chunk_id", F.col("baseline_score").alias("model_score"), F.col("baseline_rank").alias("rank"))
+    """Model order by a scorer over the features. No model file is public, so that the scorer is the baseline, which is the fallback too."""
+    return op.rank_by(op.features(pool_with_text(spark, sf)), op.baseline_scorer).select("query_id", "chunk_id", F.round("model_score", 6).alias("model_score"), "rank")
 
 
 @query("ltr_features")
@@ -95,8 +94,8 @@ TEXT_POOL = f"{POOL_SQL}, texts AS (SELECT p.query_id, p.chunk_id, p.doc_id, {GR
     "SELECT query_id, chunk_id, round(CASE WHEN len(q2) = 0 THEN 0 ELSE len(list_intersect(q2, c2)) / len(q2) END::DOUBLE, 6) AS bigram_coverage, round(CASE WHEN len(q3) = 0 THEN 0 ELSE len(list_intersect(q3, c3)) / len(q3) END::DOUBLE, 6) AS trigram_coverage FROM g",
 )
 def ngram_overlap(spark, sf):
-    out = op.text_features(pool_with_text(spark, sf))
-    return out.select("query_id", "chunk_id", *(F.round(c, 6).alias(c) for c in ("bigram_coverage", "trigram_coverage")))
+    out = op.grams(pool_with_text(spark, sf).select("query_id", "query", "chunk_id", "content"), ["query_bigram_coverage", "query_trigram_coverage"])
+    return out.select("query_id", "chunk_id", F.round("query_bigram_coverage", 6).alias("bigram_coverage"), F.round("query_trigram_coverage", 6).alias("trigram_coverage"))
 
 
 @query("norm_text", f"WITH {CHUNKS_SQL} SELECT chunk_id, {GRAMS_SQL.format(t='content')} AS norm FROM chunks")
@@ -122,23 +121,17 @@ def needle_cov(spark, sf):
     "SELECT query_id, chunk_id, round(CASE WHEN len(clauses) <= 1 THEN 0 ELSE len(met) / len(clauses) END::DOUBLE, 6) AS condition_coverage FROM m",
 )
 def cond_cov(spark, sf):
-    return op.text_features(pool_with_text(spark, sf)).select("query_id", "chunk_id", F.round("condition_coverage", 6).alias("condition_coverage"))
+    return op.grams(pool_with_text(spark, sf).select("query_id", "query", "chunk_id", "content"), ["condition_coverage"]).select("query_id", "chunk_id", F.round("condition_coverage", 6).alias("condition_coverage"))
 
 
 def bigram_frequencies(pool):
     """In how many chunks of a query's pool each bigram occurs."""
-    grams = pool.select("query_id", "chunk_id", F.explode(op.char_ngrams(op.normal_text(F.col("content")), 2)).alias("gram"))
+    grams = op.grams(pool.select("query_id", "chunk_id", "content"), ["content_bigram_texts"]).select("query_id", "chunk_id", F.explode("content_bigram_texts").alias("gram"))
     return grams.groupBy("query_id", "gram").agg(F.countDistinct("chunk_id").alias("df"))
 
 
-@query("bigram_df", f"WITH {TEXT_POOL}, g AS (SELECT DISTINCT query_id, chunk_id, unnest({_grams('c', 2)}) AS gram FROM texts WHERE query_id < 8) SELECT query_id, gram, count(*) AS df FROM g GROUP BY ALL")
+@query("bigram_df", f"WITH {TEXT_POOL}, g AS (SELECT DISTINCT query_id, chunk_id, unnest({_grams('c', 2)}) AS gram FROM texts) SELECT query_id, gram, count(*) AS df FROM g GROUP BY ALL")
 def bigram_df(spark, sf):
-    return bigram_frequencies(pool_with_text(spark, sf).where("query_id < 8"))
-
-
-@query("bigram_df_whole", f"WITH {TEXT_POOL}, g AS (SELECT DISTINCT query_id, chunk_id, unnest({_grams('c', 2)}) AS gram FROM texts) SELECT query_id, gram, count(*) AS df FROM g GROUP BY ALL")
-def bigram_df_whole(spark, sf):
-    """As ``bigram_df``, for every query: the SQL of that one names the first eight."""
     return bigram_frequencies(pool_with_text(spark, sf))
 
 
@@ -148,8 +141,8 @@ def bigram_df_whole(spark, sf):
     "SELECT g.query_id, g.chunk_id, CAST(count(p.j) AS INTEGER) AS same_document_count, round(coalesce(max(p.j), 0)::DOUBLE, 6) AS same_document_similarity FROM g LEFT JOIN p USING (query_id, chunk_id) GROUP BY ALL",
 )
 def same_doc_jaccard(spark, sf):
-    grams = pool_with_text(spark, sf).withColumn("_c2", op.char_ngrams(op.normal_text(F.col("content")), 2))
-    return op.same_document(grams).select("query_id", "chunk_id", "same_document_count", F.round("same_document_similarity", 6).alias("same_document_similarity"))
+    held = op.grams(pool_with_text(spark, sf).select("query_id", "doc_id", "chunk_id", "content"), ["content_bigrams"])
+    return op.same_document(held).select("query_id", "chunk_id", F.col("same_doc_candidate_count").alias("same_document_count"), F.round("same_doc_max_bigram_similarity", 6).alias("same_document_similarity"))
 
 
 @query("regex_all", "SELECT doc_id, list_sort(list_distinct(list_transform(regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?'), lambda x: x))) AS numbers FROM documents WHERE text IS NOT NULL")
@@ -206,12 +199,12 @@ UNION ALL SELECT query_id, chunk_id, 'bm25' FROM scored JOIN quota USING (query_
 @query("quota_merge", QUOTA_SQL)
 def quota_merge(spark, sf):
     """A third of twelve places for prefix hits and two thirds for BM25 hits; what one side can't fill goes to the other."""
-    asked = recall.questions(spark, sf).withColumn("start", F.substring("query", 1, 3))
-    lines = chunks(spark, sf).withColumn("start", F.substring("content", 1, 3))
-    by_chunk = Window.partitionBy("query_id").orderBy("chunk_id")
-    prefix = lines.join(asked, "start").select("query_id", "chunk_id", F.row_number().over(by_chunk).alias("place")).where("place <= 12")
+    asked = recall.questions(spark, sf).select("query_id", F.substring("query", 1, 3).alias("start"))
+    lines = chunks(spark, sf).select("chunk_id", F.substring("content", 1, 3).alias("start")).join(asked.select("start").distinct(), "start", "left_semi")
+    by_chunk = Window.partitionBy("start").orderBy("chunk_id")  # questions that begin alike have the same hits
+    prefix = lines.withColumn("place", F.row_number().over(by_chunk)).where("place <= 12").join(asked, "start").select("query_id", "chunk_id", "place")
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    scored = recall.bm25_hits(spark, sf).join(prefix, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.row_number().over(by_score).alias("place")).where("place <= 12")
+    scored = recall.bm25_hits(spark, sf, 24).join(prefix, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.row_number().over(by_score).alias("place")).where("place <= 12")
     both = prefix.withColumn("origin", F.lit("prefix")).unionByName(scored.withColumn("origin", F.lit("bm25")))
     every = Window.partitionBy("query_id")
     np_, ns = F.count_if(F.col("origin") == "prefix").over(every), F.count_if(F.col("origin") == "bm25").over(every)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fathomline.catalog import query
 from fathomline.operators import recall as op
+from fathomline.sources.shared import kept
 from fathomline.sources.tables import CHUNKS_SQL, chunks, ready_documents, table
 
 INDEX_SQL = f"""
@@ -74,15 +75,21 @@ def questions(spark, sf):
 
 
 def index(spark, sf):
+    """The inverted index, as far as vocabulary and statistics need it."""
     return op.postings(chunks(spark, sf))
 
 
-def bm25_hits(spark, sf):
-    return op.bm25(index(spark, sf), questions(spark, sf))
+def stored(spark, sf):
+    """The index that the lexical routes search, built once for each application and set of tables."""
+    return kept(spark, f"index of {sf}", lambda: op.stored_index(chunks(spark, sf)))
 
 
-def sparse_hits(spark, sf):
-    return op.sparse(op.sparse_vectors(index(spark, sf)), questions(spark, sf))
+def bm25_hits(spark, sf, k, **how):
+    return op.lexical(stored(spark, sf), questions(spark, sf), k, **how)
+
+
+def sparse_hits(spark, sf, k):
+    return op.lexical(stored(spark, sf), questions(spark, sf), k, "sparse")
 
 
 def vectors(spark, sf):
@@ -102,7 +109,7 @@ def dense_hits(spark, sf, k=50):
 def route_hits(spark, sf):
     """The three routes' best 50 of each query, with their source."""
     out = None
-    for source, hits in (("bm25", op.ranked(bm25_hits(spark, sf), ["query_id"], 50).drop("rank")), ("sparse", op.ranked(sparse_hits(spark, sf), ["query_id"], 50).drop("rank")), ("dense", dense_hits(spark, sf))):
+    for source, hits in (("bm25", bm25_hits(spark, sf, 50)), ("sparse", sparse_hits(spark, sf, 50)), ("dense", dense_hits(spark, sf))):
         rows = hits.select("query_id", F.lit(source).alias("source"), "chunk_id", "doc_id", "dataset_id", "score")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -120,7 +127,7 @@ def bm25_stats(spark, sf):
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25 QUALIFY rank <= 20")
 def bm25_topk(spark, sf):
-    return op.ranked(bm25_hits(spark, sf), ["query_id"], 20)
+    return op.ranked(bm25_hits(spark, sf, 20), ["query_id"], 20)
 
 
 @query(
@@ -130,7 +137,7 @@ def bm25_topk(spark, sf):
     "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset_id, dataset_rank) AS rank FROM relative QUALIFY rank <= 64",
 )
 def bm25_merge(spark, sf):
-    return op.merge_datasets(bm25_hits(spark, sf), 10, 64)
+    return op.merge_datasets(bm25_hits(spark, sf, 10, by_dataset=True), 10, 64)
 
 
 @query(
@@ -139,8 +146,7 @@ def bm25_merge(spark, sf):
     "SELECT *, row_number() OVER (PARTITION BY query_id, dataset_id ORDER BY score DESC, chunk_id) AS rank FROM once QUALIFY rank <= 5",
 )
 def bm25_by_dataset(spark, sf):
-    once = op.ranked(bm25_hits(spark, sf), ["query_id", "dataset_id", "doc_id"], 1).drop("rank")
-    return op.ranked(once, ["query_id", "dataset_id"], 5)
+    return op.ranked(bm25_hits(spark, sf, 5, by_dataset=True, per_document=True), ["query_id", "dataset_id"], 5)
 
 
 TYPE_SQL = "CASE WHEN contains(chunk_id, ':0') THEN 'front_matter' WHEN doc_id % 5 = 0 THEN 'table' WHEN doc_id % 5 = 1 THEN 'code_block' ELSE 'text' END"
@@ -154,12 +160,12 @@ TYPE_SQL = "CASE WHEN contains(chunk_id, ':0') THEN 'front_matter' WHEN doc_id %
 )
 def bm25_typed(spark, sf):
     kind = F.when(F.col("chunk_id").contains(":0"), "front_matter").when(F.col("doc_id") % 5 == 0, "table").when(F.col("doc_id") % 5 == 1, "code_block").otherwise("text")
-    return op.typed(bm25_hits(spark, sf), kind, 20)
+    return op.typed(bm25_hits(spark, sf, 200), kind, 20)
 
 
 @query("sparse_topk", f"WITH {INDEX_SQL}, {SPARSE_SQL} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sparse QUALIFY rank <= 20")
 def sparse_topk(spark, sf):
-    return op.ranked(sparse_hits(spark, sf), ["query_id"], 20)
+    return op.ranked(sparse_hits(spark, sf, 20), ["query_id"], 20)
 
 
 @query(
@@ -225,17 +231,6 @@ def recall_e2e(spark, sf):
     return op.ranked(op.gate(op.fuse(route_hits(spark, sf)), ready_documents(spark, sf), ["doc_id"]), ["query_id"], op.TOP_K)
 
 
-@query(
-    "recall_diag",
-    f"WITH {ROUTES_SQL}, n AS (SELECT item_id AS query_id, count(*) FILTER (WHERE source = 'bm25') AS bm25, count(*) FILTER (WHERE source = 'dense') AS dense, count(*) FILTER (WHERE source = 'sparse') AS sparse "
-    "FROM benchmark LEFT JOIN routes ON item_id = query_id AND (source <> 'dense' OR query_id % 3 > 0) AND (source = 'dense' OR query_id % 4 > 0) GROUP BY item_id) "
-    "SELECT *, CASE WHEN dense > 0 AND (bm25 > 0 OR sparse > 0) THEN 'hybrid' WHEN bm25 > 0 THEN 'lexical_only' WHEN dense > 0 THEN 'dense_only' WHEN sparse > 0 THEN 'sparse_only' END AS mode FROM n",
-)
-def recall_diag(spark, sf):
-    kept = route_hits(spark, sf).where("(source <> 'dense' or query_id % 3 > 0) and (source = 'dense' or query_id % 4 > 0)")
-    return diagnosed(kept, questions(spark, sf))
-
-
 def diagnosed(hits, asked):
     """Hits of each route and the mode of every query of ``asked``."""
     counts = hits.groupBy("query_id").pivot("source", ["bm25", "dense", "sparse"]).count()
@@ -243,13 +238,12 @@ def diagnosed(hits, asked):
 
 
 @query(
-    "recall_diag_whole",
+    "recall_diag",
     f"WITH {ROUTES_SQL}, n AS (SELECT item_id AS query_id, count(*) FILTER (WHERE source = 'bm25') AS bm25, count(*) FILTER (WHERE source = 'dense') AS dense, count(*) FILTER (WHERE source = 'sparse') AS sparse "
     "FROM benchmark LEFT JOIN routes ON item_id = query_id GROUP BY item_id) "
     "SELECT *, CASE WHEN dense > 0 AND (bm25 > 0 OR sparse > 0) THEN 'hybrid' WHEN bm25 > 0 THEN 'lexical_only' WHEN dense > 0 THEN 'dense_only' WHEN sparse > 0 THEN 'sparse_only' END AS mode FROM n",
 )
-def recall_diag_whole(spark, sf):
-    """As ``recall_diag``, over all hits: the SQL of that one lets routes fail by a rule on ids."""
+def recall_diag(spark, sf):
     return diagnosed(route_hits(spark, sf), questions(spark, sf))
 
 
@@ -283,7 +277,7 @@ def readiness_gate(spark, sf):
 
 @query("context_pack")
 def context_pack(spark, sf):
-    best = op.ranked(bm25_hits(spark, sf), ["query_id"], 12)
+    best = op.ranked(bm25_hits(spark, sf, 12), ["query_id"], 12)
     return op.pack_context(best.join(chunks(spark, sf).select("chunk_id", "content"), "chunk_id"), 400)
 
 
@@ -298,7 +292,7 @@ def token_est(spark, sf):
     "SELECT query_id, rank, chunk_id, CAST(rank AS INTEGER) AS citation, CASE WHEN start_page = end_page THEN start_page END AS page, CASE WHEN end_page IS NOT NULL AND start_page <> end_page THEN start_page || '-' || end_page END AS page_range FROM p",
 )
 def hit_payload(spark, sf):
-    top = op.ranked(bm25_hits(spark, sf), ["query_id"], 8)
+    top = op.ranked(bm25_hits(spark, sf, 8), ["query_id"], 8)
     first = (F.col("doc_id") % 9 + 1).cast("int")
     last = F.when(F.col("doc_id") % 4 == 0, None).otherwise((F.col("doc_id") % 9 + 1 + F.col("doc_id") % 2).cast("int"))
     paged = top.withColumns({"start_page": first, "end_page": last})
@@ -316,7 +310,7 @@ def hash_sample(spark, sf):
 @query("top5_noise", f"WITH {BM25_SQL}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM bm25 QUALIFY rank <= 5) SELECT query_id, count(*) AS n, count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)) AS noisy FROM top GROUP BY query_id")
 def top5_noise(spark, sf):
     poor = table(spark, sf, "labels").where("quality = 0").select("doc_id", F.lit(1).alias("poor"))
-    top = op.ranked(bm25_hits(spark, sf), ["query_id"], 5).join(poor, "doc_id", "left")
+    top = op.ranked(bm25_hits(spark, sf, 5), ["query_id"], 5).join(poor, "doc_id", "left")
     return top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count("poor").alias("noisy"))
 
 
@@ -346,6 +340,6 @@ def batch_split(spark, sf):
     f"WITH {BM25_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, dataset_id ORDER BY score DESC, chunk_id) AS dataset_rank FROM bm25 QUALIFY dataset_rank <= 3) SELECT query_id, dataset_id, chunk_id, dataset_rank, row_number() OVER (PARTITION BY query_id ORDER BY dataset_rank, dataset_id) AS place FROM r",
 )
 def round_robin(spark, sf):
-    first = op.ranked(bm25_hits(spark, sf), ["query_id", "dataset_id"], 3).withColumnRenamed("rank", "dataset_rank")
+    first = op.ranked(bm25_hits(spark, sf, 3, by_dataset=True), ["query_id", "dataset_id"], 3).withColumnRenamed("rank", "dataset_rank")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("dataset_rank", "dataset_id"))
     return first.select("query_id", "dataset_id", "chunk_id", "dataset_rank", place.alias("place"))

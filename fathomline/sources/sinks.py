@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of this machine only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else "file://" + tempfile.mkdtemp(prefix="fathomline-")
+from fathomline.sources.shared import new_path
 
 
 def write_tables(rows: DataFrame, path: str, keys: list[str]) -> None:
@@ -23,7 +16,7 @@ def write_tables(rows: DataFrame, path: str, keys: list[str]) -> None:
 
 def roundtrip(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` written by ``write_tables`` and read back with their own schema."""
-    path = f"{shared_folder(rows.sparkSession)}/tables-{uuid.uuid4().hex}"
+    path = new_path(rows.sparkSession, "tables")
     write_tables(rows, path, keys)
     return rows.sparkSession.read.schema(rows.schema).parquet(path).select(rows.columns)
 

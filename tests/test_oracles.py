@@ -22,20 +22,6 @@ def duck():
     return con
 
 
-@pytest.fixture(scope="module", autouse=True)
-def hits_once(spark, tmp_path_factory):
-    """Route hits feed some thirty queries: each kind is computed once and read again."""
-    from fathomline.plans import recall
-
-    held = pytest.MonkeyPatch()
-    for name in ("bm25_hits", "sparse_hits", "dense_hits", "route_hits"):
-        path = f"{tmp_path_factory.mktemp('hits')}/{name}"
-        getattr(recall, name)(spark, SF).write.parquet(path)
-        held.setattr(recall, name, lambda s, sf, p=path: s.read.parquet(p))
-    yield
-    held.undo()
-
-
 def plain(v):
     if isinstance(v, float):
         return None if math.isnan(v) else float(f"{v:.9g}")

@@ -56,8 +56,9 @@ def test_context_packs_by_budget_and_skips(spark):
 def test_same_document_features_against_pairs(spark):
     texts = ["温室气体核算", "温室气体核查", "", "能源消耗统计"]
     rows = [(1, f"chunk-{i}", 1 if i < 2 else 5 + i, t) for i, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "query_id long, chunk_id string, doc_id long, content string").withColumn("_c2", ranking.char_ngrams(ranking.normal_text(F.col("content")), 2))
-    got = {r.chunk_id: (r.same_document_count, r.same_document_similarity) for r in ranking.same_document(df).collect()}
+    df = spark.createDataFrame(rows, "query_id long, chunk_id string, doc_id long, content string")
+    df = ranking.grams(df, ["content_bigrams"])
+    got = {r.chunk_id: (r.same_doc_candidate_count, r.same_doc_max_bigram_similarity) for r in ranking.same_document(df).collect()}
     grams = [{t[i : i + 2] for i in range(len(t) - 1)} for t in texts]
     j = len(grams[0] & grams[1]) / len(grams[0] | grams[1])
     assert got == {"chunk-0": (1, j), "chunk-1": (1, j), "chunk-2": (0, 0.0), "chunk-3": (0, 0.0)}
@@ -74,7 +75,7 @@ def test_features_are_complete_and_ordered(spark):
     df = spark.createDataFrame(rows, "query_id long, chunk_id string, doc_id long, dense double, sparse double, bm25 double, content string, query string")
     got = {r.chunk_id: r for r in ranking.features(df).collect()}
     assert len(ranking.FEATURES) == 38 and all(len(r.features) == 38 for r in got.values())
-    assert got["a"].negation_overlap == pytest.approx(2 / 3) and got["b"].negation_mismatch == 1 and got["a"].same_document_count == 1
+    assert got["a"].negation_overlap_coverage == pytest.approx(2 / 3) and got["b"].negation_mismatch == 1 and got["a"].same_doc_candidate_count == 1
     assert got["a"].bm25_missing == 1 and got["a"].dense_rr == 1.0 and got["b"].dense_rr == 0.5
 
 
@@ -105,7 +106,7 @@ def test_bigram_frequencies_of_every_query(spark, monkeypatch):
     rows = [(q, f"c{q}-{k}", t) for q in (0, 7, 8, 50, 10**9) for k, t in enumerate(["ab cd", "abab", "", "Q"])]
     pool = spark.createDataFrame(rows, "query_id long, chunk_id string, content string")
     monkeypatch.setattr(plans, "pool_with_text", lambda s, sf: pool)
-    got = {(r.query_id, r.gram): r.df for r in plans.bigram_df_whole(spark, "").collect()}
+    got = {(r.query_id, r.gram): r.df for r in plans.bigram_df(spark, "").collect()}
     assert got == {(q, g): n for q in (0, 7, 8, 50, 10**9) for g, n in {"ab": 2, "bc": 1, "cd": 1, "ba": 1}.items()}
 
 
@@ -116,5 +117,69 @@ def test_diagnosis_counts_every_hit(spark, monkeypatch):
     hits = spark.createDataFrame([(q, s, f"c{k}", 1, 1, 1.0) for q, v in routes.items() for k, s in enumerate(v)], HITS)
     monkeypatch.setattr(plans, "route_hits", lambda s, sf: hits)
     monkeypatch.setattr(plans, "questions", lambda s, sf: spark.createDataFrame([(q,) for q in routes], "query_id long"))
-    got = {r.query_id: (r.bm25, r.dense, r.sparse, r.mode) for r in plans.recall_diag_whole(spark, "").collect()}
+    got = {r.query_id: (r.bm25, r.dense, r.sparse, r.mode) for r in plans.recall_diag(spark, "").collect()}
     assert got == {0: (1, 2, 0, "hybrid"), 3: (0, 1, 1, "hybrid"), 4: (1, 0, 0, "lexical_only"), 12: (0, 1, 0, "dense_only"), 5: (0, 0, 1, "sparse_only"), 6: (0, 0, 0, None)}
+
+
+def test_lexical_routes_against_all_pairs(spark, monkeypatch):
+    """In one block or many, by dataset and by document: the sums of the definition over every chunk."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choices(vocabulary, weights=range(30, 0, -1), k=rng.randint(1, 40))) for _ in range(120)] + ["", "..."]
+    rows = [(f"{i // 3}:{i % 3}", i // 3, i % 4, t) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id long, dataset_id int, content string")
+    asked = {q: rng.choices(vocabulary, k=4) + ["nowhere"] for q in range(9)} | {9: []}
+    queries = spark.createDataFrame([(q, " ".join(w).upper()) for q, w in asked.items()], "query_id long, query string")
+    index = recall.stored_index(chunks).cache()
+    split = {c: t.split() for c, _, _, t in rows if t.strip(".")}
+    of = {c: (d, s) for c, d, s, _ in rows}
+    score = {}
+    for s in range(4):
+        mine = [c for c in split if of[c][1] == s]
+        avg = sum(len(split[c]) for c in mine) / len(mine)
+        for c in mine:
+            for q, ws in asked.items():
+                met = [w for w in set(ws) if w in split[c]]
+                if met:
+                    parts = [math.log(len(mine) / sum(w in split[x] for x in mine)) * (tf := split[c].count(w)) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(split[c]) / avg)) for w in met]
+                    score[q, c] = (round(1000 * sum(parts), 6), round(sum(round(1 + math.log(split[c].count(w)), 9) for w in met), 6))
+
+    def best(route, by, k, once=False):
+        out, seen = [], {}
+        for (q, c), v in sorted(score.items(), key=lambda x: (x[0][0], -x[1][route], x[0][1])):
+            group = (q, of[c][1]) if by else q
+            held = seen.setdefault(group, [])
+            if len(held) < k and not (once and of[c][0] in held):
+                held.append(of[c][0])
+                out.append((q, c, pytest.approx(v[route], abs=2e-6)))
+        return sorted(out, key=lambda x: x[:2])
+
+    for block in (1000, 4):
+        monkeypatch.setattr(recall, "QUERY_BLOCK", block)
+        for how, want in (({}, best(0, False, 5)), ({"by_dataset": True}, best(0, True, 3)), ({"by_dataset": True, "per_document": True}, best(0, True, 3, True)), ({"route": "sparse"}, best(1, False, 5))):
+            got = recall.lexical(index, queries, 3 if how.get("by_dataset") else 5, **how).collect()
+            assert sorted((r.query_id, r.chunk_id, r.score) for r in got) == want
+
+
+def test_grams_against_sets(spark):
+    rows = [(1, "燃煤锅炉，以及 天然气 Meter!", "a", "天然气锅炉与 meter"), (2, "x", "b", ""), (3, None, "c", None), (4, "ab, cd", "d", "xxabxx")]
+    df = spark.createDataFrame(rows, "query_id long, query string, chunk_id string, content string")
+    got = {r.query_id: r for r in ranking.grams(df, list(ranking.GRAM_COLUMNS)).collect()}
+    for q, query, _, content in rows:
+        a, b = (ranking._normal(t or "") for t in (query, content))
+        sets = [[{t[i : i + n] for i in range(len(t) - n + 1)} for t in (a, b)] for n in (2, 3)]
+        for n, name in enumerate(("query_bigram_coverage", "query_trigram_coverage")):
+            assert got[q][name] == (len(sets[n][0] & sets[n][1]) / len(sets[n][0]) if sets[n][0] else 0.0)
+        assert set(got[q].met_bigrams) == sets[0][0] & sets[0][1] and len(got[q].content_bigrams) == len(sets[0][1]) and set(got[q].content_bigram_texts) == sets[0][1]
+    assert got[1].condition_coverage == 0.5 and got[4].condition_coverage == 0.5 and got[2].condition_coverage == 0
+
+
+def test_a_model_scores_the_features(spark):
+    rows = [(1, "a", 1, 0.9, 2.0, None, "x", "y"), (1, "b", 1, 0.2, None, 3.0, "x", "y")]
+    df = spark.createDataFrame(rows, "query_id long, chunk_id string, doc_id long, dense double, sparse double, bm25 double, content string, query string")
+    worst_first = ranking.rank_by(ranking.features(df), lambda m: -m[:, ranking.FEATURES.index("dense_score")]).collect()
+    assert [r.chunk_id for r in sorted(worst_first, key=lambda r: r.rank)] == ["b", "a"]
+    with pytest.raises(Exception, match="not finite"):
+        ranking.rank_by(ranking.features(df), lambda m: m[:, 0] * float("nan")).collect()
