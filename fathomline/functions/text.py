@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
+import json
 import re
 import unicodedata
 from html.parser import HTMLParser
@@ -62,6 +64,11 @@ def effective_text(text: str | None) -> str:
     return "".join(c for c in t.casefold() if unicodedata.category(c)[0] in "LN" or c in "%+-=<>/.°")
 
 
+def canonical_hash(text: str | None) -> str | None:
+    """SHA-256 of a JSON text in canonical form: keys sorted at every level, no white space, non-ASCII letters as they are."""
+    return None if text is None else hashlib.sha256(json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 def _window_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Prefix hashes and powers modulo 2**64, from which any window's hash is a difference."""
     base = 0x9E3779B97F4A7C15

@@ -5,17 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.sources.shared import stored
 
-def paths(nodes: DataFrame, depth: int = 12) -> DataFrame:
-    """node, path (root first) and cyclic, for an adjacency list (node, parent); pointer doubling takes log2(depth) joins.
 
-    A node that has not met a root within 2 ** steps hops lies on a cycle or above the depth allowed.
+def paths(nodes: DataFrame) -> DataFrame:
+    """node, path (root first) and cyclic, for an adjacency list (node, parent); a chain of n hops takes log2(n) joins.
+
+    Pointers double until no node that is still below another gets any further: what is left then leads into a cycle, and
+    its path is what lies between. Each step is stored, so that the plan doesn't grow; a node whose parent isn't there is a root.
     """
-    hop = nodes.select("node", F.col("parent").alias("up"), F.array("node").alias("path"))
-    steps = max(1, (depth - 1).bit_length())
-    for _ in range(steps):
+    known = nodes.select(F.col("node").alias("parent")).distinct().withColumn("_known", F.lit(True))
+    sound = nodes.join(known, "parent", "left").withColumn("parent", F.when(F.col("_known"), F.col("parent")))
+    hop = stored(sound.select("node", F.col("parent").alias("up"), F.array("node").alias("path")))
+    count = nodes.count()
+    reach = 1
+    while reach < count and not hop.where("up is not null").isEmpty():
         above = hop.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
-        hop = hop.join(above, "up", "left").select("node", F.col("up2").alias("up"), F.concat(F.coalesce("path2", F.array().cast("array<bigint>")), "path").alias("path"))
+        joined = F.concat(F.coalesce("path2", F.array().cast(hop.schema["path"].dataType)), "path")
+        # a path that meets itself is a cycle's: it stays as it is, and its pointer too
+        closed = F.size(F.array_intersect(F.coalesce("path2", F.array().cast(hop.schema["path"].dataType)), F.col("path"))) > 0
+        hop = stored(hop.join(above, "up", "left").select("node", F.when(closed, F.col("up")).otherwise(F.col("up2")).alias("up"), F.when(closed, F.col("path")).otherwise(joined).alias("path"), closed.alias("closed")))
+        if hop.where("up is not null and not closed").isEmpty():
+            break
+        hop = hop.drop("closed")
+        reach *= 2
     return hop.select("node", "path", F.col("up").isNotNull().alias("cyclic"))
 
 

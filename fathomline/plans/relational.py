@@ -33,9 +33,9 @@ def tuple_in(spark, sf):
     return table(spark, sf, "lineitem").join(wanted, ["l_orderkey", "l_linenumber"], "left_semi").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("chunk_listing", f"WITH {CHUNKS_SQL} SELECT chunk_id, doc_id, chunk_index, length(content) AS n_chars, substring(content, 1, 20) AS preview FROM chunks WHERE dataset_id = 3")
+@query("chunk_listing", f"WITH {CHUNKS_SQL} SELECT dataset_id, chunk_id, doc_id, chunk_index, length(content) AS n_chars, substring(content, 1, 20) AS preview FROM chunks")
 def chunk_listing(spark, sf):
-    return chunks(spark, sf).where("dataset_id = 3").select("chunk_id", "doc_id", "chunk_index", F.length("content").alias("n_chars"), F.substring("content", 1, 20).alias("preview"))
+    return chunks(spark, sf).select("dataset_id", "chunk_id", "doc_id", "chunk_index", F.length("content").alias("n_chars"), F.substring("content", 1, 20).alias("preview"))
 
 
 # joins

@@ -12,14 +12,15 @@ from fathomline.sources.tables import FACTORS_SQL, chunks, CHUNKS_SQL, factors,
 COLUMNS = "edition_year, table_code, activity_name, fuel_type, gas, CAST(factor_value AS VARCHAR) AS factor_value, quantity, source_row"
 
 
-@query("scan_parquet", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE value > 50 GROUP BY event_type")
+@query("scan_parquet", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, round(sum(value) FILTER (WHERE value > 50), 2) AS total_high FROM events GROUP BY event_type")
 def scan_parquet(spark, sf):
-    return table(spark, sf, "events").where("value > 50").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    high = F.sum(F.when(F.col("value") > 50, F.col("value")))
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.round(high, 2).alias("total_high"))
 
 
-@query("factor_catalog", f"WITH {FACTORS_SQL} SELECT edition_year, table_code, count(*) AS n_rows, count(DISTINCT activity_name) AS n_activities FROM factors WHERE edition_year >= 1995 GROUP BY ALL")
+@query("factor_catalog", f"WITH {FACTORS_SQL} SELECT edition_year, table_code, count(*) AS n_rows, count(DISTINCT activity_name) AS n_activities FROM factors GROUP BY ALL")
 def factor_catalog(spark, sf):
-    return op.catalogue(factors(spark, sf).where("edition_year >= 1995"))
+    return op.catalogue(factors(spark, sf))
 
 
 @query("factor_query", f"WITH {FACTORS_SQL} SELECT {COLUMNS} FROM factors WHERE lower(gas) = 'r' AND table_code = 'F' AND (lower(activity_name) LIKE '%brass%' OR lower(activity_name) LIKE '%eco%' OR lower(fuel_type) LIKE '%eco%') ORDER BY edition_year DESC NULLS LAST, table_code NULLS LAST, activity_name NULLS LAST, gas NULLS LAST, source_row LIMIT 100")
@@ -32,9 +33,9 @@ def multi_like(spark, sf):
     return factors(spark, sf).where(op.any_like(["activity_name", "fuel_type", "gas"], "%#3%")).select("source_row", "activity_name", "fuel_type")
 
 
-@query("sink_roundtrip", "SELECT l_returnflag AS table_code, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity < 3")
+@query("sink_roundtrip", "SELECT l_returnflag AS table_code, l_orderkey, l_linenumber, l_quantity FROM lineitem")
 def sink_roundtrip(spark, sf):
-    rows = table(spark, sf, "lineitem").where("l_quantity < 3").select(F.col("l_returnflag").alias("table_code"), "l_orderkey", "l_linenumber", "l_quantity")
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("table_code"), "l_orderkey", "l_linenumber", "l_quantity")
     return sinks.roundtrip(rows, ["table_code"])
 
 
@@ -147,9 +148,9 @@ def nlq_factor(spark, sf):
     return q.join(factors(spark, sf), ["gas", "edition_year"]).withColumn("place", place).where("place <= 5").select("question_id", "source_row", "place")
 
 
-@query("factor_context", f"WITH {FACTORS_SQL} SELECT source_row, concat_ws(' | ', activity_name, gas, fuel_type, edition_year) AS line FROM factors WHERE edition_year = 1996")
+@query("factor_context", f"WITH {FACTORS_SQL} SELECT source_row, concat_ws(' | ', activity_name, gas, fuel_type, edition_year) AS line FROM factors")
 def factor_context(spark, sf):
-    return factors(spark, sf).where("edition_year = 1996").select("source_row", F.concat_ws(" | ", "activity_name", "gas", "fuel_type", F.col("edition_year").cast("string")).alias("line"))
+    return factors(spark, sf).select("source_row", F.concat_ws(" | ", "activity_name", "gas", "fuel_type", F.col("edition_year").cast("string")).alias("line"))
 
 
 @query("limit_guard", f"WITH {CHUNKS_SQL} SELECT doc_id, count(*) AS n_chunks, sum(length(content)) AS n_chars, CASE WHEN count(*) > 40 THEN 'TOO_MANY_PARTS' WHEN sum(length(content)) > 8000 THEN 'TOO_LONG' ELSE 'OK' END AS state FROM chunks GROUP BY doc_id")

@@ -149,14 +149,28 @@ def html_table(spark, sf):
     return table(spark, sf, "pages").select("page_id", first_grid(rows).alias("grid"))
 
 
-@query("json_hash")
+@query(
+    "json_hash",
+    "SELECT event_id, sha256('{\"event_type\":' || to_json(event_type) || ',\"k\":' || to_json(CAST(props->>'$.k' AS INTEGER)) || ',\"nested\":{\"a\":' || event_id || ',\"b\":[' || user_id || ',null]},\"user_id\":' || user_id || '}') AS hash FROM events",
+)
 def json_hash(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.sha2(F.to_json(F.struct("event_type", "user_id", "value")), 256).alias("hash"))
-
-
-@query("heading_key", None)
+    """SHA-256 of JSON objects in canonical form, from texts whose keys come in another order and with white space."""
+    kind, k = F.to_json(F.struct(F.col("event_type").alias("v"))), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null"))
+    kind = F.substring(kind, 6, 1 << 20)  # the value and the closing brace of {"v":...}
+    raw = F.concat(F.lit('{ "user_id": '), F.col("user_id").cast("string"), F.lit(', "nested": {"b": ['), F.col("user_id").cast("string"), F.lit(', null], "a": '), F.col("event_id").cast("string"), F.lit('}, "k": '), k, F.lit(', "event_type" :'), kind)
+    return table(spark, sf, "events").select("event_id", fn.series(fn.canonical_hash)("string")(raw).alias("hash"))
+
+
+@query(
+    "heading_key",
+    f"WITH {CHUNKS_SQL}, h AS (SELECT doc_id, chunk_index, content, row_number() OVER (PARTITION BY doc_id, content ORDER BY chunk_index) - 1 AS occurrence FROM chunks) "
+    "SELECT doc_id, chunk_index, CAST(occurrence AS INTEGER) AS occurrence, sha256('{\"doc_id\":' || doc_id || ',\"occurrence\":' || occurrence || ',\"path\":[\"' || sha256(content) || '\"]}') AS heading_key FROM h",
+)
 def heading_key(spark, sf):
-    return chunks(spark, sf).where("chunk_index = 0").select("doc_id", F.sha2(F.to_json(F.struct("doc_id", F.array("content").alias("path"), F.lit(0).alias("occurrence"))), 256).alias("heading_key"))
+    """Identity of every line taken as a heading: document, path and how often the path came before. A path's step is its text's hash."""
+    before = F.row_number().over(Window.partitionBy("doc_id", "content").orderBy("chunk_index")) - 1
+    rows = chunks(spark, sf).select("doc_id", "chunk_index", before.cast("int").alias("occurrence"), F.array(F.sha2("content", 256)).alias("path"))
+    return rows.select("doc_id", "chunk_index", "occurrence", F.sha2(F.to_json(F.struct("doc_id", "occurrence", "path")), 256).alias("heading_key"))
 
 
 @query("token_count", f"WITH {CHUNKS_SQL} SELECT dataset_id, CAST(sum(ceil(length(content) / 4)) AS BIGINT) AS tokens FROM chunks GROUP BY dataset_id")

@@ -15,7 +15,7 @@ from fathomline.sources.tables import table
 def folder_cycle(spark, sf):
     """Folders numbered so that the parent of n is n // 3; no node is its own ancestor."""
     nodes = table(spark, sf, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("node"), F.expr("nullif(c_custkey div 3, 0)").alias("parent"))
-    return op.paths(nodes, 16).select("node", F.size("path").alias("depth"), "cyclic")
+    return op.paths(nodes).select("node", F.size("path").alias("depth"), "cyclic")
 
 
 @query("heading_tree")

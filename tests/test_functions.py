@@ -102,7 +102,7 @@ def test_pages_and_patches(spark):
 
 def test_tree_paths_and_cycles(spark):
     df = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 3), (8, 9), (9, 8), (5, 5)], "node long, parent long")
-    got = {r.node: (r.path, r.cyclic) for r in tree.paths(df, 8).collect()}
+    got = {r.node: (r.path, r.cyclic) for r in tree.paths(df).collect()}
     assert got[4] == ([1, 2, 3, 4], False) and got[8][1] and got[5][1] and not got[1][1]
 
 
