@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.sources.shared import shared_folder
+
 #: Rows and bytes of one Arrow batch that a Python worker holds: long texts must not add up to gigabytes.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
@@ -20,25 +21,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests, local mode) a folder of this machine is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    own = "file://" + tempfile.mkdtemp(prefix="fathomline-")
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -1,6 +1,7 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
-The edges stay distributed; each step is a grouped minimum (combined before the shuffle) and a join. Every round is
+The edges stay distributed; each step is a grouped minimum (combined before the shuffle) and a join that deals the edges of
+one node into parts, since a star may hold most of them. Rounds go on until nothing changes. Every round is
 checkpointed in the shared folder, so that a lost executor repeats one round at most.
 """
 
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import materialise
+from fathomline.operators.skew import attach
 
-MOST_ROUNDS = 60
+#: Parts that the edges of one node are dealt into.
+SALTS = 16
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -23,19 +26,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for every node of ``edges`` (u, v: long, u != v)."""
     now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(now)
-    for _ in range(MOST_ROUNDS):
-        if not before[0]:
-            break
+    while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = attach(both.where("v > u"), least, ["u"], "v", salts=SALTS).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = attach(large, least, ["u"], "v", salts=SALTS).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialise(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         after = _state(now)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("the components did not settle")
     return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

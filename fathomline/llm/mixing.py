@@ -9,7 +9,9 @@ Rates join by source with the hot source's rows where they are: the rates are br
 (checked, see BROADCAST_SOURCES), and beyond that joined on (source, salt).
 
 Defined results: null is a source of its own; null and empty texts count no bytes, and a source without any bytes has
-the rate 0 unless no source has bytes, when all rates are ``scale``; rows of equal id and source get equal counts.
+the rate 0 unless no source has bytes, when all rates are ``scale``; rows of equal id and source get equal counts and keys, and
+are dealt apart; a row without an id has a draw and keys by its place in the table; ties in the shuffle key are in no order; an
+empty table gives no rows; columns that clash with those added are left out.
 """
 
 from __future__ import annotations
@@ -54,13 +56,14 @@ def poisson_inverse(u: Column, mean: Column) -> Column:
 LARGEST_MEAN = 500.0
 
 
-def copies(rate: Column) -> Column:
-    """How often the document ``doc_id`` is repeated at ``rate``."""
-    one = poisson_inverse(uniform(F.col("doc_id").cast("string")), rate)
+def copies(rate: Column, key: Column | None = None) -> Column:
+    """How often the document with ``key`` (its doc_id) is repeated at ``rate``."""
+    key = F.col("doc_id").cast("string") if key is None else key
+    one = poisson_inverse(uniform(key), rate)
     parts = F.ceil(rate / F.lit(LARGEST_MEAN)).cast("int")
     many = F.aggregate(
         F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), F.lit(0),
-        lambda a, k: a + poisson_inverse(uniform(F.col("doc_id").cast("string"), k.cast("string")), rate / parts),
+        lambda a, k: a + poisson_inverse(uniform(key, k.cast("string")), rate / parts),
     )
     return F.when(rate <= LARGEST_MEAN, one).otherwise(many)
 
@@ -83,19 +86,21 @@ def source_rates(documents: DataFrame, weights: dict[str | None, float] | None =
 def mix(documents: DataFrame, weights: dict[str | None, float] | None = None, scale: float = 1.0, temperature: float = TEMPERATURE) -> DataFrame:
     """Every document as often as drawn, in random order: its columns, then replica (from 0), n_copies and shuffle_key."""
     rates = source_rates(documents, weights, scale, temperature)
-    clash = [c for c in documents.columns if c in ("source_key", "rate", "replica", "n_copies", "shuffle_key", "salt_key")]
+    clash = [c for c in documents.columns if c in ("source_key", "rate", "replica", "n_copies", "shuffle_key", "salt", "salt_key", "mix_row", "mix_key")]
     rows = documents.drop(*clash)
     columns = rows.columns
+    rows = rows.withColumn("mix_row", F.monotonically_increasing_id())
+    rows = rows.withColumn("mix_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("mix_row").cast("string"))))
     many = rates.limit(BROADCAST_SOURCES + 1).count() > BROADCAST_SOURCES
     if many:
         salted = rates.withColumn("salt_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         on = F.col("source").eqNullSafe(F.col("source_key")) & (F.col("salt") == F.col("salt_key"))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, on)
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("mix_row"), F.lit(SALTS)).cast("int")).join(salted, on)
     else:
         joined = rows.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("source_key")))
-    drawn = joined.withColumn("n_copies", copies(F.col("rate"))).where("n_copies > 0")
-    spread = drawn.select(*columns, "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("replica"))
-    key = F.md5(F.concat_ws(":", F.lit(SEED + "-order"), F.col("doc_id").cast("string"), F.col("replica").cast("string")).cast("binary"))
+    drawn = joined.withColumn("n_copies", copies(F.col("rate"), F.col("mix_key"))).where("n_copies > 0")
+    spread = drawn.select(*columns, "mix_row", "mix_key", "n_copies", F.explode(F.sequence(F.lit(0), F.col("n_copies") - 1)).alias("replica"))
+    key = F.md5(F.concat_ws(":", F.lit(SEED + "-order"), F.col("mix_key"), F.col("replica").cast("string")).cast("binary"))
     keyed = spread.withColumn("shuffle_key", key)
     parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return keyed.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key").select(*columns, "replica", "n_copies", "shuffle_key")
+    return keyed.repartition(parts, "shuffle_key", "mix_row").sortWithinPartitions("shuffle_key").select(*columns, "replica", "n_copies", "shuffle_key")

@@ -7,7 +7,8 @@ binary column back into one row of features each.
 
 Defined results: a null or empty text is one padded frame of 192 spaces; bytes that hold no page give no streams; a page
 whose checksum is wrong is counted and skipped (the packet it continues is dropped with it), and reading goes on at
-the next capture pattern.
+the next capture pattern. Repeated rows, and rows without an id, have a row each; extra columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,6 +33,8 @@ CAPTURE = b"OggS"
 CONTINUED, FIRST, LAST = 1, 2, 4
 NO_PACKET_ENDS = 0xFFFFFFFFFFFFFFFF
 _HEADER = struct.Struct("<4sBBQIIIB")
+#: Header packet of a logical stream: mark, number of the stream, samples a second, bytes of the text.
+HEAD, HEAD_MARK = struct.Struct("<5sBIQ"), b"\x01pcm8"
 _REVERSED = bytes(int(f"{x:08b}"[::-1], 2) for x in range(256))
 
 
@@ -118,9 +122,19 @@ class Logical:
     lost: int = 0
     partial: list[bytes] | None = None
 
-    def seconds(self, rate: int = RATE) -> list[float]:
-        """When each packet ends; packets before the last that ends on a page share no granule and get -1."""
-        return [g / rate if g >= 0 else -1.0 for g in self.granules]
+    def ends(self, samples: Callable[[bytes], int] | None = None) -> list[int]:
+        """Granule position at the end of each packet. A page tells that of the last packet ending on it; those before it
+        follow from the packets' ``samples``, and are -1 without them."""
+        out = list(self.granules)
+        if samples:
+            for k in range(len(out) - 2, -1, -1):
+                if out[k] < 0 <= out[k + 1]:
+                    out[k] = max(0, out[k + 1] - samples(self.packets[k + 1]))
+        return out
+
+    def seconds(self, rate: int = RATE, samples: Callable[[bytes], int] | None = None) -> list[float]:
+        """When each packet ends, -1 where nothing tells."""
+        return [g / rate if g >= 0 else -1.0 for g in self.ends(samples)]
 
 
 @dataclass
@@ -184,12 +198,12 @@ def padded(text: bytes) -> bytes:
     return text.ljust(max(1, -(-len(text) // FRAME)) * FRAME)
 
 
-def encode_payload(payload: bytes) -> bytes:
-    """8-bit samples in two logical streams: packets of up to 8 frames go to them in turn."""
+def encode_payload(payload: bytes, n_bytes: int | None = None) -> bytes:
+    """8-bit samples in two logical streams: packets of up to 8 frames go to them in turn. The header packets hold the text's size."""
     size = FRAME * PACKET_FRAMES
     streams: dict[int, list[tuple[bytes, int]]] = {}
     for k in (0, 1):
-        head = b"\x01pcm8" + struct.pack("<BIQ", k, RATE, len(payload))
+        head = HEAD.pack(HEAD_MARK, k, RATE, len(payload) if n_bytes is None else n_bytes)
         streams[0x5A01 + k] = packets = [(head, 0)]
         samples = 0
         for at in range(size * k, len(payload), 2 * size):
@@ -208,55 +222,50 @@ def decode_payload(physical: Physical) -> bytes:
     return b"".join(out)
 
 
-def media_features(media: bytes) -> tuple[bytes, str]:
-    """The payload read back, and its features as text: streams, pages, packets, damage, length and level."""
+def packet_samples(packet: bytes) -> int:
+    """Samples of a packet: its bytes, but none in a header."""
+    return 0 if len(packet) == HEAD.size and packet.startswith(HEAD_MARK) else len(packet)
+
+
+def media_features(media: bytes) -> tuple[bytes, int, str]:
+    """The payload read back, the text's size by the header (-1 without one), and features as text: streams, pages, packets,
+    damage, packets with a time, length and level."""
     p = demux(media)
     payload = decode_payload(p)
     samples = np.frombuffer(payload, np.uint8)
-    ends = [max((t for t in s.seconds() if t >= 0), default=0.0) for s in p.streams.values()]
+    times = [t for s in p.streams.values() for t in s.seconds(RATE, packet_samples) if t >= 0]
+    heads = [s.packets[0] for s in p.streams.values() if s.packets and len(s.packets[0]) == HEAD.size and s.packets[0].startswith(HEAD_MARK)]
     level = int(samples.sum(dtype=np.int64)) * 1000 // max(1, len(samples))
-    text = f"streams={len(p.streams)};pages={p.pages};packets={sum(len(s.packets) for s in p.streams.values())};bad={p.bad};lost={sum(s.lost for s in p.streams.values())};ended={sum(s.ended for s in p.streams.values())};ms={round(1000 * max(ends, default=0.0))};level_milli={level}"
-    return payload, text
+    text = f"streams={len(p.streams)};pages={p.pages};packets={sum(len(s.packets) for s in p.streams.values())};bad={p.bad};lost={sum(s.lost for s in p.streams.values())};ended={sum(s.ended for s in p.streams.values())};timed={len(times)};ms={round(1000 * max(times, default=0.0))};level_milli={level}"
+    return payload, HEAD.unpack(heads[0])[3] if heads else -1, text
 
 
 def encode_texts(documents: DataFrame) -> DataFrame:
     """doc_id and media (binary): every whole text of ``documents`` as an Ogg container; other columns are left out."""
     return arrow_map(
-        documents.select("doc_id", "text"), "doc_id long, media binary",
-        lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([encode_payload(padded(t)) for t in utf8(b.column(1))], pa.binary())], ["doc_id", "media"]),
+        documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id long, media binary",
+        lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([encode_payload(padded(t), len(t)) for t in utf8(b.column(1))], pa.binary())], ["doc_id", "media"]),
     )
 
 
+REPORT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def read_media(media: DataFrame) -> DataFrame:
     """One row of features for each (doc_id, media): what the container holds, read back and verified."""
 
     def features(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for m in b.column(1).to_pylist():
-            payload, text = media_features(m or b"")
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m or b""), hashlib.sha256(m or b"").hexdigest(), text))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            payload, n_bytes, text = media_features(m or b"")
+            rows.append((n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(m or b""), hashlib.sha256(m or b"").hexdigest(), text))
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        return pa.RecordBatch.from_arrays([b.column(0), *columns], [c.split()[0] for c in REPORT.split(", ")])
 
-    return arrow_map(media.select("doc_id", "media"), "doc_id long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", features)
+    return arrow_map(media.select("doc_id", "media"), REPORT, features)
 
 
 def media_report(documents: DataFrame) -> DataFrame:
-    """The digest row of every document: its text stored as an Ogg container and read back from those bytes.
-
-    Storing and reading happen in one pass over the batch, so that no container crosses a process for the digest alone.
-    """
-
-    def both(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for t in utf8(b.column(1)):
-            media = encode_payload(padded(t))
-            payload, feature = media_features(media)
-            rows.append((len(t), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return arrow_map(documents.select(F.col("doc_id").cast("long"), "text"), schema, both)
+    """The digest row of every document: its text stored in a media column, and everything read back from that column."""
+    return read_media(encode_texts(documents))

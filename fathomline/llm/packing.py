@@ -1,11 +1,11 @@
 """Best-fit packing: documents into training sequences by the sum-of-squares rule.
 
 Every document becomes its token ids and an end id; only documents longer than a sequence are cut. Pieces are dealt by
-a hash of (document, piece) into groups of bounded size, and each group is packed by itself: a piece goes where the
+a hash of (document, piece, place in the table) into groups of bounded size, and each group is packed by itself: a piece goes where the
 squared counts of open sequences per residual gap become smallest, the longest pieces first. A group leaves a few
 sequences open, so the loss is a few in tens of thousands however many groups there are.
 
-Defined results: null and empty texts are the end id alone; repeated rows are packed as often as they occur; extra
+Defined results: null and empty texts are the end id alone; rows that repeat an id, or have none, are packed each by itself; extra
 columns are ignored; an empty table gives no rows.
 """
 
@@ -196,7 +196,7 @@ def pack_pieces(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> Dat
         out = table.select(columns).append_column("sequence_id", pa.array(where + (group << 32))).append_column("offset", pa.array(offset))
         yield from out.to_batches()
 
-    dealt = pieces.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).cast("long").alias("pack_group"))
+    dealt = pieces.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(groups)).cast("long").alias("pack_group"))
     return dealt.groupBy("pack_group").applyInArrow(place, schema)
 
 

@@ -4,7 +4,10 @@
 constraints on chosen features; ``Trees`` keeps the nodes of all trees in flat arrays and scores a batch level by level.
 
 Defined results: null and empty texts have zero words and fail the base rules; without any labelled row, or with labels
-of one kind only, the base rules alone decide; labels that are null, other than 0 or 1, or without a document are left out.
+of one kind only, the base rules alone decide; labels that are null, other than 0 or 1, or without a document are left out;
+rows without an id are judged like any other; repeated rows are judged each by itself and count once in the sample, where an
+id with several texts has its least features; equal scores are equal verdicts; extra columns are kept by ``keep_good`` and
+ignored by ``verdicts``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -166,7 +169,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, bound: int = SAMPLE
     chosen = clean.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.join(F.broadcast(chosen), "doc_id")  # at most `bound` rows
-    rows = measure(found).join(F.broadcast(chosen), "doc_id").select("features", "quality").limit(4 * bound).toArrow()
+    measured = measure(found).groupBy("doc_id").agg(F.min("features").alias("features"))  # one row an id, however often it is repeated
+    rows = measured.join(F.broadcast(chosen), "doc_id").select("doc_id", "features", "quality").toArrow().sort_by("doc_id")  # the fit doesn't depend on arrival
     if not rows.num_rows:
         return np.empty((0, len(FEATURES))), np.empty(0)
     return np.asarray(rows.column("features").to_pylist(), float), rows.column("quality").to_numpy().astype(float)

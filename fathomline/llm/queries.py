@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm import main_text, mixing, ogg_media, packing, quality_trees, secret_ledger, sharding, simhash_dedup, suffix_dedup, url_filter
 from fathomline.llm.common import read_table
+from fathomline.sources.shared import new_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -40,7 +41,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_ledger.scan(read_table(spark, sf_dir, "documents"))[0]
+    return secret_ledger.scan_stored(read_table(spark, sf_dir, "documents"), new_path(spark, "ledger"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

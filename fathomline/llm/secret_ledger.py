@@ -3,8 +3,9 @@
 Every text is a blob named by its SHA-256. A ledger holds (blob, rule version) pairs already scanned, with their spans.
 ``scan`` lists the blobs that the ledger doesn't have for the current rule version, scans each of them once, and joins
 ledger and new findings back to every path (document) that holds the blob; ``new_entries`` is what a next run's ledger
-gains. Blobs are chosen by the smallest id that holds them, so that texts move by document id and never by blob: a text
-with a million copies is no hot key, and its other copies are not scanned.
+gains; ``scan_stored`` keeps the ledger as a table that further runs read and append to. Blobs are chosen by the smallest id that holds
+them, so that texts move by document id and never by blob: a text with a million copies is scanned once, and the join back deals
+its paths to many tasks.
 
 Defined results: null is the empty text, which is a blob like any other; repeated rows repeat in the result; an id may
 hold several texts, each with its own blob; rows whose doc_id is null are scanned where they are; a missing or empty
@@ -17,22 +18,27 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import arrow_map, expanded, materialise, squeezed, utf8
+from fathomline.operators.skew import attach
+from fathomline.sources.shared import new_path, stored
 
 #: Base rules, then those that this method adds. A match of the pattern whose counted part is too short is dropped.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]{24,}")
+#: Least characters: of an assigned value, of an access key and of a run of hex digits.
+LEAST = {"assign": 6, "access": 20, "hex": 24}
+HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
 ADDED = {
     # to the END line, or else over headers and base64 lines
     "pem": re.compile(
         r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
         r"|(?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info):[^\n\\]*)*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]{16,}={0,2})*(?:(?:\s|\\[nr])+[A-Za-z0-9+/]+={1,2})?)"
     ),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # whole runs of the alphabet, each tried once; where the first part begins is looked up inside it
+    "jwt": re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)(?=\.eyJ[A-Za-z0-9_-]{8})\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]{8,}+"),
     "ghtoken": re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"),
     "slack": re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     "urlpass": re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@"),
@@ -40,7 +46,7 @@ ADDED = {
 KINDS = ["assign", "access", "hex", *ADDED]
 MARKS = {"pem": "PRIVATE", "jwt": "eyJ", "ghtoken": "gh", "slack": "xox", "urlpass": "://"}
 #: Changes with the rules: pairs of another version count as unseen.
-RULE_VERSION = hashlib.sha256("\n".join(p.pattern for p in (ASSIGN, ACCESS, HEX, *ADDED.values())).encode()).hexdigest()[:16]
+RULE_VERSION = hashlib.sha256(repr([[(p.pattern, p.flags) for p in (ASSIGN, ACCESS, HEX, *ADDED.values())], sorted(LEAST.items()), sorted(MARKS.items()), KINDS]).encode()).hexdigest()[:16]
 
 Span = tuple[int, int, int]
 _KEYWORD = re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
@@ -48,16 +54,31 @@ _KEYWORD = re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
 
 def find_spans(text: str) -> list[Span]:
     """(start, number of the kind, end) of every secret, in code points, by start and then kind."""
-    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6] if _KEYWORD.search(text) else []
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]] if _KEYWORD.search(text) else []
     if "AKIA" in text:
-        spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
+        spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for k, (kind, pattern) in enumerate(ADDED.items(), 3):
-        if MARKS[kind] in text:
+        if MARKS[kind] in text and kind == "jwt":
+            spans += [(a, k, z) for a, z in _jwt(text, pattern)]
+        elif MARKS[kind] in text:
             spans += [(m.start(), k, m.end()) for m in pattern.finditer(text)]
     return sorted(spans)
 
 
+def _jwt(text: str, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """Tokens of three parts; the first begins at the first eyJ of its run that has eight characters behind it."""
+    out, at = [], 0
+    while m := pattern.search(text, at):
+        begin = text.find("eyJ", m.start(1), m.end(1))
+        if begin >= 0 and m.end(1) - begin >= 11:
+            out.append((begin, m.end()))
+            at = m.end()
+        else:
+            at = m.end(1)
+    return out
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
 
@@ -74,6 +95,7 @@ def redact(text: str, spans: list[Span], mask: str = "[SECRET]") -> str:
     return "".join([*out, text[at:]])
 
 
+ENTRY = "blob string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 FINDINGS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -95,6 +117,14 @@ def paths(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), _blob().alias("blob"))
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored entries, or None where nothing is stored yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.schema(ENTRY).parquet(path)
+
+
 def unseen(held: DataFrame, ledger: DataFrame | None) -> DataFrame:
     """doc_id and blob: one path for each blob without an entry of this rule version."""
     first = held.where("doc_id is not null").groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
@@ -118,26 +148,40 @@ def scan(documents: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFra
 
     The first: doc_id, n_assign, n_access, n_hex, base_sha256, spans, blob.
     """
-    held = paths(documents)
+    held = materialise(paths(documents))
     new = materialise(scan_blobs(documents, unseen(held, ledger)))
     known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(new.columns))
+    return _of_paths(documents, held, known), new
+
+
+def scan_stored(documents: DataFrame, path: str) -> DataFrame:
+    """``scan`` over the ledger stored at ``path``: blobs without an entry of this rule version are scanned and appended to it,
+    and the findings of every path are read from it. Nothing needs to be stored there yet."""
+    spark = documents.sparkSession
+    held = stored(paths(documents), "paths")
+    scan_blobs(documents, unseen(held, read_ledger(spark, path))).write.mode("append").option("compression", "zstd").parquet(path)
+    return _of_paths(documents, held, read_ledger(spark, path).where(F.col("rule_version") == RULE_VERSION).dropDuplicates(["blob"]))
+
+
+def _of_paths(documents: DataFrame, held: DataFrame, known: DataFrame) -> DataFrame:
+    """Findings of every path: those of its blob; the copies of a blob are dealt to many tasks. Rows without an id are scanned here."""
     names = [c.split()[0] for c in FINDINGS.split(", ")]
-    with_id = held.where("doc_id is not null").join(known, "blob").select("doc_id", *names, "blob")
+    with_id = attach(held.where("doc_id is not null"), known.select("blob", *names), ["blob"], "doc_id").select("doc_id", *names, "blob")
     lost = arrow_map(
         documents.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), "text"), f"doc_id long, {FINDINGS}",
         lambda b: pa.RecordBatch.from_arrays([b.column(0), *_findings(utf8(b.column(1)))], ["doc_id", *names]),
     )
-    return with_id.unionByName(lost.withColumn("blob", F.lit(None).cast("string"))), new
+    return with_id.unionByName(lost.withColumn("blob", F.lit(None).cast("string")))
 
 
-def redact_documents(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def redact_documents(documents: DataFrame, ledger: str | None = None) -> DataFrame:
     """``documents`` with every secret in its text masked and ``n_chars``, where there is one, counted anew.
 
-    The spans come from ``scan``; only rows that have any are changed. Rows without an id are scanned where they are.
+    The spans come from the ledger stored at ``ledger`` (a fresh one without it); only rows that have any are changed. Rows without an id are scanned where they are.
     """
     names, kinds = documents.columns, {f.name: f.dataType.simpleString() for f in documents.schema}
     at = names.index("text")
-    known, _ = scan(documents.where("doc_id is not null"), ledger)
+    known = scan_stored(documents.where("doc_id is not null"), ledger or new_path(documents.sparkSession, "ledger"))
     spans = known.where("spans != ''").select(F.col("doc_id").alias("found_id"), F.col("blob").alias("found_blob"), F.col("spans").alias("found_spans")).dropDuplicates(["found_id", "found_blob"])
     marked = documents.join(spans, (F.col("doc_id").cast("long") == F.col("found_id")) & (_blob() == F.col("found_blob")), "left").drop("found_id", "found_blob")
 

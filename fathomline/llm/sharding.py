@@ -10,7 +10,7 @@ fall into are opened into finer cells until the cuts' cells hold one group each,
 fixed number of cells for each level and cut, and the capacity found is the exact minimum over the groups.
 
 Defined results: a null text counts as empty, of size 16; all rows of equal text share a shard, however many they are;
-an empty table gives no rows; slots of repeated ids are distinct.
+an empty table gives no rows; rows that repeat an id, or have none, have a slot each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from fathomline.llm.common import materialise
 ROW_BYTES = 16
 #: Hash bits of the first level of cells, and of each later one.
 FIRST_BITS, MORE_BITS = 16, 8
-#: Rows that a slot bucket holds on average; each gives one number to the driver.
+#: Rows that a slot bucket holds on average.
 SLOT_ROWS = 20_000
 #: Bits of the group hash. Texts whose hashes agree in all of them form one group.
 HASH_BITS = 63
@@ -224,24 +224,18 @@ def keyed(documents: DataFrame) -> DataFrame:
 def shard_documents(documents: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot (gapless in the shard), grown_shard (null under this law) and h.
 
-    Slots count through buckets of a hash of the id inside each shard: bucket counts give the first slot of each bucket
-    and a window the place in it, so that no task holds more than a bucket.
+    Slots count through buckets of rows inside each shard: running sums of the bucket counts give the first slot of each bucket
+    and a window the place in it, so that no task holds more than a bucket, whatever ids repeat or lack.
     """
-    rows = materialise(keyed(documents))
+    rows = materialise(keyed(documents)).withColumn("row", F.monotonically_increasing_id())  # fixed, as the checkpoint is
     _, cuts = bounds(rows.groupBy("h").agg(F.sum("size").alias("size")), shards)
     shard = sum(((F.col("h") >= F.lit(c)).cast("int") for c in cuts), F.lit(0)).cast("int") if cuts else F.lit(0)
     dealt = rows.withColumn("shard", shard)
     n = rows.count()
     buckets = max(1, -(-n // (SLOT_ROWS * shards)))
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy("shard", "bucket").count().orderBy("shard", "bucket").collect()  # shards * buckets numbers
-    first, seen, start = {}, {}, []
-    for r in counts:
-        first[r.shard, r.bucket] = seen.get(r.shard, 0)
-        seen[r.shard] = seen.get(r.shard, 0) + r["count"]
-        start.append((r.shard, r.bucket, first[r.shard, r.bucket]))
-    spark = documents.sparkSession
-    begin = F.broadcast(spark.createDataFrame(start or [(0, 0, 0)], "shard int, bucket int, first long"))  # one row for SLOT_ROWS rows
-    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "h")) - 1
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begin = dealt.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "h", "row")) - 1
     return dealt.withColumn("place", place).join(begin, ["shard", "bucket"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "h")

@@ -11,7 +11,9 @@ Equal fingerprints are compared once. The number of blocks follows the number of
 small; every choice of blocks finds the same links.
 
 Defined results: a null, empty or blank text has the fingerprint zero and is linked like any other; a text with fewer
-words than a shingle has one shingle, all of its words; repeated rows of an id share its row's values.
+words than a shingle has one shingle, all of its words; repeated rows of an id share its row's values; a row without an id
+is linked like any other and names no component (one of such rows alone has a null one); an empty table gives no rows; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import functions as F
 
 from fathomline.llm.common import arrow_map, bounded_batches, materialise, utf8
 from fathomline.llm.components import connected_components
+from fathomline.operators.skew import attach
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints that a bucket should hold on average at most, rows of a tile, and rows beyond which a bucket is dealt as tile pairs.
@@ -34,8 +37,9 @@ BUCKET_ROWS, TILE, LARGE_BUCKET = 512, 512, 8192
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of ``hashes`` set each of the 64 bits, lowest first: carry-save adders first thin out the rows by eight."""
-    total = np.zeros(64, np.int64)
+    """How many rows of ``hashes`` (one or more words each) set each of the bits, lowest first: carry-save adders first thin out the
+    rows by eight."""
+    total = np.zeros(64 * int(np.prod(hashes.shape[1:])), np.int64)
     weight = 1
     while len(hashes) >= 24:
         n = len(hashes) // 3
@@ -48,7 +52,8 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def _plain_counts(hashes: np.ndarray) -> np.ndarray:
-    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    width = int(np.prod(hashes.shape[1:]))
+    return np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8 * width), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
 def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -220,8 +225,8 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = connected_components(links(distinct.select("fp"), distinct.count(), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = attach(rooted, least, ["root"], "fp").select("fp", "component_id")
+    return attach(rows, named, ["fp"], "doc_id").select("doc_id", "fp", "component_id")
 
 
 def hex_fingerprint(column: str = "fp"):

@@ -27,7 +27,6 @@ each other; extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import arrow_map, bounded_batches, materialise, shared_dir, utf8
+from fathomline.llm.common import arrow_map, bounded_batches, materialise, utf8
+from fathomline.sources.shared import new_path
 
 WINDOW, GRAM, BLOCK = 200, 32, 16
 #: Different contexts of an anchor beyond which its windows are counted by hash instead of sorted in one task.
@@ -414,7 +414,7 @@ def counted_windows(contexts: DataFrame) -> DataFrame:
 def repeated_ranges(documents: DataFrame) -> DataFrame:
     """doc, th, a, z: byte ranges (they may overlap) that cover every repeated window of every text."""
     spark = documents.sparkSession
-    table = f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    table = new_path(spark, "runs")
     text_runs(_keyed(documents)).write.parquet(table)
     found = spark.read.schema(RUN_SCHEMA).parquet(table)
     within = found.where("n = 0").select("doc", "th", F.col("gram").alias("a"), F.col("context").alias("z"))

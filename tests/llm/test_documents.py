@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fathomline.llm import components, mixing, ogg_media, packing, quality_trees, secret_ledger, sharding, simhash_dedup, suffix_dedup
 
@@ -45,6 +46,10 @@ def test_ogg_round_trip_and_damage():
     read = ogg_media.demux(bytes(broken))
     assert read.bad == 1 and read.streams[1].packets == [b"head", b"b" * 20] and read.streams[1].lost == 1
     assert ogg_media.demux(b"junk").streams == {}
+    payload = ogg_media.padded(bytes(rng.randrange(256) for _ in range(120_000)))
+    stream = ogg_media.demux(ogg_media.encode_payload(payload)).streams[0x5A01]
+    done = [sum(map(ogg_media.packet_samples, stream.packets[: k + 1])) for k in range(len(stream.packets))]
+    assert stream.ends(ogg_media.packet_samples) == done and len(done) == 41 and stream.granules.count(-1) > 30
 
 
 def test_media_report(docs, texts, empty):
@@ -135,6 +140,34 @@ def test_secret_scan_and_ledger(docs, texts, empty):
     assert secret_ledger.scan(empty)[0].count() == 0
 
 
+def test_stored_ledger_over_versions(spark, tmp_path, monkeypatch):
+    """A second run scans only the new version of a path; another rule version scans all again."""
+    path = f"file://{tmp_path}/ledger"
+    before = spark.createDataFrame([(1, "nothing here"), (2, "token=abcdefgh")], "doc_id long, text string")
+    after = before.union(spark.createDataFrame([(1, "password=hunter2hunter"), (3, "nothing here")], before.schema))
+    scanned = []
+    real = secret_ledger.scan_blobs
+    monkeypatch.setattr(secret_ledger, "scan_blobs", lambda d, c: scanned.append(c.count()) or real(d, c))
+    assert sorted((r.doc_id, r.n_assign) for r in secret_ledger.scan_stored(before, path).collect()) == [(1, 0), (2, 1)]
+    got = secret_ledger.scan_stored(after, path)
+    assert sorted((r.doc_id, r.n_assign) for r in got.collect()) == [(1, 0), (1, 1), (2, 1), (3, 0)]
+    masked = {r.text for r in secret_ledger.redact_documents(after, path).collect()}
+    assert scanned == [2, 1, 0] and masked == {"nothing here", "[SECRET]"}
+    monkeypatch.setattr(secret_ledger, "RULE_VERSION", "other")
+    assert secret_ledger.unseen(secret_ledger.paths(after), secret_ledger.read_ledger(spark, path)).count() == 3
+
+
+def test_web_tokens_in_linear_time():
+    part = "eyJabcdefgh1"
+    for text, want in ((f"{part}.{part}.abcdefgh", [(0, 34)]), (f"xx{part}.{part}.abcdefgh.", [(2, 36)]), (f"eyJ.{part}.{part}.abcdefghi", [(4, 39)]), (f"{part}.{part}.abc", []), (f"a.{part}.{part}.{part}", [(2, 40)])):
+        assert secret_ledger._jwt(text, secret_ledger.ADDED["jwt"]) == want, text
+    import time
+
+    began = time.perf_counter()
+    secret_ledger.find_spans("eyJ" * 300_000 + "." + "eyJ." * 100_000)
+    assert time.perf_counter() - began < 5
+
+
 def test_secrets_are_masked(docs, texts):
     got = rows(secret_ledger.redact_documents(docs))
     assert len(got) == len(texts)
@@ -206,6 +239,36 @@ def test_shards(docs, texts, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_rows_without_an_id_or_with_one_id(spark):
+    """Sharding, packing, mixing, media and verdicts treat such rows each by itself."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.createDataFrame([(None, "one text")] * 300 + [(None, None)] * 3 + [(7, "same id")] * 300, "doc_id long, text string").withColumn("source", F.lit("s")).withColumn("place", F.lit(1)).repartition(3)
+    cut = sharding.shard_documents(df, 4).collect()
+    assert len(cut) == 603
+    for k in range(4):
+        assert sorted(r.slot for r in cut if r.shard == k) == list(range(sum(r.shard == k for r in cut)))
+    packed = packing.pack_documents(df, path).collect()
+    assert len(packed) == 603 and all(r.piece == 0 for r in packed)
+    drawn = mixing.mix(df, scale=2.0).collect()
+    lost = [r for r in drawn if r.doc_id is None]
+    assert len({r.shuffle_key for r in lost}) == len(lost) and len({r.n_copies for r in lost}) > 2
+    assert len({r.n_copies for r in drawn if r.doc_id == 7}) == 1
+    assert ogg_media.media_report(df).count() == 603 and quality_trees.verdicts(df, None).count() == 603
+    found = simhash_dedup.near_duplicates(df)
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(None, None), (7, 7)} and found.count() == 603
+
+
+def test_sample_is_one_row_an_id(spark):
+    good, bad = " ".join(f"word{k} goes" for k in range(60)), "short # # #"
+    rows = [(i, good if i % 2 else bad) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = quality_trees.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = quality_trees.labelled_sample(spark.createDataFrame((rows * 9)[::-1], "doc_id long, text string").repartition(5), labels)
+    assert once[0].shape[0] == 40 and (once[0] == many[0]).all() and (once[1] == many[1]).all()
+
+
 # packing
 
 
