@@ -23,7 +23,8 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
+    pages = read_table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, counts=url_filter.corpus_counts(pages))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,10 +3,13 @@
 ``Segmenter`` splits names that are written together into the likeliest words; ``NaiveBayes`` scores the words of the
 host and the path; ``Rules`` are host and path prefixes, the longest of which overrides the score.
 
-Both models are fitted on the labelled examples below, whose number is fixed. Names that the lexicon doesn't know stay
-whole or in unknown parts, and unknown words say nothing, so that an unknown host follows the prior: allowed.
+The unigrams are counted over the running text of all pages (``corpus_counts``), of which the LEXICON_WORDS most frequent words are
+kept, with the words of the labelled examples below. The classifier is fitted on those examples, whose number is fixed. Unknown
+words say nothing, so that a host without a known word follows the prior: allowed.
 
-Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed.
+Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed; a URL of any length
+is split whole; of two rules that are equally long the first wins, and of two equally likely splits the one whose last word
+begins first; repeated rows, and rows without an id, have a row each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from fathomline.llm.common import arrow_map
 
@@ -31,6 +35,7 @@ adult-cams.example/live freeporn.example/videos sexchat.example/adult xxx-videos
 fast-loans.example/payday paydayloans.example/apply cheap-loans-now.example/credit get-rich-quick.example/money cryptodoubler.example/win
 free-prizes.example/win/iphone luckywinner.example/prize claim-your-prize.example/free malware-download.example/crack crackedsoftware.example/keygen
 warez-downloads.example/torrent free-keygen.example/crack fakewatches.example/replica cheap-replica-watches.example/sale weight-loss-miracle.example/pills
+ad-tracker.example/pixel ads-server.example/track/click banner-ads.example/track trackads.example/pixel/click best-ads-network.example/track
 click-bait-ads.example/click popupads.example/adclick doorway-pages.example/spam scamdeals.example/win phishing-login.example/verify/account
 """.split()
 ALLOWED_EXAMPLES = """
@@ -43,6 +48,7 @@ www.openstreet.example/map/view code.repository.example/project/source maths-hel
 www.nationalpark.example/trails/map film-review.example/archive/drama blog.knitting.example/pattern/scarf housing-association.example/rent/info
 www.bakery.example/menu/bread gardenplants.example/roses/care de.woerterbuch.example/wort fr.journal.example/article/culture es.noticias.example/mundo
 www.government.example/forms/tax farm-museum.example/visit the-daily-paper.example/opinion/letters freesoftware.example/download/source www.cheap-travel-tips.example/trains
+machine-learning.example/tutorial/python better-homes.example/garden learn-python.example/course/lists race-track.example/results/season
 the.example/en/page blog.example/de/index m.example/fr/index www.example/es/index online-courses.example/lessons/history credit-union.example/branches
 """.split()
 #: Other frequent words, with the examples' words the whole lexicon of the segmenter.
@@ -52,6 +58,9 @@ DEFAULT_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/
 #: Parts of a name that only say where a site is, not what it holds.
 PLACES = frozenset("www m blog com net org example en de fr es html".split())
 
+#: Words of the pages' texts that the segmenter knows: the most frequent, ties by the word.
+LEXICON_WORDS = 20_000
+
 _TOKEN = re.compile(r"[a-z]+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -86,6 +95,10 @@ class Rules:
                 return best
 
 
+#: Cost of each letter of an unknown word: a tenth of the probability.
+UNKNOWN_LETTER = math.log(10)
+
+
 class Segmenter:
     """The likeliest words of a run of letters under independent word probabilities.
 
@@ -93,19 +106,25 @@ class Segmenter:
     ones and one unknown word over two.
     """
 
-    def __init__(self, counts: Counter, longest: int = 24) -> None:
+    def __init__(self, counts: Counter) -> None:
         total = sum(counts.values())
         self.cost = {w: math.log(total / c) for w, c in counts.items()}
-        self.base, self.longest = math.log(total), longest
+        self.base, self.longest = math.log(total), max(map(len, counts), default=1)
 
     def price(self, word: str) -> float:
-        return self.cost.get(word, self.base + 2.302585092994046 * len(word))
+        return self.cost.get(word, self.base + UNKNOWN_LETTER * len(word))
 
     def split(self, run: str) -> list[str]:
-        """Viterbi over the cut positions; a word has at most ``longest`` letters, so any length takes linear time."""
+        """Viterbi over the cut positions. A word ends at a position as a known one, or as an unknown one that began anywhere: the
+        cheapest such beginning is carried along, so that a run of any length takes linear time."""
         best, back = [0.0], [0]
+        unknown, begun = math.inf, 0  # cheapest unknown word so far, not ended
         for z in range(1, len(run) + 1):
-            cost, a = min((best[a] + self.price(run[a:z]), a) for a in range(max(0, z - self.longest), z))
+            if best[z - 1] + self.base < unknown:
+                unknown, begun = best[z - 1] + self.base, z - 1
+            unknown += UNKNOWN_LETTER
+            known = min(((best[a] + c, a) for a in range(max(0, z - self.longest), z) if (c := self.cost.get(run[a:z])) is not None), default=(math.inf, 0))
+            cost, a = min(known, (unknown, begun))
             best.append(cost)
             back.append(a)
         out, z = [], len(run)
@@ -115,10 +134,14 @@ class Segmenter:
         return out[::-1]
 
 
+#: Share of URLs taken to be unwanted before their words are seen: one unwanted word in an otherwise unknown URL isn't enough.
+BLOCK_PRIOR = 0.08
+
+
 class NaiveBayes:
     """Multinomial naive Bayes with add-one smoothing over words known from the examples."""
 
-    def __init__(self, blocked: list[list[str]], allowed: list[list[str]], block_prior: float = 0.25) -> None:
+    def __init__(self, blocked: list[list[str]], allowed: list[list[str]], block_prior: float = BLOCK_PRIOR) -> None:
         b, a = Counter(w for x in blocked for w in x), Counter(w for x in allowed for w in x)
         words = set(b) | set(a)
         nb, na = sum(b.values()) + len(words), sum(a.values()) + len(words)
@@ -133,7 +156,7 @@ class NaiveBayes:
 class UrlJudge:
     """Everything that judging a URL takes, fitted on the examples."""
 
-    def __init__(self, rules: tuple[tuple[str, str], ...] = DEFAULT_RULES, blocked: list[str] | None = None, allowed: list[str] | None = None) -> None:
+    def __init__(self, rules: tuple[tuple[str, str], ...] = DEFAULT_RULES, blocked: list[str] | None = None, allowed: list[str] | None = None, counts: dict[str, int] | None = None) -> None:
         blocked, allowed = blocked or BLOCKED_EXAMPLES, allowed or ALLOWED_EXAMPLES
         self.rules = Rules(rules)
         plain = [w for u in [*blocked, *allowed] for w in _TOKEN.findall(u) if w not in PLACES]
@@ -149,7 +172,9 @@ class UrlJudge:
             if own is not None:
                 first.cost[w] = own
             whole.update(others if len(others) > 1 and all(x in known and len(x) > 2 for x in others) else [w])
-        self.segmenter = Segmenter(seeds + whole)
+        mean = sum(counts.values()) / len(counts) if counts else 1
+        known = Counter({w: math.ceil(c * max(1.0, mean)) for w, c in (seeds + whole).items()})  # examples weigh as frequent words do
+        self.segmenter = Segmenter(known + Counter({w: c for w, c in (counts or {}).items() if w not in PLACES}))
         self.host_words = lru_cache(100_000)(self._host_words)
         self.model = NaiveBayes(*([self.words(*parts("x://" + u)) for u in us] for us in (blocked, allowed)))
 
@@ -169,13 +194,22 @@ class UrlJudge:
         return host, path, rule, verdict or ("block" if score > 0 else "allow"), score, " ".join(words)
 
 
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = DEFAULT_RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, score and words of every row of ``pages``."""
+def corpus_counts(pages: DataFrame, most: int = LEXICON_WORDS) -> dict[str, int]:
+    """How often the ``most`` most frequent words (a-z, three letters or more, A-Z folded) stand in the texts of all pages, counted over
+    the whole table; words are combined before the shuffle."""
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1|<[^>]*>|&[a-zA-Z#0-9]+;", " ")
+    words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?<!\p{L})[a-z]{3,24}(?!\p{L})"), 0)).alias("word"))
+    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
+    return {r.word: r.n for r in top.collect()}  # at most `most` rows
+
+
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = DEFAULT_RULES, counts: dict[str, int] | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, score and words of every row of ``pages``; ``counts`` are the segmenter's unigrams."""
     made: list[UrlJudge] = []
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:
         if not made:
-            made.append(UrlJudge(rules))
+            made.append(UrlJudge(rules, counts=counts))
         columns = zip(*map(made[0].judge, b.column(1).to_pylist()), strict=True)
         kinds = [pa.string()] * 4 + [pa.float64(), pa.string()]
         return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["page_id", "host", "path", "rule", "verdict", "score", "words"])
