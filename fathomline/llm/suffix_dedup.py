@@ -4,16 +4,18 @@ The work is in four steps, all of them over whole texts.
 
 1. *Anchors.* Every window of WINDOW bytes has one anchor, the least hash among its GRAM-byte strings (the leftmost among
    equals), so equal windows have equal anchors at equal places. Consecutive windows with the same anchor form a run,
-   and the bytes they cover are the run's context. A row per run carries the anchor's hash and the context's.
-2. *Whole contexts.* A context that occurs twice or more (counts are combined before the shuffle) repeats all its windows.
-3. *Suffix arrays.* Contexts that occur once but share their anchor with another context are fetched from their texts and
-   sorted anchor by anchor. Relative to the anchor they are strings of BLOCK-byte symbols; the suffix array of a chunk
-   of whole anchor groups, by linear grouping (``suffix_array``), brings equal runs of symbols together, and the up to
-   BLOCK bytes on either side are compared exactly.
+   and the bytes they cover are the run's context. A row per run carries the anchor's hash and the context's, two hashes of 64 bits
+   by different functions.
+2. *Contexts.* Rows of one anchor and context are counted, combined before the shuffle, and stand for one context, once or
+   repeatedly there. Those that occur repeatedly or share their anchor with another are fetched from one of their texts.
+3. *Suffix arrays.* Contexts are sorted anchor by anchor, one that occurs repeatedly standing there twice. Relative to the anchor they
+   are strings of BLOCK-byte symbols; the suffix array of a chunk of whole anchor groups, by linear grouping
+   (``suffix_array``), brings equal runs of symbols together, and the up to BLOCK bytes on either side are compared exactly. It
+   gives the ranges of single contexts and confirms the repeated ones, whose ranges then hold wherever they occur.
 4. *Removal.* The covered byte ranges of each text are united and cut out.
 
 An anchor with more than LARGE_GROUP different contexts isn't given to one task: its contexts are exploded into their windows'
-hashes, which are counted like contexts, and give the same result.
+hashes (again two of them), which are counted like contexts, and give the same result.
 
 ``suffix_array`` builds the order in two phases without renaming symbols recursively. First suffixes are grouped by
 their longest Lyndon prefix: groups are processed in descending order, each suffix finds the nearest suffix before it in
@@ -21,8 +23,8 @@ a smaller group (previous-smaller pointer), and those found move to a new group
 emitted in order: a suffix that is placed places the suffixes before it whose next smaller suffix it is, each at the
 front of its group.
 
-Defined results: a null text is empty; texts shorter than a window lose nothing; repeated rows count as occurrences of
-each other; extra columns are ignored.
+Defined results: a null text is empty; texts shorter than a window lose nothing; repeated rows, and rows of equal text without an
+id, count as occurrences of each other; an id may hold several texts; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,12 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import arrow_map, bounded_batches, materialise, utf8
-from fathomline.sources.shared import new_path
+from fathomline.sources.shared import new_path, stored
 
 WINDOW, GRAM, BLOCK = 200, 32, 16
 #: Different contexts of an anchor beyond which its windows are counted by hash instead of sorted in one task.
@@ -187,7 +190,9 @@ def runs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, n
         parts.append((grams[place], place + begin, first + begin, last + begin))
     gram, place, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
     shape = _mixed(((place - first) * 1024 + (place - last) + 1).astype(np.uint64))
-    return gram, hashes.at(first, last + WINDOW) ^ shape, place, first, last
+    digest = xxhash.xxh3_64_intdigest
+    context = np.fromiter([digest(text[a:z]) for a, z in zip(first.tolist(), (last + WINDOW).tolist(), strict=True)], np.uint64, len(first))
+    return gram, context ^ shape, place, first, last
 
 
 def united(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,31 +214,22 @@ def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, place - (packed >> 8 & 255), place - (packed & 255)
 
 
-RUN_SCHEMA = "doc long, th long, gram long, context long, n int, packed long"
+RUN_SCHEMA = "doc long, th long, gram long, context long, packed long"
 
 
 def text_runs(keyed: DataFrame) -> DataFrame:
-    """Rows of runs of (doc, th, text): n is 1, or 2 if the text itself holds the context twice; with n = 0 ``gram`` and
-    ``context`` are a byte range that contexts occurring twice in the text cover."""
+    """A row for every run of (doc, th, text)."""
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
         for k, t in enumerate(utf8(b.column(2))):
-            if len(t) < WINDOW:
-                continue
-            gram, context, place, first, last = runs(t)
-            _, one, back, count = np.unique(context, return_index=True, return_inverse=True, return_counts=True)
-            packed = _packed(place, first, last)
-            parts.append((np.full(len(one), k), gram[one].view(np.int64), context[one].view(np.int64), np.minimum(count, 2), packed[one]))
-            if len(one) < len(context):
-                twice = count[back] > 1
-                a, z = united(first[twice], last[twice] + WINDOW)
-                parts.append((np.full(len(a), k), a, z, np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)))
+            if len(t) >= WINDOW:
+                gram, context, place, first, last = runs(t)
+                parts.append((np.full(len(gram), k), gram.view(np.int64), context.view(np.int64), _packed(place, first, last)))
         if not parts:
             return None
-        at, gram, context, n, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
-        ids = [b.column(c).take(pa.array(at)) for c in (0, 1)]
-        return pa.RecordBatch.from_arrays([*ids, pa.array(gram), pa.array(context), pa.array(n.astype(np.int32)), pa.array(packed)], ["doc", "th", "gram", "context", "n", "packed"])
+        at, *columns = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in (0, 1)), *map(pa.array, columns)], ["doc", "th", "gram", "context", "packed"])
 
     return arrow_map(keyed, RUN_SCHEMA, rows)
 
@@ -255,8 +251,8 @@ def _squeezed(documents: DataFrame) -> DataFrame:
 
 
 def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The contexts of ``wanted`` (doc, th, gram, n, packed, large) with their bytes, each from one row that holds its text."""
-    asked = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("gram", "n", "packed", "large")).alias("asked"))
+    """The contexts of ``wanted`` (doc, th, gram, context, n, packed, large) with their bytes, each from a row that holds its text."""
+    asked = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("gram", "context", "n", "packed", "large")).alias("asked"))  # at most a text's runs
     found = _squeezed(documents).drop("doc_id").join(asked, ["doc", "th"])
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -266,11 +262,11 @@ def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
             text = expand(squeezed)
             for a in asked:
                 place = a["packed"] >> 16
-                out.append((a["gram"], a["n"], doc, th, a["packed"], a["large"], text[place - (a["packed"] >> 8 & 255) : place - (a["packed"] & 255) + WINDOW]))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["gram", "n", "doc", "th", "packed", "large", "bytes"])
+                out.append((a["gram"], a["context"], a["n"], doc, th, a["packed"], a["large"], text[place - (a["packed"] >> 8 & 255) : place - (a["packed"] & 255) + WINDOW]))
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["gram", "context", "n", "doc", "th", "packed", "large", "bytes"])
 
-    return arrow_map(found.select("doc", "th", "squeezed", "asked"), "gram long, n int, doc long, th long, packed long, large boolean, bytes binary", rows)
+    return arrow_map(found.select("doc", "th", "squeezed", "asked"), "gram long, context long, n int, doc long, th long, packed long, large boolean, bytes binary", rows)
 
 
 def repeated_windows(contexts: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -353,45 +349,47 @@ def _pairs(words: np.ndarray) -> np.ndarray:
 
 
 def sorted_groups(contexts: DataFrame) -> DataFrame:
-    """doc, th, a, z: byte ranges of contexts with n = 1 that windows repeated in their anchor's group cover."""
+    """doc, th, a, z: byte ranges of contexts with n = 1 that windows repeated in their anchor's group cover; and gram and context of
+    those with n = 2, which stand in the group twice, whose windows are all found again there."""
     bounded_batches(contexts.sparkSession)
 
     def ranges(held: list[tuple]) -> pa.RecordBatch | None:
-        texts = [h[4] for h in held]
-        packed = np.asarray([h[3] for h in held], np.int64)
-        place, first, _ = _unpacked(packed)
-        c, s = repeated_windows(texts, place - first)
-        alone = np.asarray([h[0] == 1 for h in held])
-        keep = alone[c]
-        c, s = c[keep], s[keep]
+        held = [x for h in held for x in ([h, h] if h[2] > 1 else [h])]
+        place, first, last = _unpacked(np.asarray([h[5] for h in held], np.int64))
+        c, s = repeated_windows([h[6] for h in held], place - first)
         if not len(c):
             return None
         # ranges of one context become one where they touch; contexts lie far apart on one line
         far = 1 << 20
         a, z = united(c * far + s, c * far + s + WINDOW)
         c = a // far
+        again = np.asarray([h[2] > 1 for h in held])[c]
+        whole = again & (z - a == (last - first)[c] + WINDOW)
+        use = np.flatnonzero(~again | whole)
+        c, a, z, whole = c[use], a[use], z[use], whole[use]
         shift = first[c] - c * far
-        doc, th = np.asarray([h[1] for h in held], np.int64)[c], np.asarray([h[2] for h in held], np.int64)[c]
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(th), pa.array(a + shift), pa.array(z + shift)], ["doc", "th", "a", "z"])
+        numbers = [np.asarray([h[k] for h in held], np.int64)[c] for k in (3, 4, 0, 1)]
+        columns = [pa.array(v, mask=m) for v, m in zip([numbers[0], numbers[1], a + shift, z + shift, numbers[2], numbers[3]], [whole] * 4 + [~whole] * 2, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "th", "a", "z", "gram", "context"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         symbols, last = 0, None
         for b in batches:
-            for gram, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if gram != last and symbols >= CHUNK_SYMBOLS:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[0] != last and symbols >= CHUNK_SYMBOLS:
                     if (out := ranges(held)) is not None:
                         yield out
                     held, symbols = [], 0
-                held.append(tuple(row))
-                symbols += len(row[4]) // BLOCK
-                last = gram
+                held.append(row)
+                symbols += row[2] * len(row[6]) // BLOCK
+                last = row[0]
         if held and (out := ranges(held)) is not None:
             yield out
 
     parts = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = contexts.where("not large").select("gram", "n", "doc", "th", "packed", "bytes").repartition(parts, "gram").sortWithinPartitions("gram")
-    return dealt.mapInArrow(meet, "doc long, th long, a long, z long")
+    dealt = contexts.where("not large").select("gram", "context", "n", "doc", "th", "packed", "bytes").repartition(parts, "gram").sortWithinPartitions("gram")
+    return dealt.mapInArrow(meet, "doc long, th long, a long, z long, gram long, context long")
 
 
 def counted_windows(contexts: DataFrame) -> DataFrame:
@@ -401,14 +399,15 @@ def counted_windows(contexts: DataFrame) -> DataFrame:
         out = []
         for n, doc, th, packed, text in zip(*(b.column(c).to_pylist() for c in ("n", "doc", "th", "packed", "bytes")), strict=True):
             h = Hashes(text).all(0, len(text) - WINDOW + 1, WINDOW).view(np.int64)
+            x = np.fromiter([xxhash.xxh3_64_intdigest(text[k : k + WINDOW]) for k in range(len(h))], np.uint64, len(h)).view(np.int64)
             first = (packed >> 16) - (packed >> 8 & 255)
-            out.append((h, np.full(len(h), min(n, 2)), np.full(len(h), doc), np.full(len(h), th), first + np.arange(len(h))))
-        h, n, doc, th, start = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int32)), pa.array(doc), pa.array(th), pa.array(start)], ["h", "n", "doc", "th", "a"])
+            out.append((h, x, np.full(len(h), min(n, 2)), np.full(len(h), doc), np.full(len(h), th), first + np.arange(len(h))))
+        h, x, n, doc, th, start = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(x), pa.array(n.astype(np.int32)), pa.array(doc), pa.array(th), pa.array(start)], ["h", "x", "n", "doc", "th", "a"])
 
-    windows = arrow_map(contexts.where("large").select("n", "doc", "th", "packed", "bytes"), "h long, n int, doc long, th long, a long", explode)
-    twice = windows.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
-    return windows.where("n = 1").join(twice, "h").select("doc", "th", "a", (F.col("a") + WINDOW).alias("z"))
+    windows = arrow_map(contexts.where("large").select("n", "doc", "th", "packed", "bytes"), "h long, x long, n int, doc long, th long, a long", explode)
+    twice = windows.groupBy("h", "x").agg(F.sum("n").alias("total")).where("total > 1").select("h", "x")
+    return windows.where("n = 1").join(twice, ["h", "x"]).select("doc", "th", "a", (F.col("a") + WINDOW).alias("z"))
 
 
 def repeated_ranges(documents: DataFrame) -> DataFrame:
@@ -417,19 +416,15 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     table = new_path(spark, "runs")
     text_runs(_keyed(documents)).write.parquet(table)
     found = spark.read.schema(RUN_SCHEMA).parquet(table)
-    within = found.where("n = 0").select("doc", "th", F.col("gram").alias("a"), F.col("context").alias("z"))
-    real = found.where("n > 0")
-    kinds = materialise(
-        real.groupBy("gram", "context").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "packed")))
-        .withColumn("n", F.least("n", F.lit(2)).cast("int"))
-        .transform(_with_group)
-    )
-    whole = real.join(kinds.where("n > 1").select("gram", "context"), ["gram", "context"])
+    kinds = found.groupBy("gram", "context").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "packed")))
+    kinds = materialise(kinds.transform(_with_group).withColumn("large", F.col("contexts") > LARGE_GROUP).drop("contexts"))
+    fetched = stored(_fetch(documents, kinds), "contexts")
+    grouped = stored(sorted_groups(fetched), "ranges")
+    confirmed = grouped.where("gram is not null").select("gram", "context").unionByName(kinds.where("large and n > 1").select("gram", "context")).distinct()
+    whole = found.join(confirmed, ["gram", "context"])
     place = F.shiftright("packed", 16)
     full = whole.select("doc", "th", (place - F.shiftright("packed", 8).bitwiseAND(255)).alias("a"), (place - F.col("packed").bitwiseAND(255) + WINDOW).alias("z"))
-    shared = kinds.where("contexts > 1").withColumn("large", F.col("contexts") > LARGE_GROUP).select("doc", "th", "gram", "n", "packed", "large")
-    fetched = materialise(_fetch(documents, shared))
-    return within.unionByName(full).unionByName(sorted_groups(fetched)).unionByName(counted_windows(fetched))
+    return full.unionByName(grouped.where("doc is not null").select("doc", "th", "a", "z")).unionByName(counted_windows(fetched))
 
 
 def _with_group(kinds: DataFrame) -> DataFrame:
@@ -441,7 +436,7 @@ def _with_group(kinds: DataFrame) -> DataFrame:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row: its text without the bytes that repeated windows cover."""
     ranges = repeated_ranges(documents)
-    cut = ranges.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "z")).alias("ranges"))
+    cut = ranges.groupBy("doc", "th").agg(F.collect_set(F.struct("a", "z")).alias("ranges"))  # a text's own, however often its row is repeated
     held = _squeezed(documents).join(cut, ["doc", "th"], "left")
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -439,6 +439,23 @@ def test_repeats(docs, texts, empty, monkeypatch, large):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_repeated_rows(spark):
+    """Rows that repeat an id or have none, and texts that repeat themselves."""
+    rng = random.Random(12)
+    alone, twice, part = (" ".join(f"{rng.choice('abcdefg')}{rng.randrange(3000)}" for _ in range(n)) for n in (70, 70, 60))
+    texts = [(1, alone), (2, twice), (2, twice), (None, twice + " end"), (None, twice + " end"), (3, part + "x" + part + "y" + part), (4, "ab" * 700), (5, None), (5, alone[:150] + part)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, gram int")
+    want = sorted((str(i), *w) for (i, _), w in zip(texts, slow_repeats([t for _, t in texts]), strict=True))
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df).collect())
+    assert got == want
+
+
+def test_suffix_arrays_find_the_repeats(docs, monkeypatch):
+    """Without them nothing is removed."""
+    monkeypatch.setattr(suffix_dedup, "sorted_groups", lambda c: c.sparkSession.createDataFrame([], "doc long, th long, a long, z long, gram long, context long"))
+    assert suffix_dedup.remove_repeats(docs).agg({"n_removed": "sum"}).first()[0] == 0
+
+
 def test_passes_meet(monkeypatch):
     rng = random.Random(8)
     t = bytes(rng.choice(b"ab") for _ in range(1500))
