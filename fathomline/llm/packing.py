@@ -26,8 +26,9 @@ from fathomline.llm.common import arrow_map, bounded_batches, text_bytes, utf8
 CAPACITY = 4096
 #: Pieces that one packing task gets on average; more input means more groups, not larger ones.
 GROUP_PIECES = 40_000
-#: Words, and their lower-case cores, whose ids a worker keeps, in two generations. When the young one is full the old one is forgotten.
-CACHED_WORDS, CACHED_CORES = 800_000, 800_000
+#: Words, and their lower-case cores, whose ids a worker keeps, in two generations. When the young one is full the old one is forgotten. A
+#: worker that later runs another stage still holds them (some 200 bytes each).
+CACHED_WORDS, CACHED_CORES = 300_000, 300_000
 #: Words longer than this are encoded without being kept.
 CACHED_BYTES = 48
 #: Plain words: Latin letters that no normalisation joins or changes beyond lower case, and marks after them.
