@@ -364,8 +364,9 @@ def sorted_groups(contexts: DataFrame) -> DataFrame:
         a, z = united(c * far + s, c * far + s + WINDOW)
         c = a // far
         again = np.asarray([h[2] > 1 for h in held])[c]
+        second = np.asarray([k > 0 and held[k] is held[k - 1] for k in range(len(held))])[c]
         whole = again & (z - a == (last - first)[c] + WINDOW)
-        use = np.flatnonzero(~again | whole)
+        use = np.flatnonzero(~again | whole & ~second)
         c, a, z, whole = c[use], a[use], z[use], whole[use]
         shift = first[c] - c * far
         numbers = [np.asarray([h[k] for h in held], np.int64)[c] for k in (3, 4, 0, 1)]
@@ -420,7 +421,7 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     kinds = materialise(kinds.transform(_with_group).withColumn("large", F.col("contexts") > LARGE_GROUP).drop("contexts"))
     fetched = stored(_fetch(documents, kinds), "contexts")
     grouped = stored(sorted_groups(fetched), "ranges")
-    confirmed = grouped.where("gram is not null").select("gram", "context").unionByName(kinds.where("large and n > 1").select("gram", "context")).distinct()
+    confirmed = grouped.where("gram is not null").select("gram", "context").unionByName(kinds.where("large and n > 1").select("gram", "context"))  # each once
     whole = found.join(confirmed, ["gram", "context"])
     place = F.shiftright("packed", 16)
     full = whole.select("doc", "th", (place - F.shiftright("packed", 8).bitwiseAND(255)).alias("a"), (place - F.col("packed").bitwiseAND(255) + WINDOW).alias("z"))
