@@ -1,8 +1,9 @@
 """Connected components of a graph given as edges, by alternating large-star and small-star steps.
 
-The edges stay distributed; each step is a grouped minimum (combined before the shuffle) and a join that deals the edges of
-one node into parts, since a star may hold most of them. Rounds go on until nothing changes. Every round is
-checkpointed in the shared folder, so that a lost executor repeats one round at most.
+The edges stay distributed; each step is a grouped minimum (combined before the shuffle) and a join. Where a node has more than
+HOT_EDGES edges, as the centre of a large component comes to have, its edges are dealt into parts in these joins. Rounds go on until
+nothing changes. Every round is checkpointed in the shared folder, so that a lost executor repeats one round at most; the few edges of
+a small graph are read by few tasks.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import materialise
 from fathomline.operators.skew import attach
 
-#: Parts that the edges of one node are dealt into.
-SALTS = 16
+#: Edges of one node beyond which they are dealt into parts, and edges that one task reads at least.
+HOT_EDGES, TASK_EDGES = 50_000, 20_000
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -27,11 +28,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(now)
     while before[0]:
+        now = now.coalesce(before[0] // TASK_EDGES + 1)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hot = not both.groupBy("u").count().where(F.col("count") > HOT_EDGES).isEmpty()
+
+        def least_of(rows: DataFrame, least: DataFrame, hot: bool = hot) -> DataFrame:
+            return attach(rows, least, ["u"], "v") if hot else rows.join(least, "u")
+
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = attach(both.where("v > u"), least, ["u"], "v", salts=SALTS).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = least_of(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = attach(large, least, ["u"], "v", salts=SALTS).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = least_of(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = materialise(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         after = _state(now)
         if after == before:

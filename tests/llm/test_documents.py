@@ -398,7 +398,9 @@ def test_links_against_all_pairs(spark, monkeypatch, bucket, large):
     assert classes(f, [(r.u, r.v) for r in got]) == classes(f, near)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [50_000, 2])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT_EDGES", hot)
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (95, 100), (7, 3), (200, 300)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == classes({x for e in edges for x in e}, edges)
