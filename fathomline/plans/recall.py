@@ -107,7 +107,11 @@ def dense_hits(spark, sf, k=50):
 
 
 def route_hits(spark, sf):
-    """The three routes' best 50 of each query, with their source."""
+    """The three routes' best 50 of each query, with their source.
+
+    A union that keeps its inputs' partitioning fails where one of them is planned as three ("Can't zip RDDs"), and gains nothing for so few rows.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     out = None
     for source, hits in (("bm25", bm25_hits(spark, sf, 50)), ("sparse", sparse_hits(spark, sf, 50)), ("dense", dense_hits(spark, sf))):
         rows = hits.select("query_id", F.lit(source).alias("source"), "chunk_id", "doc_id", "dataset_id", "score")
