@@ -398,6 +398,20 @@ def test_links_against_all_pairs(spark, monkeypatch, bucket, large):
     assert classes(f, [(r.u, r.v) for r in got]) == classes(f, near)
 
 
+@pytest.mark.parametrize("most", [3, 50, 100_000])
+def test_contracted_edges_connect_the_same_nodes(spark, monkeypatch, most):
+    """Chains, cycles, a hub, repeated edges and hash-like ids, cut into chunks of few edges."""
+    monkeypatch.setattr(components, "TASK_EDGES", most)
+    rng = np.random.default_rng(4)
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (100, 101)] + [(1000, 1000 + k) for k in range(1, 60)]
+    edges += [(int(a), int(b)) for a, b in rng.integers(-(1 << 62), 1 << 62, (30, 2))]
+    ids = sorted({x for e in edges for x in e})
+    table = spark.createDataFrame([edges[k] for k in rng.permutation(len(edges))], "u long, v long").repartition(3)
+    short = [(r.u, r.v) for r in components.contracted(table).collect()]
+    assert classes(ids, short) == classes(ids, edges) and len(short) <= len(edges)
+    assert {r.node: r.root for r in components.connected_components(table).collect()} == classes(ids, edges)
+
+
 @pytest.mark.parametrize("hot", [50_000, 2])
 def test_components(spark, monkeypatch, hot):
     monkeypatch.setattr(components, "HOT_EDGES", hot)
