@@ -27,6 +27,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, so that a worker's memory doesn't follow the length of texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -6,8 +6,8 @@ The work is in four steps, all of them over whole texts.
    equals), so equal windows have equal anchors at equal places. Consecutive windows with the same anchor form a run,
    and the bytes they cover are the run's context. A row per run carries the anchor's hash and the context's, two hashes of 64 bits
    by different functions.
-2. *Contexts.* Rows of one anchor and context are counted, combined before the shuffle, and stand for one context, once or
-   repeatedly there. Those that occur repeatedly or share their anchor with another are fetched from one of their texts.
+2. *Contexts.* Rows whose anchor stands nowhere else go first: nothing can repeat there. Rows of one anchor and context are
+   counted, combined before the shuffle, and stand for one context, once or repeatedly there, which is fetched from one of its texts.
 3. *Suffix arrays.* Contexts are sorted anchor by anchor, one that occurs repeatedly standing there twice. Relative to the anchor they
    are strings of BLOCK-byte symbols; the suffix array of a chunk of whole anchor groups, by linear grouping
    (``suffix_array``), brings equal runs of symbols together, and the up to BLOCK bytes on either side are compared exactly. It
@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import arrow_map, bounded_batches, materialise, utf8
+from fathomline.llm.common import arrow_map, bounded_batches, discard, materialise, utf8
 from fathomline.sources.shared import new_path, stored
 
 WINDOW, GRAM, BLOCK = 200, 32, 16
@@ -416,7 +416,9 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     table = new_path(spark, "runs")
     text_runs(_keyed(documents)).write.parquet(table)
-    found = spark.read.schema(RUN_SCHEMA).parquet(table)
+    every = spark.read.schema(RUN_SCHEMA).parquet(table)
+    found = stored(every.join(every.groupBy("gram").count().where("count > 1"), "gram", "leftsemi"), "live")
+    discard(spark, table)  # most anchors stand once, and nothing reads them again
     kinds = found.groupBy("gram", "context").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "packed")))
     kinds = materialise(kinds.transform(_with_group).withColumn("large", F.col("contexts") > LARGE_GROUP).drop("contexts"))
     fetched = stored(_fetch(documents, kinds), "contexts")
@@ -429,9 +431,8 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
 
 
 def _with_group(kinds: DataFrame) -> DataFrame:
-    """Only rows that can repeat: a context that occurs twice, or an anchor with several contexts (how many: ``contexts``)."""
-    groups = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts"), F.max("n").alias("most")).where("contexts > 1 or most > 1")
-    return kinds.join(groups.drop("most"), "gram")
+    """``kinds`` with the number of different contexts of their anchor, ``contexts``."""
+    return kinds.join(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")), "gram")
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
