@@ -44,6 +44,8 @@ from fathomline.sources.shared import new_path, stored
 WINDOW, GRAM, BLOCK = 200, 32, 16
 #: Different contexts of an anchor beyond which its windows are counted by hash instead of sorted in one task.
 LARGE_GROUP = 20_000
+#: An anchor is hot if it has more than one in HOT_SHARE of all runs.
+HOT_SHARE = 1000
 #: Symbols of a chunk of whole groups that one suffix array takes; a larger group is a chunk by itself.
 CHUNK_SYMBOLS = 150_000
 #: Window starts of a long text that one pass looks at; passes meet without a gap.
@@ -417,7 +419,7 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     table = new_path(spark, "runs")
     text_runs(_keyed(documents)).write.parquet(table)
     every = spark.read.schema(RUN_SCHEMA).parquet(table)
-    found = stored(every.join(every.groupBy("gram").count().where("count > 1"), "gram", "leftsemi"), "live")
+    found = stored(_live(every), "live")
     discard(spark, table)  # most anchors stand once, and nothing reads them again
     kinds = found.groupBy("gram", "context").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("n"), *(F.first(c).alias(c) for c in ("doc", "th", "packed")))
     kinds = materialise(kinds.transform(_with_group).withColumn("large", F.col("contexts") > LARGE_GROUP).drop("contexts"))
@@ -430,6 +432,14 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     return full.unionByName(grouped.where("doc is not null").select("doc", "th", "a", "z")).unionByName(counted_windows(fetched))
 
 
+def _live(every: DataFrame) -> DataFrame:
+    """The runs whose anchor has several. A hot anchor has more than one run in HOT_SHARE, so that HOT_SHARE of them are the most
+    there can be; its runs need no join by anchor, which would bring them into one task."""
+    counts = materialise(every.groupBy("gram").count().where("count > 1"))
+    hot = F.broadcast(counts.where(F.col("count") * HOT_SHARE > every.count()).select("gram"))
+    return every.join(hot, "gram", "leftsemi").unionByName(every.join(hot, "gram", "leftanti").join(counts, "gram", "leftsemi"))
+
+
 def _with_group(kinds: DataFrame) -> DataFrame:
     """``kinds`` with the number of different contexts of their anchor, ``contexts``."""
     return kinds.join(kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("contexts")), "gram")
