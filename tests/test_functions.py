@@ -137,6 +137,49 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert got == {0: 56, 1: 57, 2: 58, 3: 59}
 
 
+def test_upserts_merge_changes_now_and_then(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(control, "MERGE_EVERY", 2)
+    schema, want = "k long, s long, v long", {}
+    for part in range(7):
+        rows = [(k, (part * 5 + (k or 0)) % 9, part * 10 + (k or 0)) for k in (0, 1, part, None)]
+        rows = list({r[0]: r for r in rows}.values())
+        for k, s, v in rows:
+            if k not in want or s >= want[k][0]:  # a later change wins over the same sequence
+                want[k] = (s, v)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        control.upsert_stream(stream, ["k"], "s", f"{tmp_path}/table", f"{tmp_path}/check").awaitTermination()
+        assert {r.k: (r.s, r.v) for r in control.newest_version(spark, f"{tmp_path}/table").collect()} == want
+    assert sorted(os.listdir(f"{tmp_path}/table")) == [f"{n}{i:010d}" for n, i in [("d", 4), ("d", 5), ("d", 6), ("v", 3), ("v", 5)]]
+    assert control.newest_version(spark, f"{tmp_path}/none") is None
+
+
+def test_claims_are_forgotten_when_their_timer_runs_out():
+    import pandas as pd
+
+    class State:
+        hasTimedOut, exists, get, wait = False, False, None, 0  # noqa: N815
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def remove(self):
+            self.exists = False
+
+        def setTimeoutTimestamp(self, ms):  # noqa: N802
+            self.wait = ms
+
+    state, t = State(), pd.Timestamp("2026-01-01")
+    frame = pd.DataFrame({"version": [1, 1, 0, 2], "seq": [0, 1, 2, 3], "ts": [t, t + pd.Timedelta(29, "s"), t + pd.Timedelta(40, "s"), t + pd.Timedelta(41, "s")]})
+    (out,) = control.claim((7,), iter([frame]), state)
+    assert out.taken.tolist() == [True, False, False, True] and state.get[:2] == (2, 1)
+    assert state.wait / 1000 == (t + pd.Timedelta(41, "s") + pd.Timedelta(control.CLAIM_DAYS, "D")).timestamp()
+    state.hasTimedOut = True
+    assert list(control.claim((7,), iter([]), state)) == [] and not state.exists
+
+
 def test_html_to_markdown():
     from fathomline.functions.htmltext import cells, to_markdown
 
