@@ -11,7 +11,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def test_every_operator_is_registered():
     names = __spark_entry__.queries()
-    assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
+    assert len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names
 
 
 def one_of_each(texts):
