@@ -79,8 +79,6 @@ def lexical(index: DataFrame, queries: DataFrame, k: int, route: str = "bm25", b
     """
     asked = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("words"))
     column = "impacts" if route == "bm25" else "weights"
-    spark = index.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(INDEX_ROWS))
     rows = index.selectExpr("chunk_id", "cast(doc_id as long) doc_id", "cast(dataset_id as long) dataset_id", "terms", column) if route == "bm25" else (
         index.select("chunk_id", F.col("doc_id").cast("long"), F.col("dataset_id").cast("long"), F.slice("terms", 1, SPARSE_TERMS).alias("terms"), F.slice("weights", 1, SPARSE_TERMS).alias("weights"))
     )
@@ -104,17 +102,23 @@ def _scorer(block: pa.Table, k: int, route: str, by_dataset: bool, per_document:
     order = np.argsort(of_term, kind="stable")
     asking = np.split(of_query[order], np.flatnonzero(np.diff(of_term[order])) + 1) if len(order) else []
 
-    def best(score: np.ndarray, place: np.ndarray, docs: np.ndarray, at: np.ndarray) -> np.ndarray:
-        if not per_document and len(at) > k:
-            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k]]
-        at = at[np.lexsort((place[at], -score[at]))]
+    def best(query: np.ndarray, score: np.ndarray, place: np.ndarray, rows: pa.Table | pa.RecordBatch, at: np.ndarray) -> np.ndarray:
+        """Which hits (``query``, ``score``, on row ``at`` of ``rows``) can still be among the best of their query, or of its datasets or documents."""
+        sets = np.asarray(pc.fill_null(rows.column("dataset_id"), -1))[at] if by_dataset else np.zeros(len(at), np.int64)
+        order = np.lexsort((place[at], -score, sets, query))
         if per_document:
-            at = at[np.sort(np.unique(docs[at], return_index=True)[1])]
-        return at[:k]
+            docs = np.asarray(rows.column("doc_id"))[at]
+            order = order[np.sort(np.unique(np.stack([query[order], sets[order], docs[order]]), axis=1, return_index=True)[1])]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (np.diff(query[order]) != 0) | (np.diff(sets[order]) != 0)
+        begins = np.flatnonzero(fresh)
+        nth = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+        return order[nth < k]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows or not len(vocabulary):
+        held: list[pa.Table] = []
+        for b in sliced(batches):
+            if not len(vocabulary):
                 continue
             terms, weights = b.column(3), b.column(4)
             row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
@@ -132,19 +136,37 @@ def _scorer(block: pa.Table, k: int, route: str, by_dataset: bool, per_document:
                 score[cells] += weight[a:z]
                 found[cells] = True
             score = np.round(SCALE * score, 6) if route == "bm25" else (score + 500) // 1000 / 1e6
-            names = np.asarray(b.column(0).to_pylist(), object)
-            place = np.empty(b.num_rows, np.int64)
-            place[np.argsort(names)] = np.arange(b.num_rows)
-            docs, sets = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-            groups = [np.flatnonzero(sets == d) for d in np.unique(sets)] if by_dataset else [np.arange(b.num_rows)]
-            picked = [(q, best(score[q], place, docs, g[found[q, g]])) for q in range(len(ids)) for g in groups]
-            at = np.concatenate([p for _, p in picked])
-            q = np.repeat([x for x, _ in picked], [len(p) for _, p in picked])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array(score[q, at])], ["query_id", "chunk_id", "doc_id", "dataset_id", "score"])
+            q, at = np.nonzero(found)
+            if not by_dataset and not per_document:  # most hits are below their query's k-th in this slice
+                least = [np.partition(s[f], -k)[-k] if f.sum() > k else -np.inf for s, f in zip(score, found, strict=True)]
+                use = score[q, at] >= np.asarray(least)[q]
+                q, at = q[use], at[use]
+            use = best(ids[q], score[q, at], placed(b.column(0)), b, at)
+            q, at = q[use], at[use]
+            got = pa.table([pa.array(ids[q]), *(b.column(c).take(pa.array(at)) for c in range(3)), pa.array(score[q, at])], ["query_id", "chunk_id", "doc_id", "dataset_id", "score"])
+            both = pa.concat_tables([*held, got]).combine_chunks()
+            held = [both.take(pa.array(best(both.column("query_id").to_numpy(), both.column("score").to_numpy(), placed(both.column("chunk_id")), both, np.arange(both.num_rows))))]
+        for t in held:
+            yield from t.combine_chunks().to_batches()
 
     return search
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``batches`` in parts of at most INDEX_ROWS rows."""
+    for b in batches:
+        for a in range(0, b.num_rows, INDEX_ROWS):
+            yield b.slice(a, INDEX_ROWS)
+
+
+def placed(names) -> np.ndarray:
+    """The place of each name among them in order."""
+    order = np.argsort(np.asarray(names.to_pylist(), object), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return place
+
+
 def ranked(hits: DataFrame, by: list[str], k: int | None = None, order: list[Column] | None = None) -> DataFrame:
     """``hits`` with a 1-based rank in each group, best score first, ties by chunk; the first ``k`` of each."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*(order or [F.desc("score"), F.asc("chunk_id")])))
@@ -187,7 +209,6 @@ def dense(index: DataFrame, queries: DataFrame, k: int, same_dataset: bool = Fal
     Batches of the index meet a block of queries in numpy, each task keeps its own k best of a query, and a window merges
     them. ``same_dataset`` and ``threshold`` are applied before the cut. Vectors whose dataset is null match no dataset.
     """
-    index.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(INDEX_ROWS))
     rows = index.selectExpr("cast(vec_id as long) vec_id", "cast(dataset_id as long) dataset_id", "embedding")
     out = None
     for block in query_blocks(queries.selectExpr("cast(query_id as long) query_id", "cast(dataset_id as long) dataset_id", "embedding")):
@@ -209,8 +230,8 @@ def _nearest(block: pa.Table, k: int, same_dataset: bool, threshold: float | Non
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # k best so far: score, vec and dataset of each query
-        for b in batches:
-            if not b.num_rows or not len(ids):
+        for b in sliced(batches):
+            if not len(ids):
                 continue
             score = np.round(asked @ unit(b.column(2)).T, 6) + 0.0
             vec = np.broadcast_to(b.column(0).to_numpy(), score.shape)

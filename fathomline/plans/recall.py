@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathomline.catalog import query
 from fathomline.operators import recall as op
 from fathomline.sources.shared import kept
+from fathomline.sources.shared import stored as written
 from fathomline.sources.tables import CHUNKS_SQL, chunks, ready_documents, table
 
 INDEX_SQL = f"""
@@ -80,8 +81,8 @@ def index(spark, sf):
 
 
 def stored(spark, sf):
-    """The index that the lexical routes search, built once for each application and set of tables."""
-    return kept(spark, f"index of {sf}", lambda: op.stored_index(chunks(spark, sf)))
+    """The index that the lexical routes search, built once for each application and state of the documents' files."""
+    return kept(spark, f"index of {sf}", [f"{sf}/documents.parquet"], lambda: op.stored_index(chunks(spark, sf)))
 
 
 def bm25_hits(spark, sf, k, **how):
@@ -107,14 +108,12 @@ def dense_hits(spark, sf, k=50):
 
 
 def route_hits(spark, sf):
-    """The three routes' best 50 of each query, with their source.
-
-    A union that keeps its inputs' partitioning fails where one of them is planned as three ("Can't zip RDDs"), and gains nothing for so few rows.
-    """
-    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    """The three routes' best 50 of each query, with their source. Each route is stored: its hits are few and dear, and readers
+    take them several times."""
     out = None
     for source, hits in (("bm25", bm25_hits(spark, sf, 50)), ("sparse", sparse_hits(spark, sf, 50)), ("dense", dense_hits(spark, sf))):
         rows = hits.select("query_id", F.lit(source).alias("source"), "chunk_id", "doc_id", "dataset_id", "score")
+        rows = written(rows, "route")
         out = rows if out is None else out.unionByName(rows)
     return out
 

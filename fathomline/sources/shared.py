@@ -8,9 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
-_KEPT: dict[tuple[str, str], str] = {}
+_KEPT: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,14 +41,33 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(spark: SparkSession, key: str, make) -> DataFrame:
-    """The table that ``make`` gives, written once for each application and ``key`` and read again after that."""
-    held = (spark.sparkContext.applicationId, key)
-    if held not in _KEPT:
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Changes when a file under ``paths`` is added, deleted or written anew: names, lengths and times, listed and summed by Spark."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    h = F.xxhash64("path", "length", F.unix_micros("modificationTime"))
+    n, mixed, total = files.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit(1 << 31)))).first()
+    return f"{n}-{mixed}-{total}"
+
+
+def kept(spark: SparkSession, key: str, inputs: list[str], make) -> DataFrame:
+    """The table that ``make`` gives, written once for each application, ``key`` and state of the files under ``inputs``.
+
+    Where those files have changed, the table is made anew and the one before is deleted.
+    """
+    held, state = (spark.sparkContext.applicationId, key), fingerprint(spark, *inputs)
+    if held not in _KEPT or _KEPT[held][0] != state:
         path = new_path(spark, "kept")
         make().write.option("compression", "zstd").parquet(path)
-        _KEPT[held] = path
-    return spark.read.parquet(_KEPT[held])
+        if held in _KEPT:
+            delete(spark, _KEPT[held][1])
+        _KEPT[held] = state, path
+    return spark.read.parquet(_KEPT[held][1])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(rows: DataFrame, name: str = "stored") -> DataFrame:

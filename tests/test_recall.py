@@ -183,3 +183,27 @@ def test_a_model_scores_the_features(spark):
     assert [r.chunk_id for r in sorted(worst_first, key=lambda r: r.rank)] == ["b", "a"]
     with pytest.raises(Exception, match="not finite"):
         ranking.rank_by(ranking.features(df), lambda m: m[:, 0] * float("nan")).collect()
+
+
+def test_stored_index_follows_its_files(spark, tmp_path):
+    """A table that is written anew under the same path is indexed anew, and the index before is deleted."""
+    from fathomline.plans import recall as plans
+    from fathomline.sources import shared
+
+    rows = [(i, f"alpha beta gamma{i}", "en", "src0", 10) for i in range(8)]
+    spark.createDataFrame([(1, "alpha gamma3 gamma4")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def found(documents):
+        spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        return {r.doc_id for r in plans.bm25_topk(spark, str(tmp_path)).collect()}
+
+    assert found(rows) == set(range(8))
+    before = dict(shared._KEPT)
+    assert found(rows[::2]) == {0, 2, 4, 6}
+    (key,) = [k for k in shared._KEPT if str(tmp_path) in k[1]]
+    assert shared._KEPT[key] != before[key]
+    again = shared._KEPT[key]
+    plans.bm25_topk(spark, str(tmp_path)).collect()
+    assert shared._KEPT[key] == again  # nothing changed, nothing is made anew
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|not exist"):
+        spark.read.parquet(before[key][1]).count()
