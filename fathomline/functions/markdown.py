@@ -6,9 +6,10 @@ import math
 import re
 from dataclasses import dataclass, field
 
-KINDS = ("front_matter", "heading", "code_block", "math_block", "table", "list", "block_quote", "image", "html", "paragraph")
+KINDS = ("front_matter", "horizontal_rule", "heading", "code_block", "math_block", "table", "list", "block_quote", "image", "html", "paragraph")
 SOFT_MIN, TARGET, HARD_MAX, WINDOW_TOKENS = 128, 512, 1024, 128
 _HEADING, _FENCE = re.compile(r"(#{1,6})\s+(.*?)\s*#*\s*$"), re.compile(r"\s{0,3}(```+|~~~+)")
+_RULE = re.compile(r"\s{0,3}([-*_])(?:\s*\1){2,}\s*")
 _LIST, _IMAGE = re.compile(r"\s{0,3}([-*+]|\d+[.)])\s+"), re.compile(r"\s*!\[[^\]]*\]\([^)]*\)\s*$")
 _CHAPTER = (re.compile(r"第[一二三四五六七八九十百0-9]+[章节条编]"), re.compile(r"\d+(?:\.\d+)+\s"), re.compile(r"[一二三四五六七八九十]+、"), re.compile(r"(?i)(?:annex|appendix|附录)\s*[A-Z0-9]"))
 
@@ -52,6 +53,8 @@ def elements(text: str | None) -> list[Element]:
             i += 1
         elif i == 0 and line.strip() == "---" and "---" in (x.strip() for x in lines[1:]):
             add("front_matter", next(j for j in range(1, n) if lines[j].strip() == "---"))
+        elif _RULE.fullmatch(line):
+            add("horizontal_rule", i)
         elif m := _HEADING.match(line):
             add("heading", i, len(m[1]))
         elif m := _FENCE.match(line):
@@ -71,7 +74,7 @@ def elements(text: str | None) -> list[Element]:
         elif re.match(r"\s{0,3}<(?:[a-zA-Z/!])", line):
             add("html", until(lambda x: bool(x.strip())))
         else:
-            add("paragraph", until(lambda x: bool(x.strip()) and not _HEADING.match(x) and not _FENCE.match(x) and not _LIST.match(x) and not x.lstrip().startswith((">", "$$", "|"))))
+            add("paragraph", until(lambda x: bool(x.strip()) and not _RULE.fullmatch(x) and not _HEADING.match(x) and not _FENCE.match(x) and not _LIST.match(x) and not x.lstrip().startswith((">", "$$", "|"))))
     return trails(out)
 
 
