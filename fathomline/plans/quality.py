@@ -162,24 +162,19 @@ def legacy_bounds(spark, sf):
 
 @query("html_main")
 def html_main(spark, sf):
-    """Shortest container of a page that holds 60 % of the extracted text's 12-character grams."""
-
-    def grams(t: str) -> set[str]:
-        t = re.sub(r"\W+", "", t.lower())
-        return {t[i : i + 12] for i in range(max(0, len(t) - 11))}
-
-    def pick(source: str | None) -> int:
-        if not source:
-            return 0
-        wanted = grams(" ".join(re.findall(r"<p>(.*?)(?=<)", source)))
-        best = len(source)
-        for m in re.finditer(r"<(article|main|body|div|section)\b[^>]*>(.*?)</\1>", source, re.DOTALL):
-            text = re.sub(r"<[^>]+>", " ", m[2])
-            if wanted and len(m[2]) < best and len(wanted & grams(text)) >= 0.6 * len(wanted):
-                best = len(m[2])
-        return best
-
-    return table(spark, sf, "pages").select("page_id", fn.series(pick)("int")("html").alias("container_chars"))
+    """Each page's main container: the shortest that holds 60 % of the twelve-character grams of the page's paragraphs."""
+    from fathomline.functions.maincontent import locate, read_page
+
+    @F.pandas_udf("level string, tag string, container_chars int, grams int, wanted int, text string")
+    def find(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for source in pages:
+            page, target = read_page(source)
+            at = locate(page, target)
+            rows.append((at.level, at.tag, at.end - at.begin, at.grams, at.wanted, page.text[at.begin : at.end]))
+        return pd.DataFrame(rows, columns=["level", "tag", "container_chars", "grams", "wanted", "text"])
+
+    return table(spark, sf, "pages").select("page_id", find("html").alias("m")).select("page_id", "m.level", "m.tag", "m.container_chars", "m.grams", "m.wanted", F.sha2("m.text", 256).alias("text_hash"))
 
 
 @query("html_clean", "SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', '', 'g')) AS n FROM pages")
