@@ -97,7 +97,7 @@ class _Reader(HTMLParser):
             if self.open[n][0] in closed:
                 while len(self.open) > n:
                     self._pop()
-            elif self.open[n][0] in inside:
+            elif self.open[n][0] in inside or self.open[n][0] in REMOVED:  # nothing leaves a removed part
                 return
 
     def handle_endtag(self, tag: str) -> None:

@@ -192,3 +192,60 @@ def table_merge(spark, sf):
     fresh = ~((F.col("header") == F.lag("header").over(w)) & (F.col("l_linenumber") - F.lag("l_linenumber").over(w) <= 1))
     chain = rows.withColumn("fresh", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("chain", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return chain.groupBy("l_orderkey", "chain").agg(F.count(F.lit(1)).alias("parts"), F.min("header").alias("header"))
+
+
+PAGES = """CASE WHEN i % 6 = 5 AND doc_id % 4 = 0 THEN concat(i div 6 + 10, '') WHEN i % 6 = 5 AND doc_id % 4 = 1 THEN concat('- ', i div 6 + 1, ' -') WHEN i % 6 = 0 AND doc_id % 4 = 2 THEN concat('Page ', i div 6 + 3, ' of 90')
+WHEN i % 6 = 5 AND doc_id % 4 = 3 THEN concat(i * i, '') WHEN i % 6 = 2 THEN concat(i div 6 + 10, '') WHEN i % 18 = 7 THEN '```' WHEN i % 18 = 9 THEN '```' ELSE content END"""
+
+
+@query(
+    "page_numbers",
+    f"""WITH {CHUNKS_SQL}, paged AS (
+  SELECT doc_id, i // 6 + 1 AS page, i AS line, {PAGES.replace(" div ", " // ")} AS content FROM (SELECT doc_id, chunk_index AS i, content FROM chunks)
+), fenced AS (
+  SELECT *, trim(content, ' ' || chr(9) || chr(10) || chr(13)) AS t, regexp_matches(trim(content), '^(```|~~~)') AS fence, (count(*) FILTER (WHERE regexp_matches(trim(content), '^(```|~~~)')) OVER (PARTITION BY doc_id, page ORDER BY line)) % 2 = 1 AS inside FROM paged
+), body AS (
+  SELECT doc_id, page, line, t, row_number() OVER (PARTITION BY doc_id, page ORDER BY line) AS a, row_number() OVER (PARTITION BY doc_id, page ORDER BY line DESC) AS z FROM fenced WHERE NOT fence AND NOT inside AND t <> ''
+), seen AS (
+  SELECT doc_id, page, line, CASE WHEN z <= 2 THEN 'tail' ELSE 'head' END AS edge, regexp_extract(t, '^(?i)page ([0-9]+) of [0-9]+$', 1) AS f, regexp_extract(t, '^(?:- )?([0-9]{{1,4}})(?: -)?$', 1) AS b FROM body WHERE a <= 2 OR z <= 2
+), numbers AS (
+  SELECT doc_id, page, line, edge, f <> '' AS explicit, CAST(CASE WHEN f <> '' THEN f ELSE b END AS INTEGER) AS printed FROM seen WHERE f <> '' OR b <> ''
+)
+SELECT n.doc_id, n.page, n.line, n.edge, n.printed, n.explicit OR n.printed = n.page OR EXISTS (SELECT 1 FROM numbers o WHERE o.doc_id = n.doc_id AND o.edge = n.edge AND NOT o.explicit AND NOT n.explicit AND o.page <> n.page AND o.printed - o.page = n.printed - n.page) AS removed
+FROM numbers n""",
+)
+def page_numbers(spark, sf):
+    """Numbers at the edges of pages of six lines, and which of them are page numbers; the lines get numbers and code by rule."""
+    from fathomline.operators import pages
+
+    lines = chunks(spark, sf).select("doc_id", F.col("chunk_index").alias("i"), "content")
+    lines = lines.select("doc_id", F.expr("cast(i div 6 + 1 as int)").alias("page"), F.col("i").alias("line"), F.expr(PAGES).alias("content"))
+    return pages.page_numbers(lines).where("printed is not null").select("doc_id", "page", "line", "edge", "printed", "removed")
+
+
+@query(
+    "table_chains",
+    """WITH RECURSIVE tables AS (
+  SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, l_linenumber + CAST(l_partkey % 9 = 0 AS INTEGER) AS page, 2 + CAST(l_suppkey % 5 = 0 AS INTEGER) AS columns, l_linestatus AS header,
+         CAST(l_quantity AS INTEGER) AS rows, CASE WHEN l_partkey % 3 = 0 THEN NULL WHEN l_partkey % 3 = 1 THEN 'Table ' || l_returnflag || ' （续）' ELSE 'Table ' || l_returnflag END AS title FROM lineitem
+), steps AS (
+  SELECT doc_id, place, page, columns, header, rows, title, 1 AS chain, coalesce(title, '') AS held, CAST(rows AS BIGINT) AS total, CAST(0 AS BIGINT) AS row_offset FROM tables WHERE place = 1
+  UNION ALL
+  SELECT doc_id, place, page, columns, header, rows, title, chain + CAST(NOT joins AS INTEGER), CASE WHEN joins AND held <> '' THEN held ELSE coalesce(title, '') END, CASE WHEN joins THEN total + rows - least(rows, 1) ELSE rows END, CASE WHEN joins THEN total ELSE 0 END
+  FROM (SELECT t.*, s.chain, s.held, s.total, t.page = s.page + 1 AND t.columns = s.columns AND t.header = s.header AND (coalesce(t.title, '') LIKE '%（续）%' OR (coalesce(t.title, '') <> '' AND replace(t.title, ' （续）', '') = replace(s.held, ' （续）', ''))) AS joins
+        FROM tables t JOIN steps s ON t.doc_id = s.doc_id AND t.place = s.place + 1)
+)
+SELECT doc_id, place, CAST(chain AS BIGINT) AS chain, row_offset FROM steps""",
+)
+def table_chains(spark, sf):
+    """Line items as tables on the pages of their order: which continue the one before. Pages, columns and titles follow a stated rule."""
+    from fathomline.operators import pages
+
+    k = F.col("l_partkey")
+    title = F.when(k % 3 == 0, F.lit(None).cast("string")).when(k % 3 == 1, F.concat(F.lit("Table "), "l_returnflag", F.lit(" （续）"))).otherwise(F.concat(F.lit("Table "), "l_returnflag"))
+    page = (F.col("l_linenumber") + (k % 9 == 0).cast("int")).cast("int")
+    rows = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long").alias("place"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("table_id"), page.alias("first_page"), page.alias("last_page"),
+        (2 + (F.col("l_suppkey") % 5 == 0).cast("int")).alias("columns"), F.array(F.array(F.col("l_linestatus"))).alias("header"), F.lit(1).alias("header_rows"), F.col("l_quantity").cast("int").alias("rows"), title.alias("title"),
+    )
+    return pages.table_chains(rows).select("doc_id", "place", "chain", "row_offset")
