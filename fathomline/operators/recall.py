@@ -5,7 +5,7 @@ Hits are rows (query_id, source, chunk_id, doc_id, dataset_id, score). All queri
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +32,9 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{Nd}]+"), lambda w: w != "")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """The inverted index: dataset_id, term, chunk_id, doc_id, tf and dl (words of the chunk)."""
-    split = chunks.select("chunk_id", "doc_id", "dataset_id", words(F.col("content")).alias("w"))
+def postings(chunks: DataFrame, split: Callable[[Column], Column] = words) -> DataFrame:
+    """The inverted index: dataset_id, term, chunk_id, doc_id, tf and dl (words of the chunk). ``split`` gives a text's terms as an array."""
+    split = chunks.select("chunk_id", "doc_id", "dataset_id", split(F.col("content")).alias("w"))
     terms = split.select("chunk_id", "doc_id", "dataset_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
     return terms.groupBy("chunk_id", "doc_id", "dataset_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
@@ -45,7 +45,7 @@ def corpus_stats(index: DataFrame) -> DataFrame:
     return each.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avgdl"))
 
 
-def stored_index(chunks: DataFrame) -> DataFrame:
+def stored_index(chunks: DataFrame, split: Callable[[Column], Column] = words) -> DataFrame:
     """One row for each chunk with a word: chunk_id, doc_id, dataset_id, and terms, impacts and weights as arrays.
 
     An impact is what the term adds to a query's BM25 score, by its dataset's statistics. Terms come by falling sparse weight, ties
@@ -53,7 +53,7 @@ def stored_index(chunks: DataFrame) -> DataFrame:
     statistics and join both read them. A term stands once in a chunk, so that a common one is a small share of them; adaptive
     execution splits its join.
     """
-    index = stored(postings(chunks), "postings")
+    index = stored(postings(chunks, split), "postings")
     frequency = index.groupBy("dataset_id", "term").agg(F.count(F.lit(1)).alias("n_t")).join(corpus_stats(index), "dataset_id")
     weighed = index.join(frequency, ["dataset_id", "term"])
     norm = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
@@ -70,14 +70,14 @@ def query_blocks(queries: DataFrame) -> Iterator[pa.Table]:
         yield (queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries).toArrow()
 
 
-def lexical(index: DataFrame, queries: DataFrame, k: int, route: str = "bm25", by_dataset: bool = False, per_document: bool = False) -> DataFrame:
+def lexical(index: DataFrame, queries: DataFrame, k: int, route: str = "bm25", by_dataset: bool = False, per_document: bool = False, split: Callable[[Column], Column] = words) -> DataFrame:
     """The ``k`` best hits of each query in ``index`` (of ``stored_index``): query_id, chunk_id, doc_id, dataset_id, score.
 
     The distinct words of a block of queries travel to every task, which scores its own rows and sends on its k best of
     a query, or of each dataset or with the best chunk of a document only; a window merges what the tasks send. ``route``: bm25,
-    the sum of impacts, or sparse, the dot product with the SPARSE_TERMS heaviest terms.
+    the sum of impacts, or sparse, the dot product with the SPARSE_TERMS heaviest terms. ``split`` is that of the index.
     """
-    asked = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("words"))
+    asked = queries.select("query_id", F.array_distinct(split(F.col("query"))).alias("words"))
     column = "impacts" if route == "bm25" else "weights"
     rows = index.selectExpr("chunk_id", "cast(doc_id as long) doc_id", "cast(dataset_id as long) dataset_id", "terms", column) if route == "bm25" else (
         index.select("chunk_id", F.col("doc_id").cast("long"), F.col("dataset_id").cast("long"), F.slice("terms", 1, SPARSE_TERMS).alias("terms"), F.slice("weights", 1, SPARSE_TERMS).alias("weights"))

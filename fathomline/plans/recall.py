@@ -123,6 +123,27 @@ def tokenize(spark, sf):
     return index(spark, sf).groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("tf").alias("n"))
 
 
+LEXICON_WORDS = 100_000
+
+
+@query("segment_runs")
+def segment_runs(spark, sf):
+    """Every line with its spaces and marks taken out, cut into words again by the corpus's own dictionary: the words, and how many of
+    the line's own word ends were found. It stands for languages that are written without spaces, which the tables lack."""
+    from fathomline.operators import segmentation
+
+    own = chunks(spark, sf).select("chunk_id", op.words(F.col("content")).alias("w"))
+    segmenter = segmentation.Segmenter(segmentation.word_counts(own.select(F.explode("w").alias("word")), LEXICON_WORDS))
+    found = own.withColumn("words", segmenter.path(F.array_join("w", "")))
+
+
+    def ends(words):
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+        return F.aggregate(words, start, lambda a, w: F.struct((a["at"] + F.length(w)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(w))).alias("ends")), lambda a: a["ends"])
+
+    return found.select("chunk_id", "words", F.size("w").alias("n_words"), F.size(F.array_intersect(ends(F.col("w")), ends(F.col("words")))).alias("n_found"))
+
+
 @query("bm25_stats", f"WITH {INDEX_SQL} SELECT dataset_id, n_chunks, round(avgdl, 6) AS avgdl FROM stats")
 def bm25_stats(spark, sf):
     return op.corpus_stats(index(spark, sf)).withColumn("avgdl", F.round("avgdl", 6))
