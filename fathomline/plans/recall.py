@@ -367,3 +367,26 @@ def round_robin(spark, sf):
     first = op.ranked(bm25_hits(spark, sf, 3, by_dataset=True), ["query_id", "dataset_id"], 3).withColumnRenamed("rank", "dataset_rank")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("dataset_rank", "dataset_id"))
     return first.select("query_id", "dataset_id", "chunk_id", "dataset_rank", place.alias("place"))
+
+
+@query(
+    "vector_upsert",
+    """SELECT 'v' || vec_id AS chunk_id, CAST(label AS INTEGER) AS dataset_id, CAST(CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version,
+       round(CAST(CASE WHEN vec_id % 3 = 0 THEN embedding[-1] ELSE embedding[1] END AS DOUBLE), 6) + 0 AS first, len(embedding) AS dims FROM embeddings WHERE vec_id % 7 <> 0""",
+)
+def vector_upsert(spark, sf):
+    """A store that gets every vector, newer, stale, replayed and deleted versions of some, and is compacted in between; its dense points."""
+    from fathomline.sources.shared import new_path
+    from fathomline.sources.vectors import VectorStore
+
+    store = VectorStore(spark, new_path(spark, "vectors"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("v"), "vec_id").alias("chunk_id"), F.col("vec_id").alias("doc_id"), F.col("label").alias("dataset_id"), F.lit(1).alias("version"), "embedding")
+    newer = rows.where("vec_id % 3 = 0").withColumns({"version": F.lit(2), "embedding": F.reverse("embedding")})
+    store.upsert_dense(newer)
+    store.upsert_dense(rows)
+    store.compact()
+    store.upsert_dense(rows.where("vec_id % 5 = 0").withColumns({"version": F.lit(0), "embedding": F.transform("embedding", lambda x: x * 0)}))
+    store.upsert_dense(newer)
+    store.delete(rows.where("vec_id % 7 = 0").withColumn("version", F.lit(3)), "dense")
+    store.upsert_sparse(rows.withColumns({"indices": F.transform("embedding", lambda _, i: i), "weights": F.col("embedding")}))
+    return store.points("dense").select("chunk_id", "dataset_id", "version", (F.round(F.col("embedding")[0].cast("double"), 6) + 0.0).alias("first"), F.size("embedding").cast("long").alias("dims"))
