@@ -138,3 +138,32 @@ def image_policy(spark, sf):
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index"))
     described = lines.withColumn("occurrence", place).where("n < 12 or n >= 60").select("doc_id", "occurrence", (F.col("chunk_index") + 1).alias("source_page"), F.regexp_replace("content", "\\s", "_").alias("summary"))
     return assets.image_policy(assets.images(texts), described).select("doc_id", "occurrence", "page", "source_ref", "class", "status")
+
+
+def paragraph_tables(spark, sf):
+    """Every page's paragraphs as the rows of a table: every third page's with plain headers, the others' with headers over two rows and columns."""
+    texts = F.regexp_extract_all(F.regexp_replace("html", "&[A-Za-z]+;", "+"), F.lit("<p>([^<|]+)"), 1)
+    rows = F.transform(texts, lambda t, i: F.concat(F.lit("<tr><td>"), (i + 1).cast("string"), F.lit("</td><td>"), F.length(t).cast("string"), F.lit("</td><td>"), t, F.lit("</td></tr>")))
+    plain = F.lit("<tr><th>no</th><th>chars</th><th>text</th></tr>")
+    spanned = F.lit("<tr><th rowspan=2>no</th><th colspan=2>paragraph</th></tr><tr><th>chars</th><th>text</th></tr>")
+    made = F.concat(F.lit("<table>"), F.when(F.col("page_id") % 3 == 0, plain).otherwise(spanned), F.array_join(rows, ""), F.lit("</table>"))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), made.alias("text"))
+
+
+@query(
+    "table_texts",
+    """WITH found AS (
+  SELECT page_id AS doc_id, list_transform(regexp_extract_all(regexp_replace(html, '&[A-Za-z]+;', '+', 'g'), '<p>([^<|]+)', 1), lambda t: [CAST(length(t) AS VARCHAR), trim(regexp_replace(t, '\\s+', ' ', 'g'))]) AS ts FROM pages
+), lines AS (
+  SELECT doc_id, ts, list_transform(generate_series(1, len(ts)), lambda i: '- 行' || i || '：no：' || i || ' | chars：' || ts[i][1] || CASE WHEN ts[i][2] <> '' THEN ' | text：' || ts[i][2] ELSE '' END) AS ls FROM found
+)
+SELECT doc_id, 'table-001' AS table_id, CAST(len(ts) + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS INTEGER) AS rows, 3 AS columns, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS header_rows, CASE WHEN doc_id % 3 = 0 THEN [] ELSE ['colspan', 'multi_header', 'rowspan'] END AS reasons, doc_id % 3 > 0 AS complex,
+       sha256(CASE WHEN doc_id % 3 = 0 THEN '表头：' || chr(10) || '- no' || chr(10) || '- chars' || chr(10) || '- text' ELSE '表头：' || chr(10) || '- no' || chr(10) || '- paragraph：chars、text' END
+       || CASE WHEN len(ls) > 0 THEN chr(10) || '数据：' || chr(10) || array_to_string(ls, chr(10)) ELSE CASE WHEN doc_id % 3 = 0 THEN chr(10) || '内容：no；chars；text' ELSE chr(10) || '内容：no；paragraph；chars；text' END END) AS text_hash FROM lines""",
+)
+def table_texts(spark, sf):
+    """Retrieval texts of the tables of paragraphs: header groups, and a line for every row."""
+    from fathomline.operators import grid
+
+    found = grid.retrieval_texts(grid.html_cells(paragraph_tables(spark, sf)))
+    return found.select("doc_id", "table_id", "rows", "columns", "header_rows", "reasons", "complex", F.sha2("text", 256).alias("text_hash"))
