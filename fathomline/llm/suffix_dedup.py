@@ -253,13 +253,24 @@ def _squeezed(documents: DataFrame) -> DataFrame:
 
 
 def _fetch(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The contexts of ``wanted`` (doc, th, gram, context, n, packed, large) with their bytes, each from a row that holds its text."""
+    """The contexts of ``wanted`` (doc, th, gram, context, n, packed, large) with their bytes, from a row that holds the text: a task
+    takes one of equal rows, so that contexts don't come as often as a row is repeated."""
     asked = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("gram", "context", "n", "packed", "large")).alias("asked"))  # at most a text's runs
     found = _squeezed(documents).drop("doc_id").join(asked, ["doc", "th"])
 
-    def rows(b: pa.RecordBatch) -> pa.RecordBatch:
+    seen: set[tuple[int, int]] = set()  # of one task: each unpickles it empty
+
+    def rows(b: pa.RecordBatch) -> pa.RecordBatch | None:
         expand = zstandard.ZstdDecompressor().decompress
         out: list[tuple] = []
+        fresh = []
+        for k, key in enumerate(zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), strict=True)):
+            if key not in seen:
+                seen.add(key)
+                fresh.append(k)
+        if not fresh:
+            return None
+        b = b.take(pa.array(fresh))
         for doc, th, squeezed, asked in zip(*(b.column(c).to_pylist() for c in ("doc", "th", "squeezed", "asked")), strict=True):
             text = expand(squeezed)
             for a in asked:
@@ -425,7 +436,7 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     kinds = materialise(kinds.transform(_with_group).withColumn("large", F.col("contexts") > LARGE_GROUP).drop("contexts"))
     fetched = stored(_fetch(documents, kinds), "contexts")
     grouped = stored(sorted_groups(fetched), "ranges")
-    confirmed = grouped.where("gram is not null").select("gram", "context").unionByName(kinds.where("large and n > 1").select("gram", "context"))  # each once
+    confirmed = grouped.where("gram is not null").select("gram", "context").distinct().unionByName(kinds.where("large and n > 1").select("gram", "context"))  # each once
     whole = found.join(confirmed, ["gram", "context"])
     place = F.shiftright("packed", 16)
     full = whole.select("doc", "th", (place - F.shiftright("packed", 8).bitwiseAND(255)).alias("a"), (place - F.col("packed").bitwiseAND(255) + WINDOW).alias("z"))
