@@ -4,7 +4,7 @@ Every text is a blob named by its SHA-256. A ledger holds (blob, rule version) p
 ``scan`` lists the blobs that the ledger doesn't have for the current rule version, scans each of them once, and joins
 ledger and new findings back to every path (document) that holds the blob; ``new_entries`` is what a next run's ledger
 gains; ``scan_stored`` keeps the ledger as a table that further runs read and append to. Blobs are chosen by the smallest id that holds
-them, so that texts move by document id and never by blob: a text with a million copies is scanned once, and the join back deals
+them, so that texts move by document id and never by blob: a text with a million copies, or a row repeated as often, is scanned once in a task, and the join back deals
 its paths to many tasks.
 
 Defined results: null is the empty text, which is a blob like any other; repeated rows repeat in the result; an id may
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,11 +137,26 @@ def unseen(held: DataFrame, ledger: DataFrame | None) -> DataFrame:
 def scan_blobs(documents: DataFrame, chosen: DataFrame) -> DataFrame:
     """Ledger entries (blob, rule_version and findings) of the chosen paths' blobs, each scanned once."""
     texts = squeezed(documents.select(F.col("doc_id").cast("long").alias("doc_id"), _blob().alias("blob"), "text"))
-    found = arrow_map(
-        texts.join(chosen, ["doc_id", "blob"]).select("blob", "squeezed"), f"blob string, rule_version string, {FINDINGS}",
-        lambda b: pa.RecordBatch.from_arrays([b.column(0), pa.array([RULE_VERSION] * b.num_rows), *_findings(expanded(b.column(1)))], ["blob", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]),
-    )
-    return found.dropDuplicates(["blob"])  # repeated rows of a path hold one blob
+    found = arrow_map(texts.join(chosen, ["doc_id", "blob"]).select("blob", "squeezed"), f"blob string, rule_version string, {FINDINGS}", _scanner())
+    return found.dropDuplicates(["blob"])  # repeated rows of a path that came to several tasks
+
+
+def _scanner() -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
+    """Ledger entries of a batch of (blob, squeezed); a blob that the task has scanned, as repeated rows of a path bring it, is passed over."""
+    seen: set[bytes] = set()  # of one task: each unpickles it empty
+
+    def scan_batch(b: pa.RecordBatch) -> pa.RecordBatch | None:
+        fresh = []
+        for k, blob in enumerate(b.column(0).to_pylist()):
+            if (name := bytes.fromhex(blob)) not in seen:
+                seen.add(name)
+                fresh.append(k)
+        if not fresh:
+            return None
+        b = b.take(pa.array(fresh))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([RULE_VERSION] * b.num_rows), *_findings(expanded(b.column(1)))], ["blob", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+
+    return scan_batch
 
 
 def scan(documents: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
