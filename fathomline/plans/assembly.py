@@ -89,6 +89,21 @@ def heading_path(spark, sf):
     return line_elements(spark, sf).select("doc_id", "position", "trail")
 
 
+@query(
+    "heading_identity",
+    f"""WITH {PATHS_SQL}, named AS (SELECT doc_id, i, trail, row_number() OVER (PARTITION BY doc_id, trail ORDER BY i) - 1 AS n FROM paths WHERE kind = 'heading')
+SELECT doc_id, i AS position, CAST(n AS INTEGER) AS occurrence, sha256(doc_id || chr(31) || array_to_string(trail, chr(31)) || chr(31) || n) AS heading_key FROM named""",
+)
+def heading_identity(spark, sf):
+    """Identity of every heading: its document, its whole path, and how often that path came before."""
+    from pyspark.sql import Window
+
+    found = line_elements(spark, sf).where("kind = 'heading'")
+    before = F.row_number().over(Window.partitionBy("doc_id", "trail").orderBy("position")) - 1
+    key = F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.array_join("trail", "\x1f"), F.col("occurrence").cast("string"))
+    return found.select("doc_id", "position", "trail", before.cast("int").alias("occurrence")).select("doc_id", "position", "occurrence", F.sha2(key, 256).alias("heading_key"))
+
+
 @query(
     "derived_elements",
     f"""WITH {PATHS_SQL}, near AS (

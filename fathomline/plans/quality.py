@@ -84,7 +84,13 @@ def undescribed(spark, sf):
     return flags(spark, sf).where("tabular").groupBy("doc_id").agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("n") < 60).alias("undescribed"))
 
 
-@query("critical_tokens")
+@query(
+    "critical_tokens",
+    f"""WITH {CHUNKS_SQL}, sides AS (
+  SELECT chunk_id, unnest(regexp_extract_all(content, '[0-9]+(?:[.,][0-9]+)*%?')) AS token, 1 AS n FROM chunks
+  UNION ALL SELECT chunk_id, unnest(regexp_extract_all(replace(content, '9', ''), '[0-9]+(?:[.,][0-9]+)*%?')), -1 FROM chunks
+) SELECT chunk_id, bool_and(balance = 0) AS exact FROM (SELECT chunk_id, token, sum(n) AS balance FROM sides GROUP BY ALL) GROUP BY chunk_id""",
+)
 def critical_tokens(spark, sf):
     """Numbers of a page and how often each occurs, against the output's: a page is exact if all counts agree."""
     numbers = F.regexp_extract_all("content", F.lit("\\d+(?:[.,]\\d+)*%?"), 0)
@@ -112,7 +118,19 @@ def formula_exact(spark, sf):
     return table(spark, sf, "events").select("event_id", (tokens(a) == tokens(b)).alias("exact"))
 
 
-@query("rect_union")
+@query(
+    "rect_union",
+    """WITH boxes AS (
+  SELECT l_orderkey AS page, CAST(l_partkey % 50 AS DOUBLE) AS x, l_partkey % 50 + CAST(l_quantity AS DOUBLE) AS x2, CAST(l_partkey % 31 AS DOUBLE) AS y, CAST(l_partkey % 31 + l_linenumber AS DOUBLE) AS y2 FROM lineitem
+), edges AS (
+  SELECT DISTINCT page, x FROM boxes UNION SELECT page, x2 FROM boxes
+), slabs AS (
+  SELECT page, x AS a, lead(x) OVER (PARTITION BY page ORDER BY x) AS z FROM edges
+), spans AS (
+  SELECT s.page, s.a, s.z, b.y, b.y2, max(b.y2) OVER (PARTITION BY s.page, s.a ORDER BY b.y, b.y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM slabs s JOIN boxes b ON b.page = s.page AND b.x <= s.a AND b.x2 >= s.z WHERE s.z IS NOT NULL
+)
+SELECT page, sum((z - a) * greatest(0, y2 - greatest(y, coalesce(top, y)))) AS area FROM spans GROUP BY page""",
+)
 def rect_union(spark, sf):
     """Area that rectangles of a page cover, by a sweep over their edges."""
 
@@ -146,7 +164,15 @@ def preview_map(spark, sf):
     return rows.select("chunk_id", tier.alias("tier"))
 
 
-@query("legacy_bounds")
+@query(
+    "legacy_bounds",
+    f"""WITH RECURSIVE {CHUNKS_SQL}, spans AS (
+  SELECT doc_id, chunk_index AS a, chunk_index + length(content) % 4 AS z, chunk_id FROM chunks
+), kept AS (
+  (SELECT doc_id, a, z, chunk_id FROM spans QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY a, z, chunk_id) = 1)
+  UNION ALL (SELECT s.doc_id, s.a, s.z, s.chunk_id FROM kept k JOIN spans s ON s.doc_id = k.doc_id AND s.a > k.z QUALIFY row_number() OVER (PARTITION BY s.doc_id ORDER BY s.a, s.z, s.chunk_id) = 1)
+) SELECT chunk_id FROM kept""",
+)
 def legacy_bounds(spark, sf):
     """Greedy monotone subsequence: a span is kept if it starts after the last kept one ends. Folded over a document's short list."""
     spans = chunks(spark, sf).select("doc_id", F.struct(F.col("chunk_index").alias("a"), (F.col("chunk_index") + F.length("content") % 4).alias("z"), "chunk_id").alias("s"))
@@ -249,3 +275,11 @@ def table_chains(spark, sf):
         (2 + (F.col("l_suppkey") % 5 == 0).cast("int")).alias("columns"), F.array(F.array(F.col("l_linestatus"))).alias("header"), F.lit(1).alias("header_rows"), F.col("l_quantity").cast("int").alias("rows"), title.alias("title"),
     )
     return pages.table_chains(rows).select("doc_id", "place", "chain", "row_offset")
+
+
+@query("html_visible")
+def html_visible(spark, sf):
+    """Visible text of each page: without removed elements, hidden ones and comments."""
+    from fathomline.functions.maincontent import read_page
+
+    return table(spark, sf, "pages").select("page_id", fn.series(lambda t: read_page(t)[0].text)("string")("html").alias("t")).select("page_id", F.length("t").alias("n_chars"), F.sha2("t", 256).alias("text_hash"))

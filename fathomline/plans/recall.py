@@ -299,7 +299,18 @@ def readiness_gate(spark, sf):
     return op.ready(chunks(spark, sf), docs, sets, 1)
 
 
-@query("context_pack")
+@query(
+    "context_pack",
+    f"""WITH RECURSIVE {BM25_SQL}, best AS (
+  SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM bm25 QUALIFY rank <= 12
+), blocks AS (
+  SELECT query_id, rank, chunk_id, CASE WHEN trim(content) = '' THEN -1 ELSE greatest(1, CAST(floor(2 * (length(content) - length(regexp_replace(content, '[^\\x00-\\x7F]', '', 'g'))) + 0.25e0 * length(regexp_replace(content, '[^\\x00-\\x7F]', '', 'g'))) AS INTEGER)) END AS cost FROM best JOIN chunks USING (chunk_id)
+), packed AS (
+  SELECT DISTINCT query_id, 0 AS rank, CAST(NULL AS VARCHAR) AS chunk_id, false AS kept, 0 AS n, 0 AS used FROM blocks
+  UNION ALL SELECT b.query_id, b.rank, b.chunk_id, b.cost >= 0 AND (p.n = 0 OR p.used + b.cost <= 400), p.n + CAST(b.cost >= 0 AND (p.n = 0 OR p.used + b.cost <= 400) AS INTEGER), p.used + CASE WHEN b.cost >= 0 AND (p.n = 0 OR p.used + b.cost <= 400) THEN b.cost ELSE 0 END
+  FROM packed p JOIN blocks b ON b.query_id = p.query_id AND b.rank = p.rank + 1
+) SELECT query_id, rank, chunk_id, kept, CASE WHEN kept THEN n END AS number FROM packed WHERE rank > 0""",
+)
 def context_pack(spark, sf):
     best = op.ranked(bm25_hits(spark, sf, 12), ["query_id"], 12)
     return op.pack_context(best.join(chunks(spark, sf).select("chunk_id", "content"), "chunk_id"), 400)

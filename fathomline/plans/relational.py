@@ -211,7 +211,7 @@ def table_ab(spark, sf):
     return both.where("n_a > 0 and n_b > 0")
 
 
-@query("manifest_hash")
+@query("manifest_hash", f"WITH {CHUNKS_SQL} SELECT doc_id, sha256('[' || string_agg('{{\"chunk_index\":' || chunk_index || ',\"hash\":\"' || sha256(content) || '\"}}', ',' ORDER BY chunk_index) || ']') AS manifest FROM chunks GROUP BY doc_id")
 def manifest_hash(spark, sf):
     listed = F.sort_array(F.collect_list(F.struct("chunk_index", F.sha2("content", 256).alias("hash"))))  # the chunks of one document
     return chunks(spark, sf).groupBy("doc_id").agg(F.sha2(F.to_json(listed), 256).alias("manifest"))

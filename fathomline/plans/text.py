@@ -57,7 +57,7 @@ def crawler_intake(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.lower(F.parse_url("url", F.lit("PROTOCOL"))).alias("scheme"), F.parse_url("url", F.lit("HOST")).alias("host"), name.alias("filename"), state.alias("state"))
 
 
-@query("year_extract")
+@query("year_extract", "SELECT doc_id, CAST(nullif(regexp_extract(text, '(?:^|[^0-9])(20[0-9]{2})(?:[^0-9]|$)', 1), '') AS INTEGER) AS year FROM documents")
 def year_extract(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.nullif(F.regexp_extract("text", "(?<!\\d)(20\\d{2})(?!\\d)", 1), F.lit("")).try_cast("int").alias("year"))
 
@@ -97,7 +97,7 @@ def edit_distance(spark, sf):
     return pairs.select("chunk_id", fn.edits()("a", "b").alias("distance"))
 
 
-@query("char_accuracy")
+@query("char_accuracy", f"WITH {CHUNKS_SQL} SELECT dataset_id, round(1 - sum(length(content) - length(replace(content, 'e', '')))::DOUBLE / sum(length(content)), 6) AS accuracy FROM chunks GROUP BY dataset_id")
 def char_accuracy(spark, sf):
     lines = chunks(spark, sf).select("dataset_id", F.col("content").alias("a"))
     edits = fn.edits()("a", F.regexp_replace("a", "e", ""))
