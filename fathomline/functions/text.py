@@ -15,6 +15,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: characters above which frequent ones don't start a match.
+FREQUENT_FROM = 4000
+
 
 def flatten(text: Column) -> Column:
     """White space collapsed and trimmed."""
@@ -122,7 +125,7 @@ def fidelity(source: str, output: str) -> tuple[float, float]:
         return 0.0, 0.0
     if source in output:
         matched = len(source)
-    elif max(len(source), len(output)) > 4000:
+    elif max(len(source), len(output)) > FREQUENT_FROM:
         matched = sum(b.size for b in difflib.SequenceMatcher(None, source, output, autojunk=True).get_matching_blocks())
     else:
         matched = matched_chars(source, output)

@@ -17,6 +17,7 @@ from fathomline.sources.tables import CHUNKS_SQL, chunks, table
 
 def hub_sheet(regions: list[tuple[str, str, float]]) -> list[list]:
     """A factor sheet: twelve blocks, an empty column at the left; ``regions`` (code, name, first factor) fill block 6."""
+    # The titles and columns of the twelve tables, and a row or two of each.
     gases = ["CO2 Factor", "CH4 Factor", "N2O Factor"]
     bodies = {
         1: [["Fuel Type", "Heat Content (HHV)", *gases, *gases], [None, "mmBtu per short ton"], ["Coal and Coke"], ["Anthracite", 25.09, 103.69, 11, 1.6, 2602, 276, 40]],
@@ -51,6 +52,7 @@ def workbook_profiles(spark, sf):
     return op.profiles(office.cells(workbooks(spark, sf))).select("file", "template_code", "edition_year", "table_count", "formula_count", "problem")
 
 
+# The factors of the rows above.
 FIXED = """
 (VALUES ('stationary_combustion', 'Anthracite', 'HEAT_CONTENT', 25.09e0, 'short ton'), ('stationary_combustion', 'Anthracite', 'CO2', 103.69e0, 'mmBtu'), ('stationary_combustion', 'Anthracite', 'CH4', 11e0, 'mmBtu'),
   ('stationary_combustion', 'Anthracite', 'N2O', 1.6e0, 'mmBtu'), ('stationary_combustion', 'Anthracite', 'CO2', 2602e0, 'short ton'), ('stationary_combustion', 'Anthracite', 'CH4', 276e0, 'short ton'),

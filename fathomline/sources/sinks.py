@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.scan import in_order
 from fathomline.sources.shared import new_path
 
 
@@ -37,20 +39,23 @@ def upsert(existing: DataFrame, changes: DataFrame, key: list[str], sequence: st
 def batches(rows: DataFrame, group: str, order: str, size: str, most_rows: int = 500, most_bytes: int = 5 << 20) -> DataFrame:
     """``rows`` (group, order, size) with ``batch``: a new batch begins where the next row would pass either bound.
 
-    The running total restarts at data-dependent places, so each group is walked in order.
+    The running total restarts at data-dependent places, so each group is walked in order, row by row: a task holds one running total.
     """
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        batch, n, total, out = 0, 0, 0, []
-        for s in frame[size]:
-            if n and (n >= most_rows or total + s > most_bytes):
+    def start() -> Callable[[dict | None], list[tuple]]:
+        batch, n, total = 0, 0, 0
+
+        def step(row: dict | None) -> list[tuple]:
+            nonlocal batch, n, total
+            if row is None:
+                return []
+            if n and (n >= most_rows or total + row[size] > most_bytes):
                 batch, n, total = batch + 1, 0, 0
-            n, total = n + 1, total + s
-            out.append(batch)
-        return frame.assign(batch=out)
+            n, total = n + 1, total + row[size]
+            return [(row[group], row[order], row[size], batch)]
+
+        return step
 
     slim = rows.select(group, order, size)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema)
-    return slim.groupBy(group).applyInPandas(walk, f"{fields}, batch int")
-
+    return in_order(slim, group, [order], f"{fields}, batch int", start)
