@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.operators.scan import in_order
+from fathomline.sources.shared import stored
 
 # Forms of numbered lines, longest headings and titles, levels.
 NUMBER = "[零〇○一二三四五六七八九十百千万亿两0-9]+"
@@ -170,6 +171,7 @@ def coarse_chunks(elements: DataFrame, tokens: Column, soft_min: int = SOFT_MIN)
     shown = with_paths(elements).where(~F.col("kind").isin(*NOISE))
     if "suppressed" in elements.columns:
         shown = shown.where(~F.coalesce("suppressed", F.lit(False)))
+    shown = stored(shown, "elements")  # read twice, and dear: elements, boundaries and paths
     level = F.when((F.col("kind") == "heading") & F.col("level").between(1, DEEPEST), F.col("level").cast("int"))
     slim = shown.select(
         "doc_id", "position", "kind", level.alias("level"), tokens.cast("long").alias("tokens"), F.col("boundary").isNotNull().alias("opens"), F.coalesce("boundary.hard", F.lit(False)).alias("hard"),
