@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import hashlib
-import html
 import json
 import re
 import unicodedata
@@ -59,12 +58,9 @@ def normal_body(text: str | None) -> str:
     return re.sub(r"\s+", "", _IMAGE.sub("", _MARKER.sub("", unicodedata.normalize("NFC", text or ""))))
 
 
-def effective_text(text: str | None) -> str:
-    """NFKC, case-folded; markup, links, table rules, markers and symbols go, letters, digits and a few signs of value stay."""
-    t = unicodedata.normalize("NFKC", html.unescape(text or ""))
-    for pattern, new in ((_MARKER, " "), (_IMAGE, " "), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"<[^>]+>", " "), (r"^\s*[-:| ]+\s*$", " "), (r"(?m)^\s*(#{1,6}|[-*+]|\d+[.)])\s+", " "), (r"[*_`~|]", " ")):
-        t = re.sub(pattern, new, t)
-    return "".join(c for c in t.casefold() if unicodedata.category(c)[0] in "LN" or c in "%+-=<>/.°")
+def composed(text: str | None) -> str | None:
+    """NFC: letters and their marks as one character where there is one."""
+    return None if text is None else unicodedata.normalize("NFC", text)
 
 
 def canonical_hash(text: str | None) -> str | None:

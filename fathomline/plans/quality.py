@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -99,23 +97,21 @@ def critical_tokens(spark, sf):
     return want.join(got, ["chunk_id", "token"], "full_outer").groupBy("chunk_id").agg(F.bool_and(F.col("want").eqNullSafe(F.col("got"))).alias("exact"))
 
 
-_FORMULA = re.compile(r"\\[A-Za-z]+|\d+(?:\.\d+)?|[A-Za-z]|[+\-*/=<>^_(){}]")
-
-
-def signature(formula: str | None) -> list[str]:
-    """Tokens of a formula without spacing, braces and sizing commands."""
-    return [t for t in _FORMULA.findall(formula or "") if t not in ("{", "}", "\\left", "\\right", "\\quad", "\\displaystyle")]
+@query("formula_exact", "SELECT event_id, event_id % 7 > 0 AS exact FROM events")
+def formula_exact(spark, sf):
+    """Formulas of five shapes around each event's value, spelt in two ways; every seventh is another formula in the second."""
+    from fathomline.operators.validation import signature
 
+    v, n = F.col("value").cast("string"), F.col("event_id") % 5
+    w = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("7"), v)).otherwise(v)
 
-@query("formula_exact")
-def formula_exact(spark, sf):
-    @F.pandas_udf("array<string>")
-    def tokens(s: pd.Series) -> pd.Series:
-        return s.map(signature)
+    def shaped(v, shapes):
+        made = [F.concat(*(v if part == "v" else F.lit(part) for part in s)) for s in shapes]
+        return F.when(n == 0, made[0]).when(n == 1, made[1]).when(n == 2, made[2]).when(n == 3, made[3]).otherwise(made[4])
 
-    v = F.col("value").cast("string")
-    a, b = F.concat(F.lit("\\frac{"), v, F.lit("}{x_1}")), F.concat(F.lit("\\displaystyle \\frac { "), v, F.lit(" }{ x_1 }"))
-    return table(spark, sf, "events").select("event_id", (tokens(a) == tokens(b)).alias("exact"))
+    one = shaped(v, [("\\frac{", "v", "}{x_1}"), ("E_i=AD_i\\times ", "v", "\\tag{2}"), ("\\left( a + ", "v", " \\right)"), ("\\sum_{i} x_i \\leq ", "v"), ("\\mathrm{CO} * ", "v", "/k")])
+    two = shaped(w, [("\\displaystyle \\frac { ", "v", " }{ x_1 }"), ("E_{i} = AD_{i} × ", "v", " (2)"), ("（a+", "v", "）"), ("∑_{i} x_{i} ≤ ", "v"), ("CO × ", "v", " ÷ k")])
+    return table(spark, sf, "events").select("event_id", (signature(one) == signature(two)).alias("exact"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fathomline.catalog import query
+from fathomline.functions import signals
 from fathomline.functions import text as fn
 from fathomline.functions import vectors
 from fathomline.operators import relational as op
@@ -122,7 +123,7 @@ def norm_body(spark, sf):
 
 @query("effective_text")
 def effective_text(spark, sf):
-    return _texts(spark, sf).select("doc_id", fn.series(fn.effective_text)("string")("text").alias("effective"))
+    return _texts(spark, sf).select("doc_id", fn.series(signals.effective_text)("string")("text").alias("effective"))
 
 
 def _fidelity():

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathomline.functions import markdown as md
+from fathomline.functions import signals
 from fathomline.functions import text as fn
 from fathomline.operators import paging, structured, tree
 from fathomline.operators import reports as rp
-from fathomline.plans.quality import signature
 from fathomline.sources import sinks, tables
 from fathomline.streaming import control
 
@@ -41,7 +41,7 @@ def test_text_fidelity():
 
 
 def test_effective_text():
-    assert fn.effective_text("# Ｔitle\n\n* a **b** [link](http://x) ![i](y) <b>é</b> 5%") == "titleablinké5%"
+    assert signals.effective_text("# Ｔitle\n\n* a **b** [link](http://x) ![i](y) <b>é</b> 5%") == "titleablinké5%"
 
 
 def test_table_grids_and_records():
@@ -53,7 +53,7 @@ def test_table_grids_and_records():
 
 
 def test_formula_signatures():
-    assert signature(r"\frac{a}{ 2 }") == signature(r"\displaystyle \frac { a } {2}") != signature(r"\frac{a}{3}")
+    assert signals.formula_signature(r"\frac{a}{ 2 }") == signals.formula_signature(r"\displaystyle \frac { a } {2}") != signals.formula_signature(r"\frac{a}{3}")
 
 
 DOC = "---\nt: 1\n---\n# A\ntext one\nmore\n\n## B\n- x\n- y\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n```py\n# no\n```\n$$x=1$$\n> q\n![i](u)\n# C\n<div>\nz\n</div>\n"
