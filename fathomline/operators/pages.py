@@ -99,3 +99,29 @@ def merged_tables(chained: DataFrame) -> DataFrame:
     added = F.aggregate(later, F.lit(0).cast("long"), lambda n, x: n + x["rows"] - F.least(x["rows"], x["header_rows"]))
     titles = F.filter(F.transform("p", lambda x: x["title"]), lambda t: F.coalesce(t, F.lit("")) != "")
     return found.select("doc_id", "chain", F.col("p")[0]["table_id"].alias("table_id"), F.transform("p", lambda x: x["table_id"]).alias("parts"), F.col("p")[0]["first_page"].alias("first_page"), F.element_at("p", -1)["last_page"].alias("last_page"), (F.col("p")[0]["rows"] + added).alias("rows"), F.get(titles, F.lit(0)).alias("title"))
+
+
+# The mark in front of a page's recovered text, and the prefix of what a model saw.
+RECOVERED, SEEN = "<!-- PAGE_FALLBACK:%s -->", "图片说明："
+
+
+def merge_recovered(pages: DataFrame, recovered: DataFrame) -> DataFrame:
+    """``pages`` (doc_id, page, markdown) trimmed and with the text ``recovered`` (doc_id, page, method, text) behind their own, and ``added``.
+
+    Text that the page holds already isn't added again; a picture's description says that it is one. ``added`` is null for pages without
+    recovered text, which keep theirs. A page has at most one recovered text; a text for no page is left out.
+    """
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "^(?U:\\s)+|(?U:\\s)+$", "")
+    more = recovered.select("doc_id", "page", "method", strip(F.col("text")).alias("_more")).where("_more <> ''")
+    both = pages.join(more, ["doc_id", "page"], "left").withColumn("markdown", strip(F.col("markdown")))
+    said = F.when((F.lower("method") == "vision") & ~F.col("_more").startswith(SEEN), F.concat(F.lit(SEEN), "_more")).otherwise(F.col("_more"))
+    mark = F.replace(F.lit(RECOVERED), F.lit("%s"), F.upper("method"))
+    fresh = ~F.contains(F.col("markdown"), F.col("_more"))
+    text = F.when(F.coalesce(fresh, F.lit(False)), F.array_join(F.filter(F.array("markdown", mark, said), lambda t: t != ""), "\n\n")).otherwise(F.col("markdown"))
+    return both.select(*[c for c in pages.columns if c != "markdown"], text.alias("markdown"), fresh.alias("added"))
+
+
+def joined_pages(pages: DataFrame) -> DataFrame:
+    """doc_id, pages and text: a document's pages in order, parted by an empty line; pages without text leave no gap."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("page", "markdown"))), lambda p: p["markdown"])  # the pages of one document
+    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.array_join(F.filter(listed, lambda t: t != ""), "\n\n").alias("text"))

@@ -39,3 +39,26 @@ def attach(headings: DataFrame, chunks: DataFrame) -> DataFrame:
     both = headings.join(chunks, "doc_id").where("first_line <= chunk_last and last_line >= chunk_first")
     place = F.row_number().over(Window.partitionBy("doc_id", "heading").orderBy("chunk_first", "chunk"))
     return both.select("doc_id", "heading", "chunk", (place - 1).alias("sort_order"))
+
+
+def parent_problems(folders: DataFrame, moves: DataFrame) -> DataFrame:
+    """``moves`` (move, dataset, owner, folder, parent) with ``problem``: null where the folder may go under that parent.
+
+    ``folders`` are rows (dataset, owner, folder, parent) with unique folders; ``folder`` of a move is null for a new one. A parent
+    must be a folder of the move's dataset and owner (``not_found``), not the folder itself (``self``) nor below it (``cycle``, also
+    where the parent's own line runs in a circle), and its line must end at the top (``dangling``). No parent is always right.
+    """
+    scope = ["dataset", "owner"]
+    here = folders.select(*scope, F.col("folder").alias("parent"), F.lit(True).alias("_known"))
+    sound = folders.join(here, [*scope, "parent"], "left")
+    lost = sound.where("parent is not null and _known is null").select(F.col("folder").alias("top"), F.lit(True).alias("_lost"))
+    lines = paths(sound.select(F.col("folder").alias("node"), F.when(F.col("_known"), F.col("parent")).alias("parent")))
+    lines = lines.withColumn("top", F.col("path")[0]).join(lost, "top", "left").select(F.col("node").alias("folder"), "path", "cyclic", F.coalesce("_lost", F.lit(False)).alias("lost"))
+    parents = folders.join(lines, "folder").select(*scope, F.col("folder").alias("parent"), "path", "cyclic", "lost")
+    asked = moves.join(parents, [*scope, "parent"], "left")
+    below = F.coalesce(F.array_contains("path", F.col("folder")), F.lit(False))
+    problem = (
+        F.when(F.col("parent").isNull(), None).when(F.col("parent").eqNullSafe(F.col("folder")), "self").when(F.col("path").isNull(), "not_found")
+        .when(below | F.col("cyclic"), "cycle").when(F.col("lost"), "dangling")
+    )
+    return asked.select("move", *scope, "folder", "parent", problem.alias("problem"))
