@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fathomline.catalog import query
 from fathomline.functions import text as fn
+from fathomline.functions.geometry import union_area
 from fathomline.sources.tables import CHUNKS_SQL, chunks, table
 
 FLAGS = f"""
@@ -130,20 +131,9 @@ SELECT page, sum((z - a) * greatest(0, y2 - greatest(y, coalesce(top, y)))) AS a
 def rect_union(spark, sf):
     """Area that rectangles of a page cover, by a sweep over their edges."""
 
-    def area(boxes: list[dict]) -> float:
-        total, xs = 0.0, sorted({e for b in boxes for e in (b["x"], b["x"] + b["w"])})
-        for a, z in zip(xs, xs[1:], strict=False):
-            spans = sorted((b["y"], b["y"] + b["h"]) for b in boxes if b["x"] <= a and b["x"] + b["w"] >= z)
-            top, covered = float("-inf"), 0.0
-            for lo, hi in spans:
-                covered += max(0.0, hi - max(lo, top))
-                top = max(top, hi)
-            total += covered * (z - a)
-        return total
-
     @F.pandas_udf("double")
     def areas(pages: pd.Series) -> pd.Series:
-        return pages.map(area)
+        return pages.map(lambda boxes: union_area((b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"]) for b in boxes))
 
     k = F.col("l_partkey")
     boxes = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("page"), (k % 50).cast("double").alias("x"), (k % 31).cast("double").alias("y"), F.col("l_quantity").alias("w"), F.col("l_linenumber").cast("double").alias("h"))
