@@ -47,13 +47,25 @@ def fallback_targets(spark, sf):
     return flags(spark, sf).where("noisy or tabular or sparse").select("chunk_id", F.when(F.col("noisy"), "GARBLED").when(F.col("tabular"), "TABLE").otherwise("LOW_TEXT").alias("reason"))
 
 
-@query("fallback_merge")
+@query(
+    "fallback_merge",
+    f"""WITH {FLAGS}, own AS (
+  SELECT chunk_id, doc_id, chunk_index, regexp_replace(content, '^[\\s\\p{{Z}}\\x{{0B}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{0B}}\\x{{85}}]+$', '', 'g') AS t FROM chunks
+), due AS (
+  SELECT own.*, coalesce(lead(t) OVER (PARTITION BY own.doc_id ORDER BY own.chunk_index), '') AS more, noisy OR tabular OR sparse AS wanted, NOT noisy AND tabular AS seen FROM own JOIN flags USING (chunk_id)
+), merged AS (
+  SELECT doc_id, chunk_index, CASE WHEN wanted AND more <> '' AND NOT contains(t, more) THEN t || CASE WHEN t = '' THEN '' ELSE chr(10) || chr(10) END || '<!-- PAGE_FALLBACK:' || CASE WHEN seen THEN 'VISION' ELSE 'OCR' END || ' -->' || chr(10) || chr(10) || CASE WHEN seen AND NOT starts_with(more, '图片说明：') THEN '图片说明：' ELSE '' END || more ELSE t END AS t FROM due
+) SELECT doc_id, count(*) AS pages, sha256(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY chunk_index) FILTER (WHERE t <> ''), '')) AS merged_hash FROM merged GROUP BY doc_id""",
+)
 def fallback_merge(spark, sf):
-    """Pages of a document with the fallback's text behind their own, joined again in page order."""
-    own = chunks(spark, sf).select("chunk_id", "doc_id", "chunk_index", "content")
-    more = fallback_targets(spark, sf).select("chunk_id", F.lit("[recovered]").alias("more"))
-    pages = own.join(more, "chunk_id", "left").select("doc_id", F.struct("chunk_index", F.concat_ws("\n\n", "content", "more").alias("t")).alias("p"))
-    return pages.groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "\n"), 256).alias("merged_hash"))  # the pages of one document
+    """Lines as pages; those with too little or garbled text take the next line of their document as recovered text, tabular ones as a description."""
+    from fathomline.operators import pages
+
+    after = F.lead("content").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    own = chunks(spark, sf).select("doc_id", F.col("chunk_index").alias("page"), F.col("content").alias("markdown"), "chunk_id", after.alias("text"))
+    more = own.join(fallback_targets(spark, sf), "chunk_id").select("doc_id", "page", F.when(F.col("reason") == "TABLE", "vision").otherwise("ocr").alias("method"), "text")
+    merged = pages.joined_pages(pages.merge_recovered(own.select("doc_id", "page", "markdown"), more))
+    return merged.select("doc_id", "pages", F.sha2("text", 256).alias("merged_hash"))
 
 
 @query("content_issues")

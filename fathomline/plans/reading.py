@@ -1,14 +1,13 @@
-"""Queries of headings, preview boundaries, parents of folders, and pages with recovered text."""
+"""Queries of headings, preview boundaries and parents of folders."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from fathomline.catalog import query
-from fathomline.operators import chunking, headings, pages, preview, tree
+from fathomline.operators import chunking, headings, preview, tree
 from fathomline.plans.assembly import NUMBERED, vocabulary
 from fathomline.plans.chunking import markdown_documents
-from fathomline.plans.quality import fallback_targets
 from fathomline.sources.tables import CHUNKS_SQL, chunks, table
 
 #: Every fourth document has no headings; in the others every fourth line is one, on one level or, in documents 4n + 3, on two.
@@ -117,15 +116,3 @@ def folder_parents(spark, sf):
     parent = F.when(k % 5 == 0, k * 3).when(k % 5 == 1, k).when(k % 5 == 2, k + 5).when(k % 5 == 3, k * 9 + 4)
     moves = rows.select(k.alias("move"), F.lit(1).alias("dataset"), F.lit(1).alias("owner"), k.alias("folder"), parent.alias("parent"))
     return tree.parent_problems(folders, moves).select("move", "parent", "problem")
-
-
-@query("page_recovery")
-def page_recovery(spark, sf):
-    """Lines as pages; those with too little or garbled text take the next line of their document as recovered text, tabular ones as a description."""
-    from pyspark.sql import Window
-
-    own = chunks(spark, sf).select("doc_id", F.col("chunk_index").alias("page"), F.col("content").alias("markdown"), "chunk_id", F.lead("content").over(Window.partitionBy("doc_id").orderBy("chunk_index")).alias("text"))
-    reason = fallback_targets(spark, sf)
-    more = own.join(reason, "chunk_id").select("doc_id", "page", F.when(F.col("reason") == "TABLE", "vision").otherwise("ocr").alias("method"), "text")
-    merged = pages.merge_recovered(own.select("doc_id", "page", "markdown"), more)
-    return pages.joined_pages(merged).select("doc_id", "pages", F.sha2("text", 256).alias("text_hash"))

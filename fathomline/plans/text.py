@@ -140,14 +140,23 @@ def text_fidelity(spark, sf):
     return _texts(spark, sf).where("text is not null").select("doc_id", f.alias("f")).select("doc_id", "f.recall", "f.precision", ((F.col("f.recall") >= 0.97) & (F.col("f.precision") >= 0.97)).alias("passed"))
 
 
-@query("html_table")
+@query(
+    "html_table",
+    """SELECT page_id, 1 + CAST((length(lower(html)) - length(replace(lower(html), '<table', ''))) / 6 AS INTEGER) AS tables, [['url', 'parts', 'parts'], ['url', 'scheme', 'host'], [url, split_part(url, '://', 1), split_part(split_part(url, '://', 2), '/', 1)]] AS grid FROM pages""",
+)
 def html_table(spark, sf):
-    @F.pandas_udf("array<array<string>>")
-    def first_grid(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: next(iter(fn.table_grids(p)), []))
-
-    rows = F.concat(F.lit("<table><tr><th rowspan=2>a</th><th colspan=2>b</th></tr><tr><th>c</th><th>d</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>x</td><td>y</td></tr></table>"))
-    return table(spark, sf, "pages").select("page_id", first_grid(rows).alias("grid"))
+    """How many tables each whole page has, and the grid of the first: a table of the url's parts with spanning headers, put before the page's own."""
+
+    @F.pandas_udf("tables int, grid array<array<string>>")
+    def first_grid(pages: pd.Series) -> pd.DataFrame:
+        grids = [fn.table_grids(p) for p in pages]
+        return pd.DataFrame([(len(g), next(iter(g), [])) for g in grids], columns=["tables", "grid"])
+
+    cell = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    scheme, host = F.split_part("url", F.lit("://"), F.lit(1)), F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    row = F.concat(F.lit("<tr><td>"), cell(F.col("url")), F.lit("</td><td>"), cell(scheme), F.lit("</td><td>"), cell(host), F.lit("</td></tr></table>"))
+    made = F.concat(F.lit("<table><tr><th rowspan=2>url</th><th colspan=2>parts</th></tr><tr><th>scheme</th><th>host</th></tr>"), row, F.col("html"))
+    return table(spark, sf, "pages").select("page_id", first_grid(made).alias("t")).select("page_id", "t.tables", "t.grid")
 
 
 @query(

@@ -15,7 +15,8 @@ def markdown_files(spark: SparkSession, path: str, pattern: str = "*.md", most_b
     """path, n_bytes, text, n_lines and problem of every file under ``path`` that fits ``pattern``.
 
     Text is UTF-8, its byte order mark is left out. A file that isn't UTF-8, has no text or has more than ``most_bytes`` has a
-    problem (``not_utf8``, ``empty``, ``too_large``) and no text; too large ones are told by their length and not read.
+    problem (``not_utf8``, ``empty``, ``too_large``) and no text; too large ones are told by their length and not read. Spark
+    passes over files without a byte: they have no row.
     """
 
     @F.pandas_udf("string")
