@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-PLANS = ("structured", "recall", "ranking", "relational", "paging", "text", "chunking", "tree", "quality", "reports", "control", "office", "assembly", "validation", "reading", "page_quality")
+PLANS = ("structured", "recall", "ranking", "relational", "paging", "text", "chunking", "tree", "quality", "reports", "control", "office", "assembly", "validation", "reading", "page_quality", "routing")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
