@@ -39,13 +39,25 @@ _MARKUP = (
 )
 
 
+class _Folded(dict):
+    """What a character counts as: folded if it is a letter, digit or kept sign, nothing otherwise; found once each."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = unicodedata.normalize("NFKC", c).casefold() if c.isalnum() or c in KEPT else ""
+        return self[code]
+
+
+_FOLDED = _Folded()
+
+
 def effective_text(text: str | None) -> str:
     """Letters, digits and signs of value that a reader sees, folded: markup, images, link targets and table rules are gone, and operators spelt alike."""
     for pattern, new in _MARKUP:
         text = pattern.sub(new, text or "")
     plain = unescape(text or "")
     plain = _COMMAND.sub(lambda m: OPERATORS.get(m[1], m[0]), plain).replace("·", "×").replace("*", "×")
-    return "".join(unicodedata.normalize("NFKC", c).casefold() for c in plain if c.isalnum() or c in KEPT)
+    return plain.translate(_FOLDED)
 
 
 def formula_signature(formula: str | None) -> list[str]:
