@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathomline.catalog import query
+from fathomline.functions.text import upper_each
 from fathomline.operators import assembly as op
 from fathomline.operators import chunking, structure
 from fathomline.operators.tokens import Vocabulary
@@ -181,7 +182,7 @@ def chunk_violations(spark, sf):
     whole = lines.groupBy("doc_id").agg(joined.alias("content"), F.max("chunk_index").alias("last"))
     i, d = F.col("chunk_index"), F.col("doc_id")
     parts = lines.join(whole.select("doc_id", "last"), "doc_id").withColumn("content", F.when(i == F.col("last"), F.col("content")).otherwise(F.concat("content", F.lit("\n"))))
-    kept = parts.where(~((d % 7 == 1) & (i % 5 == 2))).withColumn("content", F.when((d % 7 == 2) & (i % 3 == 1), F.upper("content")).otherwise(F.col("content")))
+    kept = parts.where(~((d % 7 == 1) & (i % 5 == 2))).withColumn("content", F.when((d % 7 == 2) & (i % 3 == 1), upper_each(F.col("content"))).otherwise(F.col("content")))
     finals = kept.select(
         "doc_id", F.lit(0).alias("chunk"), i.alias("place"), "content", F.length("content").alias("tokens"), F.array(F.lit("paragraph")).alias("kinds"), F.lit(False).alias("truncated"),
         F.when(F.length("content") < 300, F.array(F.concat(F.lit("e"), i.cast("string")))).otherwise(F.array().cast("array<string>")).alias("contained"), (i - i % 2).alias("first_line"), (i - i % 2 + 2).alias("last_line"),

@@ -229,3 +229,9 @@ def test_headed_documents_keep_every_character(spark, monkeypatch):
         assert all(x in lines for x in t.split("\n"))
     chunks = [r.body for r in chunking.coarse_chunks(spark, "").where("doc_id = 0").collect()]
     assert sum(c.count("word") for c in chunks) >= 3000 and any("end" in c for c in chunks)
+
+
+def test_upper_case_of_single_characters(spark):
+    rows = [("straße ﬁn ᾳ ŉ é 🙂",), ("plain é",), ("",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(fn.upper_each(F.col("t"))).collect()]
+    assert got == ["STRAẞE ﬁN ᾼ ŉ É 🙂", "PLAIN É", "", None]
