@@ -100,3 +100,16 @@ def test_dense_route_reads_the_store(spark, tmp_path):
     index = store.points("dense").select(F.col("doc_id").alias("vec_id"), "dataset_id", "embedding")
     asked = spark.createDataFrame([(0, 0, [5.0, 1.0])], "query_id long, dataset_id int, embedding array<double>")
     assert [r.vec_id for r in recall.dense(index, asked, 2).orderBy("rank").collect()] == [5, 4]
+
+
+def test_first_factors_meet_few_rows(spark):
+    """Every question gets the first factors of its gas and year; factors are cut before they meet questions."""
+    from fathomline.operators import structured
+
+    factors = spark.createDataFrame([("R", 1993, "F" if n % 2 else None, "a", f"{n:03}") for n in range(60)] + [("A", 1993, "F", "b", "900")], "gas string, edition_year int, table_code string, activity_name string, source_row string")
+    asked = spark.createDataFrame([(q, "R" if q % 2 else "A", 1993) for q in range(20)] + [(3, "R", 1993), (99, "N", 1993)], "question_id long, gas string, edition_year int")
+    found = structured.first_factors(asked, factors, ["gas", "edition_year"], 5)
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.question_id, r.place)):
+        got.setdefault(r.question_id, []).append(r.source_row)
+    assert got == {q: ["900"] if q % 2 == 0 else ["001", "003", "005", "007", "009"] if q != 3 else ["001", "001", "003", "003", "005"] for q in range(20)}
