@@ -5,6 +5,8 @@ The plan itself comes from outside (a model or a person); the gate in front of i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +25,18 @@ def is_clue(line: Column) -> Column:
     return F.coalesce((F.length(line) > 0) & (F.length(line) <= CLUE_CHARS) & (line.isin(*COMMON_TITLES) | numbered), F.lit(False))
 
 
-def gate(elements: DataFrame, tokens: DataFrame, no_heading: int = NO_HEADING_TOKENS, flat: int = FLAT_HEADINGS, sparse: int = SPARSE_TOKENS) -> DataFrame:
+def gate(elements: DataFrame, tokens: DataFrame, no_heading: int = NO_HEADING_TOKENS, flat: int = FLAT_HEADINGS, sparse: int = SPARSE_TOKENS, hint: Callable[[Column], Column] = is_clue) -> DataFrame:
     """doc_id, total_tokens, headings, levels, clues, reason and runs (whether headings should be made) of every document of ``tokens`` (doc_id, total_tokens).
 
-    ``elements`` are rows (doc_id, kind, level, body). A document without headings runs if it is long; one whose headings share a
+    ``elements`` are rows (doc_id, kind, level, body), maybe with the headings' title; else it is the body without Markdown's marks.
+    ``hint`` tells of a trimmed line whether it hints at a hierarchy. A document without headings runs if it is long; one whose headings share a
     level if there are enough of them and lines hint at a hierarchy; one with several levels if they are far apart.
     """
     heading = F.col("kind") == "heading"
-    title = F.regexp_replace(F.regexp_replace("body", "^#+\\s*", ""), "\\s*#*\\s*$", "")
+    title = F.col("title") if "title" in elements.columns else F.regexp_replace(F.regexp_replace("body", "^#+\\s*", ""), "\\s*#*\\s*$", "")
     lines = F.when(heading, F.array(F.trim(title))).otherwise(F.transform(F.split("body", "\n"), lambda x: F.trim(x)))
     level = F.when(heading, F.when(F.coalesce("level", F.lit(0)) == 0, 1).otherwise(F.col("level")))
-    seen = elements.groupBy("doc_id").agg(F.count_if(heading).alias("headings"), F.sort_array(F.collect_set(level.cast("int"))).alias("levels"), F.sum(F.size(F.filter(lines, is_clue))).alias("clues"))
+    seen = elements.groupBy("doc_id").agg(F.count_if(heading).alias("headings"), F.sort_array(F.collect_set(level.cast("int"))).alias("levels"), F.sum(F.size(F.filter(lines, hint))).alias("clues"))
     every = tokens.select("doc_id", "total_tokens").join(seen, "doc_id", "left")
     none = F.array().cast("array<int>")
     every = every.select("doc_id", F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"), F.coalesce("headings", F.lit(0)).alias("headings"), F.coalesce("levels", none).alias("levels"), F.coalesce("clues", F.lit(0)).alias("clues"))

@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from fathomline.operators.scan import in_order
 from fathomline.sources.shared import stored
 
-# Forms of numbered lines, longest headings and titles, levels.
+# Forms of numbered lines (which may hold other line ends than \n), longest headings and titles, levels.
 NUMBER = "[零〇○一二三四五六七八九十百千万亿两0-9]+"
-DIVISION = f"^第{NUMBER}([编篇章节])(?:[\\s\\u3000]+.*)?$"
+DIVISION = f"(?s)^第{NUMBER}([编篇章节])(?:[\\s\\u3000]+.*)?$"
 ARTICLE = f"^第{NUMBER}条"
-APPENDIX = "^附录\\s*[A-Z一二三四五六七八九十0-9]+(?:[\\s\\u3000]+.*)?$"
-DECIMAL = "^([0-9]{1,3}(?:\\.[0-9]{1,3}){0,4})(?:[\\s\\u3000]+(\\S.*))?$"
-ROOT = "^([0-9]{1,3})[.、]\\s*(\\S.*)$"
-OUTLINE = "^[一二三四五六七八九十]+、\\s*(\\S.*)$"
-SUBSECTION = "^[（(][一二三四五六七八九十]+[）)]\\s*(\\S.*)$"
-DIGIT_PAREN = "^[0-9]{1,3}[）)]\\s*(\\S.*)$"
+APPENDIX = "(?s)^附录\\s*[A-Z一二三四五六七八九十0-9]+(?:[\\s\\u3000]+.*)?$"
+DECIMAL = "(?s)^([0-9]{1,3}(?:\\.[0-9]{1,3}){0,4})(?:[\\s\\u3000]+(\\S.*))?$"
+ROOT = "(?s)^([0-9]{1,3})[.、]\\s*(\\S.*)$"
+OUTLINE = "(?s)^[一二三四五六七八九十]+、\\s*(\\S.*)$"
+SUBSECTION = "(?s)^[（(][一二三四五六七八九十]+[）)]\\s*(\\S.*)$"
+DIGIT_PAREN = "(?s)^[0-9]{1,3}[）)]\\s*(\\S.*)$"
 HEADING_CHARS, TITLE_CHARS, SENTENCE_ENDS = 120, 60, "[。！？；;]$"
 SOFT_MIN, DEEPEST = 128, 5
 NOISE = ("horizontal_rule",)

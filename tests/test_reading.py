@@ -86,3 +86,18 @@ def test_recovered_pages(spark):
     }
     text = {r.doc_id: r.text for r in pages.joined_pages(merged).collect()}
     assert text[1] == got[1, 1][0] + "\n\n" + got[1, 2][0] + "\n\nthree holds it" and text[3] == "a"
+
+
+def test_heading_gate_on_odd_lines(spark, tmp_path):
+    """Marks, blanks of other widths, line ends of other kinds and Chinese forms: the query is its SQL on every one of them."""
+    duckdb = pytest.importorskip("duckdb")
+    from fathomline import catalog
+
+    catalog.load()
+    odd = ["# 1.2 a", "1.2 a #", "1.2 a b", "1.2 a\u0085b", "1.2 a\rb", "　1.2 a", "1.2 " + "x" * 36 + " ", "1.2　a", "1．2 a", "第三章 总则", "第一条 a", "第5条 a", "(一) a", "（一）\x0b", "一、 ", "附录 A", "概述", "1.2 　", "\t1.2 a", "1.2 a\t", " ", "3) a", "1.2.3.4.5.6 a"]
+    texts = [(d * 4 + k, "\n".join(["plain"] * (d % 3) + [line] + ["plain"] * 20), "en", "src1", 1) for d, line in enumerate(odd) for k in range(4)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(catalog.ORACLES["heading_gate"]).fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["heading_gate"](spark, str(tmp_path)).collect())) == sorted(want)
