@@ -235,3 +235,19 @@ def test_upper_case_of_single_characters(spark):
     rows = [("straße ﬁn ᾳ ŉ é 🙂",), ("plain é",), ("",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(fn.upper_each(F.col("t"))).collect()]
     assert got == ["STRAẞE ﬁN ᾼ ŉ É 🙂", "PLAIN É", "", None]
+
+
+def test_matches_from_infrequent_characters_are_those_of_difflib():
+    import difflib
+    import time
+
+    rng = random.Random(8)
+    letters, few = "etaoinshrdlu ", "qzxjkvbpygfwmc[]^-\\é"
+    for n, share in [(0, 0.1), (50, 0.5), (150, 0.2), *[(rng.randint(200, 1500), rng.choice([0, 0.02, 0.1, 0.3])) for _ in range(40)]]:
+        a = "".join(rng.choice(few) if rng.random() < share else rng.choice(letters) for _ in range(n))
+        b = "".join(c for c in a if rng.random() > 0.05) if rng.random() < 0.7 else a.replace("t", "")[::-1] + a[: n // 2]
+        assert fn.matched_from_rare(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=True).get_matching_blocks())
+    long = "".join(rng.choice(few) if rng.random() < 0.08 else rng.choice(letters) for _ in range(100_000))
+    began = time.process_time()
+    fn.fidelity(long, long.replace("th", ""))
+    assert time.process_time() - began < 10
