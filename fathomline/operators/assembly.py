@@ -84,9 +84,11 @@ def final_chunks(chunks: DataFrame, vocabulary: Vocabulary, most: int = MOST, ha
     why = F.when(F.col("truncated"), F.concat(F.col("kinds")[0], F.lit("_over_hard_max"))).when(
         F.col("oversized"), F.when(single, OVERSIZED["single"]).when(F.arrays_overlap("kinds", protected), OVERSIZED["some"]).otherwise(OVERSIZED["none"]),
     )
-    cut = F.when(F.col("truncated"), vocabulary.whole_lines(F.col("content"), hard_max)).otherwise(F.col("content"))
-    counted = counted.withColumns({"reason": why, "content": cut})
-    return counted.withColumn("tokens", F.when(F.col("truncated"), vocabulary.count(F.col("content"), strip=True)).otherwise(F.col("original_tokens")))
+    cut = vocabulary.whole_lines(F.when(F.col("truncated"), F.col("content")), hard_max)  # functions see every row: only what is cut is handed to them
+    counted = counted.withColumns({"reason": why, "_cut": cut})
+    left = vocabulary.count(F.when(F.col("truncated"), F.col("_cut")), strip=True)
+    counted = counted.withColumns({"content": F.when(F.col("truncated"), F.col("_cut")).otherwise(F.col("content")), "_left": left})
+    return counted.withColumn("tokens", F.when(F.col("truncated"), F.col("_left")).otherwise(F.col("original_tokens"))).drop("_cut", "_left")
 
 
 def violations(coarse: DataFrame, finals: DataFrame, hard_max: int, derived: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
