@@ -15,6 +15,7 @@ from fathomline.functions import text as fn
 from fathomline.functions.geometry import clipped, union_area
 from fathomline.functions.signals import effective_text
 
+CORNERS = "x0", "y0", "x1", "y1"
 BOXES = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
 # Characters of a text that counts and of an image's page, share of a page that images cover, share that visible text has on
 # a scan at most, confidence of recognised text, share of a text that is kept, share of pages that makes a document a scan.
@@ -29,24 +30,44 @@ def covered(boxes: Column, width: Column, height: Column) -> Column:
 
     @F.pandas_udf("n int, area double")
     def measured(lists: pd.Series, widths: pd.Series, heights: pd.Series) -> pd.DataFrame:
-        inside = [[c for b in (bs if bs is not None else []) if (c := clipped(b, w, h))] for bs, w, h in zip(lists, widths, heights, strict=True)]
-        return pd.DataFrame([(len(c), union_area(c)) for c in inside], columns=["n", "area"])
+        rows = []
+        for corners, w, h in zip(lists, widths, heights, strict=True):
+            each = iter(corners.tolist() if corners is not None else ())
+            inside = [c for b in zip(each, each, each, each) if (c := clipped(dict(zip(CORNERS, b, strict=True)), w, h))]
+            rows.append((len(inside), union_area(inside)))
+        return pd.DataFrame(rows, columns=["n", "area"])
 
-    return measured(boxes, F.coalesce(width, F.lit(0.0)).cast("double"), F.coalesce(height, F.lit(0.0)).cast("double"))
+    flat = F.flatten(F.transform(boxes, lambda b: F.array(*(b[c] for c in CORNERS))))  # numbers travel far faster than structs
+    return measured(flat, F.coalesce(width, F.lit(0.0)).cast("double"), F.coalesce(height, F.lit(0.0)).cast("double"))
 
 
-def _fidelity(source: Column, *outputs: Column) -> Column:
-    """retention and precision of the output that keeps the source's effective text best; null where there is no source."""
+def _best(source: str, given: list[str]) -> tuple[float | None, float | None]:
+    """retention and precision of the output that keeps the source best; null where there is no source."""
+    if not source:
+        return None, None
+    given = [t for t in dict.fromkeys(given) if t]
+    best = given[fn.best_candidate(source, given)] if len(given) > 1 else given[0] if given else ""
+    return fn.fidelity(source, best) if best else (0.0, 0.0)
 
-    @F.pandas_udf("retention double, precision double")
-    def best(sources: pd.Series, first: pd.Series, second: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s, *given in zip(sources, first, second, strict=True):
-            s, given = effective_text(s), [t for t in map(effective_text, given) if t]
-            rows.append((None, None) if not s else fn.fidelity(s, given[fn.best_candidate(s, given)]) if given else (0.0, 0.0))
-        return pd.DataFrame(rows, columns=["retention", "precision"])
 
-    return best(source, *outputs)
+def page_measures(raster: bool, bare: bool, text: str | None, visible: str | None, hidden: str | None, markdown: str | None, ocr: str | None, body: str | None) -> tuple:
+    """Effective characters of text, visible text, hidden text, Markdown and recognised text, and how well ``body`` (Markdown without a
+    description of its pictures) and recognised text keep the page's text, on a scan the visible one. Equal texts are folded once."""
+    given = text, visible, hidden, markdown, ocr, body
+    folded = {t: effective_text(t) for t in set(given)}
+    text, visible, hidden, markdown, ocr, body = (folded[t] for t in given)
+    source = visible if raster and (bare or hidden or len(visible) <= IMAGE_CHARS) else text
+    return (*map(len, (text, visible, hidden, markdown, ocr)), *_best(source, [body, ocr]))
+
+
+def _measured(raster: Column, bare: Column, *texts: Column) -> Column:
+    names = ["text", "visible", "hidden", "markdown", "ocr"]
+
+    @F.pandas_udf(", ".join(f"{n} int" for n in names) + ", retention double, precision double")
+    def measured(*columns: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_measures(*r) for r in zip(*columns, strict=True)], columns=[*names, "retention", "precision"])
+
+    return measured(raster, bare, *texts)
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -57,19 +78,19 @@ def records(pages: DataFrame) -> DataFrame:
     """
     size = F.col("width") * F.col("height")
     share = lambda c: F.when(size > 0, c / size).otherwise(0.0)
-    chars = lambda c: F.length(fn.series(effective_text)("string")(c))
     marks = sum((F.regexp_count(F.coalesce("markdown", F.lit("")), F.lit(p)) for p in IMAGES), F.lit(0))
     rows = pages.withColumns({f"_{k}": covered(F.col(f"{k}_boxes"), F.col("width"), F.col("height")) for k in ("text", "visible", "image", "vector")})
     rows = rows.withColumns({
         "text_area_ratio": share(F.col("_text.area")), "visible_text_area_ratio": share(F.col("_visible.area")), "image_coverage_ratio": share(F.col("_image.area")), "vector_coverage_ratio": share(F.col("_vector.area")),
-        "image_count": F.col("_image.n"), "vector_count": F.col("_vector.n"), "text_chars": chars("text"), "visible_chars": chars("visible_text"), "hidden_chars": chars("hidden_text"),
-        "markdown_chars": chars("markdown"), "ocr_chars": chars("ocr_text"), "markdown_images": marks,
+        "image_count": F.col("_image.n"), "vector_count": F.col("_vector.n"), "markdown_images": marks,
     })
     raster = (F.col("image_count") > 0) & (F.col("image_coverage_ratio") >= COVERING)
-    hidden, bare = raster & (F.col("hidden_chars") > 0), raster & (F.col("visible_text_area_ratio") <= LITTLE_TEXT)
+    bare = raster & (F.col("visible_text_area_ratio") <= LITTLE_TEXT)
+    texts = "text", "visible_text", "hidden_text", "markdown", "ocr_text"
+    rows = rows.withColumn("_kept", _measured(raster, bare, *map(F.col, texts), F.regexp_replace("markdown", SUPPLEMENT, "")))
+    rows = rows.withColumns({f"{n}_chars": F.col(f"_kept.{n}") for n in ("text", "visible", "hidden", "markdown", "ocr")})
+    hidden = raster & (F.col("hidden_chars") > 0)
     rows = rows.withColumns({"_hidden": hidden, "_bare": bare, "scanned": raster & ((F.col("visible_chars") <= IMAGE_CHARS) | hidden | bare)})
-    body = F.regexp_replace("markdown", SUPPLEMENT, "")
-    rows = rows.withColumn("_kept", _fidelity(F.when(F.col("scanned"), F.col("visible_text")).otherwise(F.col("text")), body, F.col("ocr_text")))
     read, images = F.col("ocr_text").isNotNull(), (F.col("image_count") > 0) | (F.col("markdown_images") > 0)
     texted = F.when(F.col("scanned"), F.col("visible_chars") > 0).otherwise(F.col("text_chars") > 0)
     lost = texted & F.coalesce(F.col("_kept.retention") < KEPT, F.lit(True))

@@ -51,3 +51,24 @@ def test_short_words_merge_as_long_ones_do():
         assert short == [pairs.merged(w) for w in words]
     finally:
         bpe.SHORT = held
+
+
+def test_a_pages_equal_texts_are_folded_once(monkeypatch):
+    from fathomline.operators import page_quality
+
+    asked, fold = [], page_quality.effective_text
+    monkeypatch.setattr(page_quality, "effective_text", lambda t: asked.append(t) or fold(t))
+    assert page_quality.page_measures(False, False, "a b", "a b", None, "a b\n\na b", None, "a b\n\na b") == (2, 2, 0, 4, 0, 1.0, 0.5)
+    assert sorted(asked, key=str) == sorted(["a b", None, "a b\n\na b"], key=str)
+    assert page_quality.page_measures(True, False, "a b", "a b", "c", None, "x", None)[-2:] == (0.0, 0.0)  # a scan, by its hidden text
+    assert page_quality.page_measures(False, False, None, "a", None, "a", None, "a")[-2:] == (None, None)
+
+
+def test_effective_text_passes_over_patterns_without_their_marks():
+    from fathomline.functions import signals
+
+    rng = random.Random(5)
+    made = ["".join(rng.choice(["<b>", "<!--", "-->", "[", "]", "(u)", "!", "\n", "# ", "- ", "1) ", "***", "__", "|", "---", "`", "~~", "> ", "a", " ", "ß", "²"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    for t in made:
+        for pattern, _, marks in signals._MARKUP:
+            assert not pattern.search("".join(c for c in t if c not in marks))
