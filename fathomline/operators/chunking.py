@@ -11,19 +11,40 @@ from pyspark.sql import functions as F
 from fathomline.functions import markdown as md
 
 
+#: Characters of rows that a worker gathers before it sends them on, and rows.
+SENT_CHARS, SENT_ROWS = 1 << 20, 5000
+
+
 def per_document(documents: DataFrame, schema: str, split: Callable[[str | None], list[tuple]]) -> DataFrame:
-    """Rows (doc_id, *row) of ``split(text)`` for every document, without a shuffle: a document is one row."""
+    """Rows (doc_id, *row) of ``split(text)`` for every document, without a shuffle: a document is one row.
+
+    A worker reads one document at a time and sends rows on as they gather, so that it holds a few texts whatever a batch holds.
+    """
+    names = ["doc_id", *(f.split()[0] for f in schema.split(", "))]
+    most_chars, most_rows = SENT_CHARS, SENT_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
+        def sent(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), run.kinds, strict=True)], names)
 
+        rows, chars = [], 0
         for b in batches:
-            rows = [(d, *r) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in split(t)]
-            if rows:
-                names = [f.split()[0] for f in ("doc_id long, " + schema).split(", ")]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=names), preserve_index=False)
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + schema)
+            for d, t in zip(b.column(0), b.column(1), strict=True):
+                d, t = d.as_py(), t.as_py()
+                for r in split(t):
+                    rows.append((d, *r))
+                    chars += sum(len(v) for v in r if isinstance(v, str))
+                    if chars >= most_chars or len(rows) >= most_rows:
+                        yield sent(rows)
+                        rows, chars = [], 0
+        if rows:
+            yield sent(rows)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    made = "doc_id long, " + schema
+    run.kinds = [f.type for f in to_arrow_schema(documents.sparkSession.createDataFrame([], made).schema)]
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, made)
 
 
 def elements(documents: DataFrame) -> DataFrame:

@@ -72,3 +72,17 @@ def test_effective_text_passes_over_patterns_without_their_marks():
     for t in made:
         for pattern, _, marks in signals._MARKUP:
             assert not pattern.search("".join(c for c in t if c not in marks))
+
+
+def test_rows_of_documents_are_sent_on_as_they_gather(spark, monkeypatch):
+    from fathomline.operators import chunking
+
+    monkeypatch.setattr(chunking, "SENT_CHARS", 100, raising=False)
+    docs = spark.createDataFrame([(k, "ab" * 30 if k % 3 else None) for k in range(200)], "doc_id long, text string").coalesce(1)
+    split = lambda t: [(k, "x" * 30) for k in range(10)] if t else []
+    assert chunking.per_document(docs, "n long, body string", split).count() == 1330
+    made = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: made.append(run) or self)
+    chunking.per_document(docs, "n long, body string", split)
+    sent = list(made[0](iter(docs.toArrow().to_batches())))
+    assert sum(b.num_rows for b in sent) == 1330 and max(b.num_rows for b in sent) <= 4
