@@ -86,3 +86,27 @@ def test_rows_of_documents_are_sent_on_as_they_gather(spark, monkeypatch):
     chunking.per_document(docs, "n long, body string", split)
     sent = list(made[0](iter(docs.toArrow().to_batches())))
     assert sum(b.num_rows for b in sent) == 1330 and max(b.num_rows for b in sent) <= 4
+
+
+def test_texts_with_characters_left_out_need_no_table():
+    import time
+
+    from fathomline.functions.text import edit_distance
+
+    def by_table(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    rng = random.Random(6)
+    for _ in range(400):
+        a = "".join(rng.choice("abcé🎈") for _ in range(rng.randint(0, 12)))
+        for b in ("".join(c for c in a if rng.random() < 0.7), "".join(rng.choice("abcé🎈") for _ in range(rng.randint(0, 12)))):
+            assert edit_distance(a, b) == edit_distance(b, a) == by_table(a, b)
+    long = "".join(rng.choice("abcdefg ") for _ in range(60000))
+    began = time.perf_counter()
+    assert edit_distance(long, long.replace("e", "")) == long.count("e")
+    assert time.perf_counter() - began < 0.5  # bit vectors of 60 000 places take seconds
