@@ -71,7 +71,7 @@ class Vocabulary:
             pairs, b, text, a = encoder(), b or "", text or "", a or ""
             left, right = side if b else 0, side if a else 0
             if most is not None:
-                room = most - pairs.count(text)
+                room = most - pairs.count(text, keep=True)
                 if room <= 0:
                     return text, 0, 0
                 if b and a:
@@ -79,7 +79,7 @@ class Vocabulary:
                     right = min(right, room - left)
                 left, right = min(left, room), min(right, room)
             out = build(pairs, b, text, a, left, right)
-            while most is not None and (left or right) and pairs.count(out[0]) > most:
+            while most is not None and (left or right) and len(out[0].encode()) > most and pairs.count(out[0]) > most:  # a token has a byte at least
                 if right and right >= left:
                     right -= 1
                 else:

@@ -110,3 +110,32 @@ def test_texts_with_characters_left_out_need_no_table():
     began = time.perf_counter()
     assert edit_distance(long, long.replace("e", "")) == long.count("e")
     assert time.perf_counter() - began < 0.5  # bit vectors of 60 000 places take seconds
+
+
+def test_a_neighbour_is_split_into_words_once(vocabulary):
+    pairs = vocabulary.encoder()()
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdé字") for _ in range(rng.randint(1, 9))) for _ in range(200)) for _ in range(12)]
+    for t in texts:
+        tokens = pairs.encode(t)
+        for most in (0, 1, 5, 64, 10_000):
+            kept, removed = pairs.first(t, most)
+            assert kept.encode() == b"".join(tokens[: len(tokens) - removed]) and len(tokens) - removed <= most
+            assert t.endswith(pairs.last(t, most)) and len(pairs.encode(pairs.last(t, most))) <= most
+    asked, words = [], pairs.words
+
+    class Spy:
+        groups = 0
+
+        def findall(self, text):
+            asked.append(text)
+            return words.findall(text)
+
+        def finditer(self, text):
+            asked.append(text)
+            return words.finditer(text)
+
+    pairs.words = Spy()
+    for before, body, after in zip(texts, texts[1:], texts[2:]):
+        pairs.count(body, keep=True), pairs.last(before, 64), pairs.first(after, 64)
+    assert sorted(t for t in asked if t in texts) == sorted(texts)
