@@ -6,6 +6,9 @@ import math
 import re
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
+
 #: Runs of scripts that are written without spaces, and runs of other letters and digits.
 _RUNS = re.compile(r"([⺀-⿟々-〇぀-ヿ㐀-䶿一-鿿가-힯豈-﫿\U00020000-\U0003fffd]+)|[^\W_]+")
 #: Characters of a word that fine cuts look into, at least.
@@ -88,3 +91,149 @@ class Lexicon:
             if _RUNS.fullmatch(word) and _RUNS.fullmatch(word)[1] and len(parts := self.fine(word)) > 1:
                 out += parts
         return out
+
+
+#: Between runs; no UTF-8 text holds this byte.
+_APART = 255
+#: Bytes that are looked at together, if a run is not longer.
+BLOCK = 1 << 17
+#: Bytes of a stretch within which sums of weights keep inside 64 bits, whatever the words' counts.
+_SAFE = 192
+#: Stretches that are stepped through together, at least; fewer are gone through one by one.
+_NARROW = 16
+
+
+class Paths:
+    """The paths of ``Lexicon.path`` for many runs at once, over arrays of UTF-8 bytes.
+
+    No word crosses the ends of a stretch, so that its best path hangs on nothing outside it: stretches are stepped through side by
+    side, from their ends on.
+    """
+
+    def __init__(self, counts: Iterable[tuple[str, int]]):
+        held = dict(counts)
+        total = sum(held.values()) + 1
+        words = [w.encode() for w in held if w]
+        weights = np.array([_weight(n / total) for w, n in held.items() if w], np.int64)
+        self.unknown = _weight(0.5 / total)
+        size = np.array([len(w) for w in words], np.int64)
+        data, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        # the trie: a node is the place of its edge among keys of (parent + 1, byte); its weight is 0 where no word ends
+        keys, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        node, left, depth, first = np.full(len(words), -1, np.int64), np.arange(len(words)), 0, 0
+        while len(left):
+            found, which = np.unique((node[left] + 1) << 8 | data[at[left] + depth], return_inverse=True)
+            node[left] = first + which
+            depth += 1
+            done, weight = size[left] == depth, np.zeros(len(found), np.int64)
+            weight[which[done]] = weights[left[done]]
+            keys.append(found)
+            ends.append(weight)
+            first, left = first + len(found), left[~done]
+        self.keys, self.weights = pd.Index(np.concatenate(keys)), np.concatenate(ends)
+        self.heads = self.keys.get_indexer(np.arange(256))  # the nodes of first bytes
+
+    def ends(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where words end, as ascending offsets into ``data``; ``bounds`` are the runs' ends in it, equal ones where runs are empty."""
+        out, begin = [np.zeros(0, np.int64)], 0
+        runs = np.unique(bounds[bounds > 0])
+        while len(runs):
+            k = max(1, int(np.searchsorted(runs, begin + BLOCK, "right")))
+            out.append(begin + self._block(data[begin : runs[k - 1]], runs[:k] - begin))
+            begin, runs = int(runs[k - 1]), runs[k:]
+        return np.concatenate(out)
+
+    def _block(self, data: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """As ``ends``, for runs that have bytes."""
+        apart = runs + np.arange(len(runs))  # the bytes between the runs, which take one place each
+        text = np.full(len(data) + len(runs), _APART, np.uint8)
+        inside = np.ones(len(text), bool)
+        inside[apart] = False
+        text[inside] = data
+        starts = (text & 0xC0) != 0x80
+        starts[np.append(0, apart[:-1] + 1)] = True
+        chars = np.flatnonzero(starts)
+        after, chars = chars[1:][inside[chars[:-1]]], chars[inside[chars]]
+        size, word = self._words(text, chars, after)
+        count = np.bincount(np.concatenate(word[0]), minlength=len(text))
+
+        reach = np.arange(1, len(text) + 1)
+        reach[apart] = apart
+        reach[chars] = size
+        reach = np.maximum.accumulate(reach)
+        whole = np.append(True, reach[:-1] <= np.arange(1, len(text)))  # no word crosses the place before this byte
+        whole[apart] = True
+        stop = np.flatnonzero(whole)
+        begin = stop[inside[stop]]
+        away = stop[np.searchsorted(stop, chars, "right")] - chars  # to the end of the stretch
+
+        order = np.argsort(away.astype(np.uint16) if away.max() < 1 << 16 else away, kind="stable")
+        chars, away = chars[order], away[order]
+        place = np.zeros(len(text), np.int64)  # of a character's first word among all words, by distance, character and length
+        n = count[chars]
+        place[chars] = lay = np.cumsum(n) - n
+        to, weight = np.empty(int(n.sum()), np.int64), np.empty(int(n.sum()), np.int64)
+        for p, z, w in zip(*word):
+            to[place[p]], weight[place[p]] = z, w
+            place[p] += 1
+        first = self._best(chars, np.append(lay, len(to)), to, weight, np.append(0, np.cumsum(np.bincount(away))), whole)
+
+        cut = np.zeros(len(text), bool)
+        while len(begin) > _NARROW:
+            cut[begin] = True
+            begin = first[begin]
+            begin = begin[~whole[begin]]
+        for k in begin.tolist():
+            cut[k] = True
+            while not whole[k := int(first[k])]:
+                cut[k] = True
+        cut[apart] = True
+        cut[0] = cut[apart[:-1] + 1] = False  # a run's end stands for its last word; its begin ends none
+        found = np.flatnonzero(cut)
+        return found - np.searchsorted(apart, found)
+
+    def _words(self, text: np.ndarray, chars: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, tuple[list, list, list]]:
+        """The furthest end of the words that begin at each of ``chars``; all words as lists of starts, ends and weights, short ones first."""
+        far, known = after.copy(), np.zeros(len(chars), bool)
+        which, at, node, depth = np.arange(len(chars)), chars, self.heads[text[chars]], 1
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(which):
+            if depth > 1:
+                node = self.keys.get_indexer((node + 1) << 8 | text[at + depth - 1])
+            on = node >= 0
+            which, at, node = which[on], at[on], node[on]
+            weight = self.weights[node]
+            is_word = weight < 0
+            k, p = which[is_word], at[is_word]
+            found.append((p, p + depth, weight[is_word]))
+            known[k] |= after[k] == p + depth
+            far[k] = np.maximum(far[k], p + depth)
+            depth += 1
+        p = chars[~known]
+        found.insert(0, (p, after[~known], np.full(len(p), self.unknown, np.int64)))
+        return far, tuple(map(list, zip(*found)))
+
+    @staticmethod
+    def _best(chars: np.ndarray, lay: np.ndarray, to: np.ndarray, weight: np.ndarray, steps: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """For each of ``chars``, which lie by their distance from the end of the stretch, the end of its path's first word.
+
+        The words of character i are ``lay[i]`` to ``lay[i + 1]``, the characters at distance t ``steps[t]`` to ``steps[t + 1]``.
+        """
+        best, first, inner = np.zeros(len(whole), np.int64), np.zeros(len(whole), np.int64), ~whole[chars]  # 0 where a stretch begins: the one before ends there
+        last = int(np.flatnonzero(np.diff(steps[: _SAFE + 1]) >= _NARROW).max(initial=0)) + 1
+        done = int(steps[last])
+        for a, b in zip(steps[1:last].tolist(), steps[2 : last + 1].tolist()):
+            if a == b:
+                continue
+            i, j = int(lay[a]), int(lay[b])
+            score, groups = weight[i:j] + best[to[i:j]], lay[a:b] - i
+            top = np.maximum.reduceat(score, groups)
+            best[chars[a:b]] = top * inner[a:b]
+            first[chars[a:b]] = np.maximum.reduceat(np.where(score == np.repeat(top, np.diff(lay[a : b + 1])), to[i:j], 0), groups)
+        if done < len(chars):
+            sums, base = best.tolist(), int(lay[done])
+            ends, weights = to[base:].tolist(), weight[base:].tolist()
+            for k, on, i, j in zip(chars[done:].tolist(), inner[done:].tolist(), (lay[done:-1] - base).tolist(), (lay[done + 1 :] - base).tolist()):
+                top, first[k] = max((weights[m] + sums[ends[m]], ends[m]) for m in range(i, j))
+                sums[k] = top if on else 0
+        return first

@@ -133,15 +133,9 @@ def segment_runs(spark, sf):
     from fathomline.operators import segmentation
 
     own = chunks(spark, sf).select("chunk_id", op.words(F.col("content")).alias("w"))
-    segmenter = segmentation.Segmenter(segmentation.word_counts(own.select(F.explode("w").alias("word")), LEXICON_WORDS))
-    found = own.withColumn("words", segmenter.path(F.array_join("w", "")))
-
-
-    def ends(words):
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-        return F.aggregate(words, start, lambda a, w: F.struct((a["at"] + F.length(w)).alias("at"), F.concat(a["ends"], F.array(a["at"] + F.length(w))).alias("ends")), lambda a: a["ends"])
-
-    return found.select("chunk_id", "words", F.size("w").alias("n_words"), F.size(F.array_intersect(ends(F.col("w")), ends(F.col("words")))).alias("n_found"))
+    segmenter = segmentation.Segmenter(segmentation.word_counts(own.select(F.explode_outer("w").alias("word")).where("word IS NOT NULL"), LEXICON_WORDS))
+    found = own.withColumn("found", segmenter.recut(F.col("w")))
+    return found.select("chunk_id", "found.words", F.size("w").alias("n_words"), "found.n_found")
 
 
 @query("bm25_stats", f"WITH {INDEX_SQL} SELECT dataset_id, n_chunks, round(avgdl, 6) AS avgdl FROM stats")

@@ -3,13 +3,18 @@
 import itertools
 import math
 import random
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fathomline.functions.segmentation import Lexicon
+from fathomline.functions import segmentation as functions
+from fathomline.functions.segmentation import Lexicon, Paths
 from fathomline.operators import recall, segmentation
+from fathomline.plans.recall import segment_runs
 
 WORDS = {"碳": 4, "排放": 20, "碳排放": 30, "排放权": 9, "权": 3, "碳排放权": 8, "登记": 15, "管理": 40, "登记管理": 6, "规则": 12, "企业": 25, "温室": 7, "温室气体": 18, "气体": 11}
 
@@ -88,3 +93,61 @@ def test_long_runs_stay_linear():
     rng = random.Random(3)
     text = "".join(rng.choice(list(WORDS)) for _ in range(20_000))
     assert "".join(Lexicon(WORDS.items()).path(text)) == text
+
+
+def plain_recut(lexicon, words):
+    """Words cut again one run at a time, and how many old ends are new ones."""
+    new = lexicon.path("".join(words or []))
+    old = set(itertools.accumulate(map(len, words or [])))
+    return {"words": new, "n_found": len(old & set(itertools.accumulate(map(len, new))))}
+
+
+@pytest.mark.parametrize("block", [1, 50, functions.BLOCK])
+def test_many_runs_as_one_by_one(block, monkeypatch):
+    monkeypatch.setattr(functions, "BLOCK", block)
+    rng = random.Random(block)
+    for letters in ("ab", "abé", "a碳😀", "aaaaaaaaaaaaaaab"):
+        for n in (0, 1, 3, 60):
+            word = lambda most: "".join(rng.choices(letters, k=rng.randint(1, most)))
+            counts = {word(5): rng.choice([1, 1, 2, 50]) for _ in range(rng.randint(0, 14))}
+            rows = [None, [], *([word(rng.choice([1, 6, 300])) + rng.choice(["", "x", "ж"]) for _ in range(rng.randint(0, 5))] for _ in range(n))]
+            lexicon = Lexicon(counts.items())
+            lists = pa.array(rows, pa.list_(pa.string()))
+            for part in (lists, lists[1:], lists[:0], lists[2:-1]):
+                assert segmentation.recut_lists(Paths(counts.items()), part).to_pylist() == [plain_recut(lexicon, w) for w in part.to_pylist()]
+
+
+def test_stretches_of_any_length_as_one_by_one():
+    lexicon, paths = Lexicon([("aa", 3), ("aaa", 2)]), Paths([("aa", 3), ("aaa", 2)])
+    runs = ["a" * n + "b" * (n % 3) for n in range(600)]
+    data = "".join(runs).encode()
+    ends = paths.ends(np.frombuffer(data, np.uint8), np.cumsum([len(r) for r in runs]))
+    want = itertools.accumulate(len(w) for r in runs for w in lexicon.path(r))
+    assert ends.tolist() == list(want)
+
+
+def test_query_on_a_line_of_many_words(spark, tmp_path):
+    """Seconds grow as the line does: gathering its word ends one by one took the square of its words."""
+    rng = random.Random(5)
+    line = " ".join(rng.choices(["gas", "river", "over", "riverbank", "bank", "s"], k=200_000))
+    rows = [(1, line, "en", "src1", len(line)), (2, "Gas over -- river\n!!\n\nbank", "en", "src2", 20), (3, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.monotonic()
+    got = {r.chunk_id: r for r in segment_runs(spark, str(tmp_path)).collect()}
+    assert time.monotonic() - began < 30
+    assert got["2:0"][1:] == (["gas", "over", "river"], 3, 3) and got["2:1"][1:] == ([], 0, 0) and got["2:3"][1:] == (["bank"], 1, 1)
+    long = got["1:0"]
+    assert long.n_words == 200_000 and "".join(long.words) == line.replace(" ", "") and set(long.words) <= {"gas", "river", "over", "riverbank", "bank", "s"}
+    assert 190_000 < long.n_found <= 200_000
+
+
+def test_a_dictionary_is_counted_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    segmentation.Segmenter(spark.createDataFrame(spark.sparkContext.parallelize([("a", 1), ("b", 2)], 1).mapPartitions(count), "word string, n long"))
+    assert seen.value == 2
