@@ -19,8 +19,12 @@ FINE = 3
 _STEP = 1 << 20
 
 
+def _log(p: float) -> int:
+    return round(math.log(p) * 1e9)
+
+
 def _weight(p: float) -> int:
-    return round(math.log(p) * 1e9) * _STEP - 1
+    return _log(p) * _STEP - 1
 
 
 class Lexicon:
@@ -97,7 +101,7 @@ class Lexicon:
 _APART = 255
 #: Bytes that are looked at together, if a run is not longer.
 BLOCK = 1 << 17
-#: Bytes of a stretch within which sums of weights keep inside 64 bits, whatever the words' counts.
+#: Bytes from the end of a stretch within which a sum of logs, the words and the first word's bytes (8 bits each) fit into 64 bits.
 _SAFE = 192
 #: Stretches that are stepped through together, at least; fewer are gone through one by one.
 _NARROW = 16
@@ -114,24 +118,26 @@ class Paths:
         held = dict(counts)
         total = sum(held.values()) + 1
         words = [w.encode() for w in held if w]
-        weights = np.array([_weight(n / total) for w, n in held.items() if w], np.int64)
-        self.unknown = _weight(0.5 / total)
+        logs = np.array([_log(n / total) for w, n in held.items() if w], np.int64)
+        self.unknown = _log(0.5 / total)
         size = np.array([len(w) for w in words], np.int64)
         data, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
-        # the trie: a node is the place of its edge among keys of (parent + 1, byte); its weight is 0 where no word ends
+        # the trie: a node is the place of its edge among keys of (parent + 1, byte); its log is 1 where no word ends
         keys, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         node, left, depth, first = np.full(len(words), -1, np.int64), np.arange(len(words)), 0, 0
         while len(left):
             found, which = np.unique((node[left] + 1) << 8 | data[at[left] + depth], return_inverse=True)
             node[left] = first + which
             depth += 1
-            done, weight = size[left] == depth, np.zeros(len(found), np.int64)
-            weight[which[done]] = weights[left[done]]
+            done, log = size[left] == depth, np.ones(len(found), np.int64)
+            log[which[done]] = logs[left[done]]
             keys.append(found)
-            ends.append(weight)
+            ends.append(log)
             first, left = first + len(found), left[~done]
-        self.keys, self.weights = pd.Index(np.concatenate(keys)), np.concatenate(ends)
-        self.heads = self.keys.get_indexer(np.arange(256))  # the nodes of first bytes
+        self.keys, self.logs = pd.Index(np.concatenate(keys)), np.concatenate(ends)
+        self.heads = self.keys.get_indexer(np.arange(256))  # the nodes of first bytes, and of first two
+        pairs = (self.heads[:, None] + 1) << 8 | np.arange(256)
+        self.pairs = np.where(self.heads[:, None] < 0, -1, self.keys.get_indexer(pairs.ravel()).reshape(256, 256)).ravel()
 
     def ends(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Where words end, as ascending offsets into ``data``; ``bounds`` are the runs' ends in it, equal ones where runs are empty."""
@@ -153,30 +159,27 @@ class Paths:
         starts = (text & 0xC0) != 0x80
         starts[np.append(0, apart[:-1] + 1)] = True
         chars = np.flatnonzero(starts)
-        after, chars = chars[1:][inside[chars[:-1]]], chars[inside[chars]]
-        size, word = self._words(text, chars, after)
-        count = np.bincount(np.concatenate(word[0]), minlength=len(text))
-
-        reach = np.arange(1, len(text) + 1)
+        reach = np.arange(1, len(text) + 1)  # the furthest end of what begins at a byte
+        reach[chars[:-1]] = chars[1:]
         reach[apart] = apart
-        reach[chars] = size
-        reach = np.maximum.accumulate(reach)
-        whole = np.append(True, reach[:-1] <= np.arange(1, len(text)))  # no word crosses the place before this byte
+        chars = chars[inside.take(chars)]
+        word, to, log, rank, count = self._words(text, chars, reach)
+
+        whole = np.append(True, np.maximum.accumulate(reach[:-1]) <= np.arange(1, len(text)))  # no word crosses the place before this byte
         whole[apart] = True
         stop = np.flatnonzero(whole)
-        begin = stop[inside[stop]]
-        away = stop[np.searchsorted(stop, chars, "right")] - chars  # to the end of the stretch
+        begin = stop[inside.take(stop)]
+        away = np.repeat(stop[1:], np.diff(stop))  # to the end of the stretch
+        away = away.take(chars) - chars
 
         order = np.argsort(away.astype(np.uint16) if away.max() < 1 << 16 else away, kind="stable")
-        chars, away = chars[order], away[order]
-        place = np.zeros(len(text), np.int64)  # of a character's first word among all words, by distance, character and length
-        n = count[chars]
-        place[chars] = lay = np.cumsum(n) - n
-        to, weight = np.empty(int(n.sum()), np.int64), np.empty(int(n.sum()), np.int64)
-        for p, z, w in zip(*word):
-            to[place[p]], weight[place[p]] = z, w
-            place[p] += 1
-        first = self._best(chars, np.append(lay, len(to)), to, weight, np.append(0, np.cumsum(np.bincount(away))), whole)
+        chars = chars.take(order)
+        lay = np.append(0, np.cumsum(count.take(chars)))  # of a character's first word among all words, by distance and character
+        count[chars] = lay[:-1]
+        place = count.take(word) + rank
+        by_place = np.empty((2, len(place)), np.int64)
+        by_place[0][place], by_place[1][place] = to, log
+        first = self._best(chars, lay, *by_place, np.append(0, np.cumsum(np.bincount(away))), whole)
 
         cut = np.zeros(len(text), bool)
         while len(begin) > _NARROW:
@@ -192,48 +195,67 @@ class Paths:
         found = np.flatnonzero(cut)
         return found - np.searchsorted(apart, found)
 
-    def _words(self, text: np.ndarray, chars: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, tuple[list, list, list]]:
-        """The furthest end of the words that begin at each of ``chars``; all words as lists of starts, ends and weights, short ones first."""
-        far, known = after.copy(), np.zeros(len(chars), bool)
-        which, at, node, depth = np.arange(len(chars)), chars, self.heads[text[chars]], 1
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(which):
-            if depth > 1:
-                node = self.keys.get_indexer((node + 1) << 8 | text[at + depth - 1])
-            on = node >= 0
-            which, at, node = which[on], at[on], node[on]
-            weight = self.weights[node]
-            is_word = weight < 0
-            k, p = which[is_word], at[is_word]
-            found.append((p, p + depth, weight[is_word]))
-            known[k] |= after[k] == p + depth
-            far[k] = np.maximum(far[k], p + depth)
+    def _words(self, text: np.ndarray, chars: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All words that begin at ``chars``: where, their ends, logs, and ranks among those of their start; and how many begin at a byte.
+
+        ``reach`` has the ends of characters, and is moved to the furthest end of a word.
+        """
+        count, one, unknown = np.zeros(len(text), np.int64), reach.copy(), np.zeros(len(text), bool)
+        unknown[chars] = True
+        at, node, depth = chars, self.heads.take(text.take(chars)), 1
+        found: list[tuple[np.ndarray, ...]] = []
+        while len(at):
+            if depth == 2:
+                node = self.pairs.take(text.take(at).astype(np.int64) << 8 | text.take(at + 1))
+            elif depth > 2:
+                node = self.keys.get_indexer((node + 1) << 8 | text.take(at + (depth - 1)))
+            on = np.flatnonzero(node >= 0)
+            at, node = at.take(on), node.take(on)
+            log = self.logs.take(node)
+            on = np.flatnonzero(log < 1)
+            p = at.take(on)
+            rank, z = count.take(p), p + depth
+            count[p], reach[p] = rank + 1, z
+            found.append((p, z, log.take(on), rank))
+            if depth <= 4:
+                unknown[p[one.take(p) == z]] = False
             depth += 1
-        p = chars[~known]
-        found.insert(0, (p, after[~known], np.full(len(p), self.unknown, np.int64)))
-        return far, tuple(map(list, zip(*found)))
+        p = np.flatnonzero(unknown)
+        rank = count.take(p)
+        count[p] = rank + 1
+        found.append((p, one.take(p), np.full(len(p), self.unknown, np.int64), rank))
+        return *map(np.concatenate, zip(*found)), count
 
     @staticmethod
-    def _best(chars: np.ndarray, lay: np.ndarray, to: np.ndarray, weight: np.ndarray, steps: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    def _best(chars: np.ndarray, lay: np.ndarray, to: np.ndarray, log: np.ndarray, steps: np.ndarray, whole: np.ndarray) -> np.ndarray:
         """For each of ``chars``, which lie by their distance from the end of the stretch, the end of its path's first word.
 
         The words of character i are ``lay[i]`` to ``lay[i + 1]``, the characters at distance t ``steps[t]`` to ``steps[t + 1]``.
         """
         best, first, inner = np.zeros(len(whole), np.int64), np.zeros(len(whole), np.int64), ~whole[chars]  # 0 where a stretch begins: the one before ends there
         last = int(np.flatnonzero(np.diff(steps[: _SAFE + 1]) >= _NARROW).max(initial=0)) + 1
-        done = int(steps[last])
+        done, base = int(steps[last]), int(lay[steps[last]])
+        packed = (log[:base] << 16) + (to[:base] - np.repeat(chars[:done], np.diff(lay[: done + 1])) - 256)  # one word less, and its bytes
         for a, b in zip(steps[1:last].tolist(), steps[2 : last + 1].tolist()):
             if a == b:
                 continue
             i, j = int(lay[a]), int(lay[b])
-            score, groups = weight[i:j] + best[to[i:j]], lay[a:b] - i
-            top = np.maximum.reduceat(score, groups)
-            best[chars[a:b]] = top * inner[a:b]
-            first[chars[a:b]] = np.maximum.reduceat(np.where(score == np.repeat(top, np.diff(lay[a : b + 1])), to[i:j], 0), groups)
+            top = np.maximum.reduceat(packed[i:j] + best.take(to[i:j]), lay[a:b] - i)
+            size, k = top & 255, chars[a:b]
+            best[k] = (top - size) * inner[a:b]
+            first[k] = k + size
         if done < len(chars):
-            sums, base = best.tolist(), int(lay[done])
-            ends, weights = to[base:].tolist(), weight[base:].tolist()
+            sums, after = {}, best.take(to[base:]) >> 8
+            logs = -(-after >> 8)  # of what is known, with as many words as are left
+            ends, scores = to[base:].tolist(), ((log[base:] + logs) * _STEP - 1 - ((logs << 8) - after)).tolist()
             for k, on, i, j in zip(chars[done:].tolist(), inner[done:].tolist(), (lay[done:-1] - base).tolist(), (lay[done + 1 :] - base).tolist()):
-                top, first[k] = max((weights[m] + sums[ends[m]], ends[m]) for m in range(i, j))
-                sums[k] = top if on else 0
+                top = end = None
+                for m in range(i, j):
+                    z = ends[m]
+                    score = scores[m] + sums[z] if z in sums else scores[m]
+                    if top is None or score > top or score == top and z > end:
+                        top, end = score, z
+                first[k] = end
+                if on:
+                    sums[k] = top
         return first
