@@ -99,7 +99,7 @@ class Lexicon:
 
 #: Between runs; no UTF-8 text holds this byte.
 _APART = 255
-#: Bytes that are looked at together, if a run is not longer.
+#: Bytes that are looked at together; more only while words cross every place of a run.
 BLOCK = 1 << 17
 #: Bytes from the end of a stretch within which a sum of logs, the words and the first word's bytes (8 bits each) fit into 64 bits.
 _SAFE = 192
@@ -122,6 +122,7 @@ class Paths:
         self.unknown = _log(0.5 / total)
         size = np.array([len(w) for w in words], np.int64)
         data, at = np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size
+        self.longest = int(max(size.max(initial=0), 4))  # bytes of a word or character
         # the trie: a node is the place of its edge among keys of (parent + 1, byte); its log is 1 where no word ends
         keys, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         node, left, depth, first = np.full(len(words), -1, np.int64), np.arange(len(words)), 0, 0
@@ -144,28 +145,30 @@ class Paths:
         out, begin = [np.zeros(0, np.int64)], 0
         runs = np.unique(bounds[bounds > 0])
         while len(runs):
-            k = max(1, int(np.searchsorted(runs, begin + BLOCK, "right")))
-            out.append(begin + self._block(data[begin : runs[k - 1]], runs[:k] - begin))
-            begin, runs = int(runs[k - 1]), runs[k:]
+            k = int(np.searchsorted(runs, begin + BLOCK, "right"))
+            end = int(runs[k - 1]) if k else self._part(data, begin, int(runs[0]))
+            out.append(begin + self._block(data[begin:end], np.append(runs[: max(0, k - 1)], end) - begin))
+            begin, runs = end, runs[np.searchsorted(runs, end, "right") :]
         return np.concatenate(out)
 
+    def _part(self, data: np.ndarray, begin: int, end: int) -> int:
+        """A place after ``begin`` that no word of its run, which ends at ``end``, crosses."""
+        size = BLOCK
+        while begin + size < end:
+            text, _, _, chars, reach = self._text(data[begin : begin + size], np.array([size]))
+            self._words(text, chars, reach)
+            places = np.flatnonzero(self._whole(reach)[1 : max(1, size - self.longest)]) + 1  # words that begin near the part's end may go on
+            if len(places):
+                return begin + int(places[-1])
+            size *= 2
+        return end
+
     def _block(self, data: np.ndarray, runs: np.ndarray) -> np.ndarray:
         """As ``ends``, for runs that have bytes."""
-        apart = runs + np.arange(len(runs))  # the bytes between the runs, which take one place each
-        text = np.full(len(data) + len(runs), _APART, np.uint8)
-        inside = np.ones(len(text), bool)
-        inside[apart] = False
-        text[inside] = data
-        starts = (text & 0xC0) != 0x80
-        starts[np.append(0, apart[:-1] + 1)] = True
-        chars = np.flatnonzero(starts)
-        reach = np.arange(1, len(text) + 1)  # the furthest end of what begins at a byte
-        reach[chars[:-1]] = chars[1:]
-        reach[apart] = apart
-        chars = chars[inside.take(chars)]
+        text, apart, inside, chars, reach = self._text(data, runs)
         word, to, log, rank, count = self._words(text, chars, reach)
 
-        whole = np.append(True, np.maximum.accumulate(reach[:-1]) <= np.arange(1, len(text)))  # no word crosses the place before this byte
+        whole = self._whole(reach)
         whole[apart] = True
         stop = np.flatnonzero(whole)
         begin = stop[inside.take(stop)]
@@ -195,6 +198,28 @@ class Paths:
         found = np.flatnonzero(cut)
         return found - np.searchsorted(apart, found)
 
+    @staticmethod
+    def _text(data: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The runs set apart, where they are, which bytes are theirs, where their characters begin, and the furthest end of what begins at a byte."""
+        apart = runs + np.arange(len(runs))  # the bytes between the runs, which take one place each
+        text = np.full(len(data) + len(runs), _APART, np.uint8)
+        inside = np.ones(len(text), bool)
+        inside[apart] = False
+        text[inside] = data
+        starts = (text & 0xC0) != 0x80
+        starts[np.append(0, apart[:-1] + 1)] = True
+        chars = np.flatnonzero(starts)
+        reach = np.arange(1, len(text) + 1)
+        reach[chars[:-1]] = chars[1:]
+        reach[apart] = apart
+        chars = chars[inside.take(chars)]
+        return text, apart, inside, chars, reach
+
+    @staticmethod
+    def _whole(reach: np.ndarray) -> np.ndarray:
+        """Whether no word crosses the place before a byte."""
+        return np.append(True, np.maximum.accumulate(reach[:-1]) <= np.arange(1, len(reach)))
+
     def _words(self, text: np.ndarray, chars: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All words that begin at ``chars``: where, their ends, logs, and ranks among those of their start; and how many begin at a byte.
 

@@ -102,7 +102,7 @@ def plain_recut(lexicon, words):
     return {"words": new, "n_found": len(old & set(itertools.accumulate(map(len, new))))}
 
 
-@pytest.mark.parametrize("block", [1, 50, functions.BLOCK])
+@pytest.mark.parametrize("block", [50, functions.BLOCK])
 def test_many_runs_as_one_by_one(block, monkeypatch):
     monkeypatch.setattr(functions, "BLOCK", block)
     rng = random.Random(block)
@@ -151,3 +151,15 @@ def test_a_dictionary_is_counted_once(spark):
 
     segmentation.Segmenter(spark.createDataFrame(spark.sparkContext.parallelize([("a", 1), ("b", 2)], 1).mapPartitions(count), "word string, n long"))
     assert seen.value == 2
+
+
+def test_a_long_run_is_taken_in_parts(monkeypatch):
+    """What is held grows with the block, not with the run, where words leave places that none crosses."""
+    rng = random.Random(8)
+    text = "".join(rng.choices(list(WORDS), k=20_000))
+    seen, block = [], Paths._block
+    monkeypatch.setattr(functions, "BLOCK", 5_000)
+    monkeypatch.setattr(Paths, "_block", lambda self, data, runs: seen.append(len(data)) or block(self, data, runs))
+    ends = Paths(WORDS.items()).ends(np.frombuffer(text.encode(), np.uint8), np.array([len(text.encode())]))
+    assert ends.tolist() == list(itertools.accumulate(len(w.encode()) for w in Lexicon(WORDS.items()).path(text)))
+    assert max(seen) <= 5_000 and sum(seen) == len(text.encode())
