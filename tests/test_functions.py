@@ -251,3 +251,38 @@ def test_matches_from_infrequent_characters_are_those_of_difflib():
     began = time.process_time()
     fn.fidelity(long, long.replace("th", ""))
     assert time.process_time() - began < 10
+
+
+def test_longest_runs_are_those_of_difflib():
+    import difflib
+
+    rng = random.Random(12)
+    for letters in ("a", "ab", "abc", "etaoinshrdlu 能é") * 60:
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(1, 300)))
+        a = a[: rng.randint(1, 20)] * rng.randint(0, 8) + a
+        b = rng.choice(["".join(c for c in a if rng.random() > 0.1) or "a", a[len(a) // 2 :] + a[: len(a) // 2], a * 2, a.replace("t", "") or "a"])
+        m = difflib.SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b))
+        runs, most = fn._Runs(a, b), min(len(a), len(b))
+        n, places = runs.longest(0, len(a), 0, len(b), most)
+        assert n == m.size and places[:1] == ([(m.a, m.b)] if n else [])
+        assert all(a[i : i + n] == b[j : j + n] for i, j in places) and all(i + n <= k and j + n <= l for (i, j), (k, l) in zip(places, places[1:], strict=False))  # noqa: E741
+        assert runs._hashed(0, len(a), 0, len(b), rng.randint(0, n), most) == (n, places)
+        assert fn.matched_chars(a, b) == sum(m.size for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+
+
+def test_matching_blocks_of_many_texts_and_of_repeated_lines_take_seconds():
+    import difflib
+    import time
+
+    rng = random.Random(13)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    began = time.process_time()
+    for _ in range(400):
+        text = " ".join(rng.choice([*words, *["the"] * 30]) for _ in range(600))[:3900]
+        fn.fidelity(text, text.replace("the ", ""))
+    for text, whole in ("a cat sat on the mat and the dog ran to the house by the sea\n", True), ("xthe ", True), ("Und die the ", False):
+        long = text * (24000 // len(text))
+        assert (fn.matched_chars(long, long.replace("the ", "")) == len(long.replace("the ", ""))) == whole
+        some, kept = text * 12, (text * 12).replace("the ", "")
+        assert fn.matched_chars(some, kept) == sum(m.size for m in difflib.SequenceMatcher(None, some, kept, autojunk=False).get_matching_blocks())
+    assert time.process_time() - began < 8
