@@ -49,3 +49,9 @@ def test_scan_coverage(spark):
     scans, done = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 5)], schema), spark.createDataFrame([(1, 2), (1, 2), (1, 9), (3, 1)], schema)
     got = {r.doc_id: tuple(r)[1:] for r in op.scan_coverage(scans, done, spark.createDataFrame([(1, 1), (2, 1), (3, 1)], schema)).collect()}
     assert got == {1: (2, 1, 0.5, [1]), 2: (1, 0, 0.0, [5]), 3: (0, 0, 1.0, [])}
+
+
+def test_a_long_page_is_measured_as_a_short_one(spark):
+    rows = [page(n, "ab" * n, markdown="ab" * (n // 2) + "x" + "ab" * (n // 2)) for n in (20, 1000, 2100, 9000)]
+    for r in op.records(spark.createDataFrame(rows, SCHEMA)).collect():
+        assert (r.retention, r.precision, r.content_covered) == (1.0, round(2 * r.page / (2 * r.page + 1), 6), True)
